@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, langid, license_scan, line_dedup, mixing, sharding
 
 
 def queries() -> dict:
     return {
         "op2_sharding": sharding.op2_sharding,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_langid": langid.op4_langid,
         "op5_mixing": mixing.op5_mixing,
+        "op7_license_scan": license_scan.op7_license_scan,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_line_dedup": line_dedup.OP3_SQL,
         "op5_mixing": mixing.OP5_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
     }
