@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, license_scan, line_dedup, mixing, sharding
+from . import exact_dedup, langid, license_scan, line_dedup, mixing, sharding, simhash
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_mixing": mixing.op5_mixing,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_simhash": simhash.op9_simhash,
     }
 
 
