@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, license_scan, line_dedup, mixing, sharding, simhash
+from . import exact_dedup, langid, license_scan, line_dedup, lm_scoring, mixing, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_lm_scoring": lm_scoring.op1_lm_scoring,
         "op2_sharding": sharding.op2_sharding,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_langid": langid.op4_langid,
