@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, license_scan, line_dedup, lm_scoring, mixing, sharding, simhash
+from . import embedding_dedup, exact_dedup, langid, license_scan, line_dedup, lm_scoring, mixing, packing, sharding, simhash
 
 
 def queries() -> dict:
@@ -12,9 +12,11 @@ def queries() -> dict:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_langid": langid.op4_langid,
         "op5_mixing": mixing.op5_mixing,
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_simhash": simhash.op9_simhash,
+        "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     }
 
 
