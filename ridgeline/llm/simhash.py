@@ -274,8 +274,9 @@ def link_fingerprints(different: DataFrame, radius: int = RADIUS, groups: int =
 def simhash_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, keep_text: bool = True
 ) -> DataFrame:
-    """``docs`` with fingerprint (long) and component_id, the smallest identifier reachable."""
-    docs = without(docs, "fingerprint", "component_id")
+    """``docs`` with fingerprint (long), component (its smallest fingerprint) and
+    component_id, the smallest identifier reachable."""
+    docs = without(docs, "fingerprint", "component", "component_id")
     names = [c for c in docs.columns if keep_text or c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,8 +292,10 @@ def simhash_dedup(
     # the smallest identifier by component, then by fingerprint
     labelled = different.join(found.withColumnRenamed("node", "f"), "f", "left").withColumn("component", F.coalesce("component", "f"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = labelled.join(least, "component").select(F.col("f").alias("fingerprint"), "component_id")
-    return prints.join(by_print, "fingerprint").select(*[f"`{n}`" for n in names], "fingerprint", "component_id")
+    by_print = labelled.join(least, "component").select(
+        F.col("f").alias("fingerprint"), "component", "component_id"
+    )
+    return prints.join(by_print, "fingerprint").select(*[f"`{n}`" for n in names], "fingerprint", "component", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
