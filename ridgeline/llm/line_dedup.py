@@ -23,7 +23,7 @@ identifiers sort last; ``emptied`` marks documents that lost lines and have no l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, documents, durable, few, fresh, without
@@ -35,32 +35,45 @@ DEPTH, MIN_TOKENS, SIMILARITY = 3, 4, 0.8
 BROADCAST_POSITIONS = 8_000_000
 
 
+def _masked(raw: Column) -> Column:
+    """Tokens of a line, variable fields as <*>."""
+    tokens = F.array_remove(F.split(raw, GAP), "")
+    masked = F.transform(tokens, lambda t: F.when(t.rlike(VARIABLE), F.lit("<*>")).otherwise(t))
+    return F.when(raw.rlike(VARIABLE), masked).otherwise(tokens)
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """One row per line of at least ``min_tokens`` tokens: d, rk, pos, masked, leaf, line."""
+    """One row per line of at least ``min_tokens`` tokens: d, rk, pos, leaf, line; hashes
+    only, so that texts are parsed once."""
     rows = docs.select(
         F.col(f"`{id_col}`").alias("d"),
         F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("rk"),
         F.posexplode(F.split(f"`{text_col}`", "\n")).alias("pos", "raw"),
     )
-    rows = rows.select("d", "rk", "pos", "raw", F.array_remove(F.split("raw", GAP), "").alias("tokens"))
-    rows = rows.filter(F.size("tokens") >= min_tokens)
-    masked = F.transform("tokens", lambda t: F.when(t.rlike(VARIABLE), F.lit("<*>")).otherwise(t))
-    rows = rows.select("d", "rk", "pos", F.when(F.col("raw").rlike(VARIABLE), masked).otherwise(F.col("tokens")).alias("masked"))
-    return rows.select(
-        "d",
-        "rk",
-        "pos",
-        "masked",
-        F.xxhash64(F.size("masked"), F.slice("masked", 1, depth)).alias("leaf"),
-        F.xxhash64("masked").alias("line"),
+    rows = rows.select("d", "rk", "pos", _masked(F.col("raw")).alias("masked")).filter(F.size("masked") >= min_tokens)
+    leaf = F.xxhash64(F.size("masked"), F.slice("masked", 1, depth))
+    return durable(rows.select("d", "rk", "pos", leaf.alias("leaf"), F.xxhash64("masked").alias("line")), "lines")
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, known: DataFrame) -> DataFrame:
+    """(leaf, line, masked) of the different lines of leaves that have several, each from
+    its first document: those documents are split again, and only these lines parsed."""
+    wanted = known.filter("several").select("leaf", "line", F.col("first.rk").alias("rk"), F.col("first.pos").alias("pos"))
+    wanted = durable(wanted.groupBy("rk").agg(F.collect_list(F.struct("pos", "leaf", "line")).alias("w")), "wanted")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.xxhash64(f"`{id_col}`", text).alias("rk"), text.alias("text")).join(_bound(wanted), "rk")
+    rows = rows.select(F.split("text", "\n").alias("parts"), "w").select(
+        F.explode(F.transform("w", lambda x: F.struct(x["leaf"].alias("leaf"), x["line"].alias("line"), F.get("parts", x["pos"]).alias("raw")))).alias("x")
     )
+    rows = rows.select("x.leaf", "x.line", _masked(F.col("x.raw")).alias("masked"))
+    return durable(rows.groupBy("leaf", "line").agg(F.min("masked").alias("masked")), "members")
 
 
 def _bound(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few(df, most) else df
 
 
-def recurring_templates(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def recurring_templates(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(leaf, line, first) of each different line whose template is in several documents."""
     seqs = lines.groupBy("leaf", "line").agg(
         F.min("rk").alias("lo"),
@@ -69,11 +82,8 @@ def recurring_templates(lines: DataFrame, similarity: float = SIMILARITY) -> Dat
     )
     leaves = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b"))
     leaves = durable(leaves.filter("a <> b").select("leaf", F.lit(True).alias("several")), "leaves")
-    known = seqs.join(_bound(leaves), "leaf", "left").filter("lo <> hi OR several")
-    known = durable(known, "templates")
-
-    members = lines.join(_bound(leaves), "leaf").groupBy("leaf", "line").agg(F.min("masked").alias("masked"))
-    members = durable(members, "members")
+    known = durable(seqs.join(_bound(leaves), "leaf", "left").filter("lo <> hi OR several"), "templates")
+    members = _members(docs, id_col, text_col, known)
     totals = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("total"))
     votes = members.select("leaf", F.posexplode("masked").alias("p", "t")).groupBy("leaf", "p", "t").agg(F.count(F.lit(1)).alias("c"))
     modes = votes.groupBy("leaf", "p").agg(F.max(F.struct("c", "t")).alias("m"))
@@ -108,7 +118,7 @@ def line_dedup(
     """``docs`` with the text without dropped lines, and n_lines, n_dropped, emptied."""
     docs = without(docs, "n_lines", "n_dropped", "emptied")
     lines = _lines(docs, id_col, text_col, depth, min_tokens)
-    keys = durable(recurring_templates(lines, similarity), "recurring")
+    keys = durable(recurring_templates(docs, id_col, text_col, lines, similarity), "recurring")
     drops = (
         lines.join(_bound(keys), ["leaf", "line"])
         .filter("rk <> first.rk OR pos <> first.pos")
