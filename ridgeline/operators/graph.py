@@ -223,8 +223,13 @@ def nn_descent(df: DataFrame, k: int, rounds: int = 8, seed: int = 3, least_chan
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     n = df.count()
-    ids = df.select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, n // (2 * k)))).alias("b"))
-    start = ids.alias("a").join(ids.select(F.col("id").alias("nid"), "b"), "b").filter("id <> nid").select(F.col("id").alias("qid"), F.col("nid").alias("id"))
+    # random start: rows that share a hash bucket, under several hashes, so that the
+    # buckets of one connect those of another
+    start = None
+    for i in range(3):
+        ids = df.select("id", F.pmod(F.xxhash64("id", F.lit(seed + i)), F.lit(max(1, n // k))).alias("b"))
+        met = ids.join(ids.select(F.col("id").alias("nid"), "b"), "b").filter("id <> nid").select(F.col("id").alias("qid"), F.col("nid").alias("id"))
+        start = met if start is None else start.unionByName(met)
     rank = lambda pairs: rank_pairs(_with_distance(pairs, df), k, "l2")
     graph = rank(start).checkpoint()
     for _ in range(rounds):
