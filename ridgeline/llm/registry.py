@@ -22,7 +22,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_sharding": sharding.OP2_SQL,
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op5_mixing": mixing.OP5_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
+        "op10_embedding_dedup": embedding_dedup.OP10_SQL,
     }

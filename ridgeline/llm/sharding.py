@@ -143,3 +143,31 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
     )
+
+
+#: CRC-32 byte by byte from its table; slots placed heaviest first on the lightest shard.
+OP2_SQL = f"""
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce(range(0, 9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n) ORDER BY n) AS crc
+  FROM range(0, 256) r(n)),
+b AS (
+  SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 8))::BIGINT % {N_SLOTS} AS virtual_slot
+  FROM documents),
+d AS (
+  SELECT doc_id, size, virtual_slot,
+    xor(list_reduce(bytes, lambda c, x: xor(crc[(xor(c, x) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS text_crc32
+  FROM b, t),
+s AS (SELECT virtual_slot, sum(size)::BIGINT AS w, row_number() OVER (ORDER BY sum(size) DESC, virtual_slot) AS n FROM d GROUP BY virtual_slot),
+p AS (
+  SELECT 0::BIGINT AS n, NULL::BIGINT AS virtual_slot, NULL::INT AS shard, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS loads
+  UNION ALL
+  SELECT s.n, s.virtual_slot, (list_position(loads, list_min(loads)) - 1)::INT,
+    list_transform(loads, lambda l, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN l + s.w ELSE l END)
+  FROM p JOIN s ON s.n = p.n + 1)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id, text_crc32, size) - 1 AS slot,
+  NULL::INT AS grown_shard, virtual_slot::INT AS virtual_slot
+FROM d JOIN p USING (virtual_slot)
+"""
