@@ -543,3 +543,107 @@ def code_size(spec: str, d: int) -> int:
     if m := re.fullmatch(r"(?:RQ|LSQ)(\d+)x(\d+)(?:_N\w+)?", spec):
         return (int(m[1]) * int(m[2]) + 7) // 8
     raise ValueError(f"no code size for {spec!r}")
+
+
+@dataclass
+class SignCodec(Codec):
+    """Locality-sensitive signs: an optional rotation to ``bits`` dimensions, bits x >=
+    threshold (0, or the medians of the training rows); distances are Hamming."""
+
+    matrix: np.ndarray | None
+    thresholds: np.ndarray
+
+    @classmethod
+    def train(cls, df: DataFrame, bits: int | None = None, rotate: bool = False, medians: bool = False, seed: int = 5) -> SignCodec:
+        from .transforms import random_rotation
+
+        x = sample_matrix(df)
+        d, bits = x.shape[1], bits or x.shape[1]
+        m = random_rotation(d, bits, seed).a if rotate or bits != d else None
+        y = x if m is None else x @ m.T
+        return cls(m, np.median(y, axis=0) if medians else np.zeros(bits))
+
+    @property
+    def code_bits(self) -> int:
+        return len(self.thresholds)
+
+    def encode_matrix(self, x):
+        y = x if self.matrix is None else x @ self.matrix.T
+        return (y >= self.thresholds).astype(np.int64)
+
+    def decode_matrix(self, codes):
+        y = np.where(codes > 0, 1.0, -1.0) + self.thresholds
+        return y if self.matrix is None else y @ self.matrix
+
+    def distances(self, x, codes, metric):
+        a, b = self.encode_matrix(x), codes
+        return (a @ (1 - b).T + (1 - a) @ b.T).astype(float)
+
+
+@dataclass
+class SpectralCodec(Codec):
+    """Bits floor((y - c) * 2 / period) & 1 of transformed vectors y, against thresholds c
+    of the row's list: its centroid (c), a quarter period off it (h), its median (m), or 0
+    for all lists (g).  Rows are encoded with their list_no; distances are Hamming."""
+
+    transform: object
+    period: float
+    thresholds: np.ndarray  # (lists, bits)
+
+    @classmethod
+    def train(cls, df: DataFrame, transform, centroids: np.ndarray, period: float, kind: str = "c") -> SpectralCodec:
+        y = transform.apply_matrix(centroids)
+        if kind == "g":
+            y = np.zeros_like(y)
+        elif kind == "h":
+            y = y - period / 4
+        elif kind == "m":
+            x = sample_matrix(df)
+            at, rows = pairwise(x, centroids).argmin(1), transform.apply_matrix(x)
+            y = np.array([np.median(rows[at == i], axis=0) if (at == i).any() else y[i] for i in range(len(y))])
+        return cls(transform, period, y)
+
+    @property
+    def code_bits(self) -> int:
+        return self.thresholds.shape[1]
+
+    def bits(self, x: np.ndarray, lists_of: np.ndarray) -> np.ndarray:
+        return np.floor((self.transform.apply_matrix(x) - self.thresholds[lists_of]) * (2.0 / self.period)).astype(np.int64) & 1
+
+    def encode(self, df: DataFrame) -> DataFrame:
+        tagged = df.withColumn("_row", F.concat(F.array(F.col("list_no").cast("double")), V.doubles(F.col("vec"))))
+        return map_vectors(tagged, lambda m: self.bits(m[:, 1:], m[:, 0].astype(np.int64)), "code", "int", source="_row").drop("_row")
+
+    def list_scorer(self, metric, centroids=None):
+        def scorer(x, table, number):
+            a = self.bits(x, np.full(len(x), number))
+            b = matrix(table.column("code")).astype(np.int64)
+            return (a @ (1 - b).T + (1 - a) @ b.T).astype(float)
+
+        return scorer
+
+
+@dataclass
+class RefinedCodec(Codec):
+    """A code and a second code of what the first leaves; decoded from both."""
+
+    first: Codec
+    second: Codec
+    split: int
+
+    @classmethod
+    def train(cls, df: DataFrame, m: int, m2: int, bits: int = 8) -> RefinedCodec:
+        x = sample_matrix(df)
+        first = ProductQuantizer.fit(x, m, bits)
+        return cls(first, ProductQuantizer.fit(x - first.decode_matrix(first.encode_matrix(x)), m2, bits), m)
+
+    @property
+    def code_bits(self) -> int:
+        return self.first.code_bits + self.second.code_bits
+
+    def encode_matrix(self, x):
+        a = self.first.encode_matrix(x)
+        return np.concatenate((a, self.second.encode_matrix(x - self.first.decode_matrix(a))), axis=1)
+
+    def decode_matrix(self, codes):
+        return self.first.decode_matrix(codes[:, : self.split]) + self.second.decode_matrix(codes[:, self.split :])

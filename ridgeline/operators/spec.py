@@ -176,6 +176,9 @@ class Index:
     def add(self, df: DataFrame) -> Index:
         """Encode (id, vec) rows and append them."""
         moved = self.chain.apply(df) if self.chain.steps else df
+        if self.spec.code.kind == "hnsw" and "storage" in self.extra:  # distances from decoded rows
+            store = self.extra["storage"]
+            moved = store.decode(store.encode(moved).drop("vec")).select("id", "vec")
         new = self._encode(moved)
         rows = new if self.rows is None else self.rows.unionByName(new)
         exact = df if self.exact is None else self.exact.unionByName(df)
@@ -192,6 +195,8 @@ class Index:
         if self.centroids is None:
             return self.codec.encode(df).select("id", "code") if self.codec else df.select("id", "vec")
         listed = ivf.add(df, self.centroids, self.metric)
+        if isinstance(self.codec, codecs.SpectralCodec):
+            return self.codec.encode(listed).select("id", "list_no", "code")
         if self.codec is None:
             return listed.select("id", "list_no", "vec")
         if self.by_residual:
@@ -214,7 +219,8 @@ class Index:
         if self.codec is None:
             return ivf.search(q, self.rows, probes, k, self.metric)
         scorer = self.codec.list_scorer(self.metric, self.centroids if self.by_residual else None)
-        return ivf.search(q, self.rows, probes, k, self.metric, scorer=scorer, payload=["code"])
+        order = "l2" if isinstance(self.codec, codecs.SpectralCodec) else self.metric
+        return ivf.search(q, self.rows, probes, k, order, scorer=scorer, payload=["code"])
 
     def remove(self, selector) -> Index:
         from .maintain import remove_ids
@@ -268,7 +274,9 @@ def _codec(node: Node, df: DataFrame, d: int) -> codecs.Codec | None:
     if node.kind == "pq_fast":
         return codecs.ProductQuantizer.train(df, a[0], 4)
     if node.kind == "pqr":
-        return codecs.ProductQuantizer.train(df, a[0], 8)
+        return codecs.RefinedCodec.train(df, a[0], a[1])
+    if node.kind == "lsh":
+        return codecs.SignCodec.train(df, rotate=bool(a[0]), medians=bool(a[1]))
     if node.kind in ("rq", "rq_coarse"):
         return codecs.ResidualQuantizer.train(df, a[0], a[1])
     if node.kind in ("lsq", "lsq_coarse"):
@@ -304,6 +312,58 @@ def build(text: str, train: DataFrame, metric: str = "l2", niter: int = 10) -> I
     rows = df
     if by_residual:
         rows = residuals(ivf.add(df, centroids, metric), centroids)
-    codec = None if spec.code.kind in ("lsh", "spectral") else _codec(spec.code, rows.select("id", "vec"), width)
+    if spec.code.kind == "spectral":
+        node, period, kind = spec.code.args
+        step = _transform(node, df, width)[0] if node else transforms.Linear(np.eye(width))
+        codec = codecs.SpectralCodec.train(df, step, centroids, period, kind)
+    else:
+        codec = _codec(spec.code, rows.select("id", "vec"), width)
+    extra = {}
+    if spec.code.kind == "hnsw" and spec.code.args[1] not in (None, "Flat"):
+        name = re.sub(r"^(?:2x)?(\d+)\+PQ(\d+)$", r"PQ\2", spec.code.args[1])
+        extra["storage"] = _codec(_match(name, _CODES), rows.select("id", "vec"), width)
     refine_index = build(spec.refine.text, train, metric) if spec.refine else None
-    return Index(spec, d, metric, transforms.Chain(steps), centroids, codec, by_residual, refine_index=refine_index)
+    return Index(spec, d, metric, transforms.Chain(steps), centroids, codec, by_residual, refine_index=refine_index, extra=extra)
+
+
+# --- binary ---------------------------------------------------------------------------
+
+
+@dataclass
+class BinaryIndex:
+    """A binary specification over (id, code) rows of ``d`` bits."""
+
+    node: Node
+    d: int
+    rows: DataFrame
+
+    def search(self, queries: DataFrame, k: int, nprobe: int = 1, nflip: int = 0, ef: int = 16) -> DataFrame:
+        from . import binary
+
+        kind, a = self.node.kind, self.node.args
+        if kind == "bflat":
+            return binary.hamming_knn(queries, self.rows, k)
+        if kind == "bhash":
+            return binary.hash_knn(queries, self.rows, k, a[0], nflip)
+        if kind == "bmultihash":
+            return binary.hash_knn(queries, self.rows, k, a[1], nflip, a[0])
+        if kind in ("bivf", "bivf_hnsw"):
+            return binary.binary_ivf_search(queries, self.rows, self.d, a[0], nprobe, k)
+        real = graph.with_shards(binary.to_real(self.rows, self.d).select("id", "vec"))
+        asked = binary.to_real(queries, self.d).select("qid", "vec")
+        found = graph.graph_search(asked, real, graph.hnsw_build(real, a[0]), k, ef)
+        return found.withColumn("distance", F.round(F.col("distance") / 4).cast("int"))
+
+    def range_search(self, queries: DataFrame, radius: int, nflip: int = 0) -> DataFrame:
+        from . import binary
+
+        kind, a = self.node.kind, self.node.args
+        if kind == "bhash":
+            return binary.hash_range(queries, self.rows, radius, a[0], nflip)
+        if kind == "bmultihash":
+            return binary.hash_range(queries, self.rows, radius, a[1], nflip, a[0])
+        return binary.hamming_range(queries, self.rows, radius)
+
+
+def build_binary(text: str, rows: DataFrame, d: int) -> BinaryIndex:
+    return BinaryIndex(parse_binary(text), d, rows)

@@ -279,7 +279,7 @@ def test_bad_specifications_raise(text):
 def test_built_indexes_answer(sets):
     base, queries, b, q = sets
     truth = knn.knn(queries, base, 5).persist()
-    floors = {"Flat": 1.0, "IVF4,Flat": 1.0, "SQ8": 0.9, "IVF4,SQ8": 0.9, "PQ8x4,RFlat": 0.8, "IVF4,PQ8x4": 0.3, "HNSW8": 0.9, "IMI2x2,Flat": 0.99}
+    floors = {"Flat": 1.0, "IVF4,Flat": 1.0, "SQ8": 0.9, "IVF4,SQ8": 0.9, "PQ8x4,RFlat": 0.8, "IVF4,PQ8x4": 0.3, "HNSW8": 0.9, "IMI2x2,Flat": 0.99, "LSHr": 0.15, "IVF4,ITQ16,SH3c": 0.1, "IVF4,PQ4+4": 0.6, "HNSW8,SQ8": 0.85, "RQ3x4": 0.2}
     for text, least in floors.items():
         index = spec.build(text, base, niter=3).add(base)
         found = index.search(queries, 5, nprobe=16, k_factor=8.0, ef=40)
@@ -288,3 +288,34 @@ def test_built_indexes_answer(sets):
     back = small.reconstruct([3]).first()
     assert np.abs(np.array(back.vec) - b[3]).max() < 0.05
     assert small.remove(maintain.IdRange(0, 100)).rows.count() == 300
+
+
+def test_binary_specifications(spark):
+    rng = np.random.default_rng(6)
+    base = spark.createDataFrame([(i, [int(w)]) for i, w in enumerate(rng.integers(0, 1 << 62, 150))], "id long, code array<long>")
+    queries = base.filter("id < 5").withColumnRenamed("id", "qid")
+    truth = knn.rank_pairs(spec.build_binary("BFlat", base, 64).search(queries, 150).select("qid", "id", "distance"), 1, "l2")
+    for text, args in (("BIVF4", {"nprobe": 4}), ("BHNSW8", {"ef": 60}), ("BHash8", {"nflip": 8}), ("BHash4x8", {"nflip": 2})):
+        found = spec.build_binary(text, base, 64).search(queries, 1, **args)
+        assert sorted((r.qid, r.id) for r in found.collect()) == sorted((r.qid, r.id) for r in truth.collect()), text
+    with pytest.raises(spec.SpecError):
+        spec.parse_binary("BNope")
+
+
+def test_batch_planner():
+    from itertools import product
+
+    from ridgeline.operators import batch
+
+    assert batch.order_pages([5, 1, 9, 3], [True, True, False, False]) == [1, 0, 2, 3]
+    cost = batch.interpolated([(1, 1.0), (10, 2.0)])
+    assert cost(1) == 1.0 and cost(20) == 4.0
+    rows, work = [3, 1, 4, 1, 5], [2, 7, 1, 8, 2]
+
+    def seconds(ends):
+        cuts = [0, *ends]
+        return batch.overlapped_time([(cost(sum(rows[a:b])), cost(sum(work[a:b]))) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+    best = min(seconds([i + 1 for i, c in enumerate(bits) if c] + [5]) for bits in product((0, 1), repeat=4))
+    assert np.isclose(seconds(batch.group_pages(rows, work, cost, cost)), best)
+    assert ivf.page_size([1000, 1000, 1000]) <= 1000
