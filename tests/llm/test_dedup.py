@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -162,7 +163,9 @@ def test_components_of_chains_and_hubs(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
-def test_embedding_dedup(spark):
+@pytest.mark.parametrize("run_rows", [8192, 20])
+def test_embedding_dedup(spark, monkeypatch, run_rows):
+    monkeypatch.setattr(embedding_dedup, "RUN_ROWS", run_rows)
     rng = np.random.default_rng(7)
     x = rng.standard_normal((300, 24))
     x[100:140] = x[:40] + 0.15 * rng.standard_normal((40, 24))
