@@ -297,6 +297,22 @@ class ProductQuantizer(Codec):
 
         return rank_pairs(_compare(queries, codes.select("id", F.col("code").cast("array<double>").alias("vec")), work), k, "l2")
 
+    def list_scorer(self, metric, centroids=None, ht: int | None = None):
+        """As for any codec; with ``ht``, rows whose code differs from the query's in ht or
+        more bits are left out before they are scored."""
+        plain = super().list_scorer(metric, centroids)
+        if ht is None:
+            return plain
+
+        def scorer(x, table, number):
+            codes = matrix(table.column("code")).astype(np.int64)
+            mine = self.encode_matrix(x if centroids is None else x - centroids[number][None, :])
+            bits = np.bitwise_count(mine[:, None, :] ^ codes[None, :, :]).sum(2)
+            worst = -np.inf if metric in V.LARGEST_FIRST else np.inf
+            return np.where(bits < ht, plain(x, table, number), worst)
+
+        return scorer
+
     def polysemous(self, rounds: int = 20_000, seed: int = 3) -> ProductQuantizer:
         """Codebooks reordered by simulated annealing so that Hamming distances of codes
         follow distances of centroids."""

@@ -1,11 +1,15 @@
 """Vector files: .fvecs, .ivecs, .bvecs (an int32 length before each row) and .fbin (a
-header of two int32, then rows of float32).  Fixed-length records are split by Spark
-(``binaryRecords``), so one large file is read by many tasks."""
+header of two int32, then rows of float32).
+
+Rows have a fixed length, so a file is read in slices: each task seeks to its own range
+of rows and reads it in blocks.  Files on stores that only Spark reads go through
+``binaryRecords`` instead."""
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,53 +17,79 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ITEMS = {"fvecs": ("<f4", "array<float>"), "ivecs": ("<i4", "array<int>"), "bvecs": ("u1", "array<int>")}
+#: Bytes of a task's slice.
+SLICE = 64 << 20
 
 
-def _head(spark: SparkSession, path: str, n: int) -> bytes:
-    """The first n bytes, through Hadoop's file systems."""
+def _head(spark: SparkSession, path: str, n: int) -> tuple[bytes, int]:
+    """The first n bytes and the file's length, through Hadoop's file systems."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(conf).open(p)
+    fs = p.getFileSystem(conf)
+    stream = fs.open(p)
     try:
-        return bytes(b & 0xFF for b in (stream.read() for _ in range(n)))
+        return bytes(stream.read() & 0xFF for _ in range(n)), fs.getFileStatus(p).getLen()
     finally:
         stream.close()
 
 
-def read_vecs(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """(id, vec): id is the row number in the file."""
-    kind = kind or path.rsplit(".", 1)[1]
-    item, sql = _ITEMS[kind]
-    d = int.from_bytes(_head(spark, path, 4), "little")
-    return _records(spark, path, 4 + d * np.dtype(item).itemsize, 0, 4, item, sql)
+def _open(path: str):
+    if path.startswith("file:") or "://" not in path:
+        return open("/" + path[5:].lstrip("/") if path.startswith("file:") else path, "rb")
+    from pyarrow import fs
 
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_file(inner)
 
-def read_fbin(spark: SparkSession, path: str) -> DataFrame:
-    head = np.frombuffer(_head(spark, path, 8), "<i4")
-    n, d = int(head[0]), int(head[1])
-    # the header is no record: read whole 4-byte words and group them by row
-    words = spark.sparkContext.binaryRecords(path, 4).zipWithIndex().filter(lambda x: x[1] >= 2)
-    rows = words.map(lambda x: ((x[1] - 2) // d, ((x[1] - 2) % d, float(np.frombuffer(x[0], "<f4")[0]))))
-    df = rows.map(lambda x: (x[0], x[1][0], x[1][1])).toDF("id long, pos int, x float")
-    out = df.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v"))
-    return out.filter(F.col("id") < n).select("id", F.transform("v", lambda e: e["x"]).alias("vec"))
 
+def _vectors(raw: bytes, length: int, head: int, item: str) -> pa.ListArray:
+    rows = np.frombuffer(raw, np.uint8).reshape(-1, length)[:, head:]
+    x = np.ascontiguousarray(rows).view(item)
+    kind = pa.float32() if item == "<f4" else pa.int32()
+    flat = pa.array(x.reshape(-1).astype(kind.to_pandas_dtype()), kind)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), flat)
 
-def _records(spark, path, length, skip, head, item, sql) -> DataFrame:
-    rdd = spark.sparkContext.binaryRecords(path, length).zipWithIndex()
-    df = rdd.map(lambda x: (x[1] - skip, bytearray(x[0]))).toDF("id long, raw binary")
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                rows = np.frombuffer(b"".join(b.column("raw").to_pylist()), np.uint8).reshape(b.num_rows, length)[:, head:]
-                x = np.ascontiguousarray(rows).view(item)
-                kind = pa.float32() if item == "<f4" else pa.int32()
-                flat = pa.array(x.reshape(-1).astype(kind.to_pandas_dtype()), kind)
-                vec = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([b.column("id"), vec], ["id", "vec"])
-
-    return df.mapInArrow(run, f"id long, vec {sql}")
+def _rows(spark: SparkSession, path: str, n: int, skip: int, length: int, head: int, item: str, sql: str) -> DataFrame:
+    """n rows of ``length`` bytes after ``skip`` bytes, without their first ``head``."""
+    if path.split(":")[0] in ("viewfs", "dbfs", "wasbs", "abfss"):
+        if skip:
+            raise ValueError("a file with a header needs a store that can be read in slices")
+        records = spark.sparkContext.binaryRecords(path, length).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
+
+        def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column("id"), _vectors(b"".join(b.column("raw").to_pylist()), length, head, item)], ["id", "vec"])
+
+        return records.toDF("id long, raw binary").mapInArrow(decode, f"id long, vec {sql}")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _open(path) as f:
+            for b in batches:
+                ids = np.asarray(b.column("id"))
+                if len(ids):  # a range of ids is contiguous
+                    f.seek(skip + int(ids[0]) * length)
+                    yield pa.RecordBatch.from_arrays([b.column("id"), _vectors(f.read(len(ids) * length), length, head, item)], ["id", "vec"])
+
+    parts = max(1, -(-n * length // SLICE), min(n, spark.sparkContext.defaultParallelism))
+    return spark.range(0, n, 1, parts).mapInArrow(read, f"id long, vec {sql}")
+
+
+def read_vecs(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """(id, vec): id is the row number in the file."""
+    item, sql = _ITEMS[kind or path.rsplit(".", 1)[1]]
+    head, size = _head(spark, path, 4)
+    length = 4 + int.from_bytes(head, "little") * np.dtype(item).itemsize
+    if size % length:
+        raise ValueError(f"{path}: {size} bytes are no rows of {length}")
+    return _rows(spark, path, size // length, 0, length, 4, item, sql)
+
+
+def read_fbin(spark: SparkSession, path: str) -> DataFrame:
+    head, _ = _head(spark, path, 8)
+    n, d = (int(v) for v in np.frombuffer(head, "<i4"))
+    return _rows(spark, path, n, 8, 4 * d, 0, "<f4", "array<float>")
 
 
 def write_vecs(df: DataFrame, path: str, kind: str | None = None) -> None:
