@@ -35,7 +35,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from .common import documents, durable, fresh
 from .textkernel import NOT_SPACE, pieces, utf8, word_spans
 
-CAPACITY, MAX_PER_SOURCE, BUCKET_TOKENS = 2048, 2, 1 << 21
+CAPACITY, MAX_PER_SOURCE, BUCKET_TOKENS = 2048, 2, 1 << 19
 
 
 class Bins:
