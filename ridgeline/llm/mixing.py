@@ -7,8 +7,8 @@ exploded by that count, and the copies are put into a global order by hash: a ra
 shuffle on a hash balances evenly whatever the sources are, so a source with a third of
 all rows is no hot partition.
 
-The masses are one row per source, found by partial aggregation and joined back; the
-optimiser broadcasts them only if they are small.
+The masses are one row per source, found by partial aggregation, and joined back by a
+broadcast if they were counted to be few, so that texts are shuffled once, by hash.
 
 Defined results: a null source is a source of its own; sources without a target weight
 have weight 0 and leave (none by default: equal weights); null text counts as empty and
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, without
+from .common import documents, durable, few, fresh, without
 
 SEED = 17
 _UNIT = float(1 << 52)
@@ -45,6 +45,8 @@ def poisson_cdf(rate):
     return F.aggregate(F.sequence(F.lit(1), most), first, step, lambda s: s["all"])
 
 
+#: Sources up to which their rates are broadcast: a few hundred numbers each at most.
+BROADCAST_SOURCES = 20_000
 #: Above this mean rate exp(-rate) loses its digits; the rest is whole copies.
 _LARGEST = 200.0
 
@@ -79,9 +81,10 @@ def mix_sources(
     # whole copies of a rate above _LARGEST, and a Poisson draw for the rest
     whole = F.floor(F.greatest(F.col(rate) - F.lit(_LARGEST), F.lit(0.0)))
     sums = sums.select(sid, rate, whole.alias(w), poisson_cdf(F.col(rate) - whole).alias(cdf))
+    sums = durable(sums, "rates")
     u = uniform(key, f"{seed}:")
     drawn = (
-        docs.join(sums, source.eqNullSafe(F.col(sid)))
+        docs.join(F.broadcast(sums) if few(sums, BROADCAST_SOURCES) else sums, source.eqNullSafe(F.col(sid)))
         .withColumn("n_copies", (F.col(w) + F.size(F.filter(cdf, lambda c: c <= u))).cast("int"))
         .filter("n_copies > 0")
         .drop(sid, rate, w, cdf)
