@@ -25,9 +25,8 @@ def recall_at(result: DataFrame, truth: DataFrame, ranks: list[int]) -> DataFram
 def intersection_at(result: DataFrame, truth: DataFrame, r: int) -> DataFrame:
     """(intersection): mean overlap of the first r neighbours."""
     a, b = (df.filter(F.col("rank") <= r).select("qid", "id") for df in (result, truth))
-    n = truth.agg(F.countDistinct("qid").alias("n"))
-    same = a.join(b, ["qid", "id"]).agg(F.count(F.lit(1)).alias("same"))
-    return same.join(F.broadcast(n)).select((F.col("same") / (F.col("n") * r)).alias("intersection"))  # one row each
+    n = truth.agg(F.countDistinct("qid")).first()[0]
+    return a.join(b, ["qid", "id"]).agg((F.count(F.lit(1)) / F.lit(float(max(n, 1) * r))).alias("intersection"))
 
 
 def range_counts(result: DataFrame, truth: DataFrame) -> DataFrame:

@@ -658,11 +658,13 @@ def _(s, d):
     return _r(transforms.pca(base, 8).apply(base).select("id", F.posexplode("vec").alias("dim", "x")), "x")
 
 
-@query("opq_rotation_error")
+@query("opq_roundtrip_error")
 def _(s, d):
     base = _base(s, d)
-    rot = transforms.opq(base, 8, bits=4, niter=3)
-    return base.select("id").crossJoin(s.createDataFrame([(bool(rot.orthonormal),)], "orthonormal boolean").hint("broadcast"))  # one row
+    moved = transforms.opq(base, 8, bits=4, niter=3).apply(base)
+    pq = codecs.ProductQuantizer.train(moved, 8, 4, niter=8)
+    back = pq.decode(pq.encode(moved).select("id", "code")).select("id", F.col("vec").alias("back"))
+    return moved.join(back, "id").select("id", F.round(V.l2(F.col("vec"), F.col("back")), 6).alias("error"))
 
 
 @query("itq_codes")
