@@ -36,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, few
 from .components import components
 
 THRESHOLD, RECALL, Z, SEED = 0.95, 0.99, 4.0, 11
 _BLOCK = 1024
+#: Vectors of a key that one task compares; keys with more are cut into pairs of blocks.
+RUN_ROWS = 8192
 
 
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
@@ -61,8 +63,8 @@ def _unit(blob: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _code(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, weight, vector, keys of all tables) for each table."""
+def _code(batches: Iterator[pa.RecordBatch], bits: int, tables: int, keys_only: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, weight, vector, keys of all tables) for each table, or (key)."""
     weights = 1 << np.arange(bits, dtype=np.int64)
     for batch in batches:
         for a in range(0, batch.num_rows, 2048):
@@ -74,6 +76,10 @@ def _code(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator
                 x = _unit([np.asarray(vectors[i], np.float64).tobytes() for i in mine])
                 planes = np.random.default_rng(SEED * 1000 + int(d)).standard_normal((int(d), bits * tables))
                 keys = (x @ planes >= 0).reshape(len(mine), tables, bits) @ weights
+                if keys_only:
+                    all_keys = (keys << 24) + (np.arange(tables) << 12)[None, :] + (int(d) & 0xFFF)
+                    yield pa.RecordBatch.from_arrays([pa.array(all_keys.ravel())], ["key"])
+                    continue
                 packed = keys.astype(np.uint32)
                 raw = [np.asarray(vectors[i], np.float64).tobytes() for i in mine]
                 sigs = [row.tobytes() for row in packed]
@@ -83,8 +89,9 @@ def _code(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator
                     yield pa.RecordBatch.from_arrays([pa.array(key), ids, w, pa.array(raw, pa.binary()), pa.array(sigs, pa.binary())], ["key", "id", "w", "v", "sig"])
 
 
-def link_run(x: np.ndarray, w: np.ndarray, sig: np.ndarray, t: int, threshold: float, z: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted numbers of links, first met in table t, and component labels of unit vectors."""
+def link_run(x: np.ndarray, w: np.ndarray, sig: np.ndarray, t: int, threshold: float, z: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted numbers of links, first met in table t, and component labels of unit
+    vectors; with ``side``, of pairs across the two sides only."""
     n, d = x.shape
     turned = x @ rotation(d)
     signs = np.where(turned >= 0, 1.0, -1.0) / math.sqrt(d)
@@ -98,6 +105,8 @@ def link_run(x: np.ndarray, w: np.ndarray, sig: np.ndarray, t: int, threshold: f
             ask = estimate + error[j] >= threshold
             if a == b:
                 ask &= np.tri(*ask.shape, -1, dtype=bool).T
+            if side is not None:
+                ask &= side[i][:, None] != side[j][None, :]
             for u in range(t):
                 if not ask.any():
                     break
@@ -121,12 +130,13 @@ def link_run(x: np.ndarray, w: np.ndarray, sig: np.ndarray, t: int, threshold: f
 
 
 def _link(batches: Iterator[pa.RecordBatch], threshold: float, z: float) -> Iterator[pa.RecordBatch]:
-    """Links of runs of equal keys, from rows sorted by key."""
+    """Links of runs, from rows sorted by run."""
     held: list[pa.RecordBatch] = []
 
     def close(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key = np.asarray(rows.column("key").combine_chunks())
-        cut = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
+        key, run, block = (np.asarray(rows.column(c).combine_chunks()) for c in ("key", "run", "block"))
+        cross = np.asarray(rows.column("other").combine_chunks())
+        cut = np.append(np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1]))), len(run))
         ids, w = np.asarray(rows.column("id").combine_chunks()), np.asarray(rows.column("w").combine_chunks())
         v, sig = rows.column("v").combine_chunks(), rows.column("sig").combine_chunks()
         out = []
@@ -135,7 +145,8 @@ def _link(batches: Iterator[pa.RecordBatch], threshold: float, z: float) -> Iter
                 continue
             x = _unit(v.slice(a, b - a).to_pylist())
             s = np.frombuffer(b"".join(sig.slice(a, b - a).to_pylist()), np.uint32).reshape(b - a, -1)
-            links, label = link_run(x, w[a:b], s, int(key[a] >> 12) & 0xFFF, threshold, z)
+            side = block[a:b] if cross[a] else None
+            links, label = link_run(x, w[a:b], s, int(key[a] >> 12) & 0xFFF, threshold, z, side)
             some = np.flatnonzero(links)
             out.append((ids[a:b][some], links[some], ids[a:b][label[some]]))
         if out:
@@ -144,9 +155,9 @@ def _link(batches: Iterator[pa.RecordBatch], threshold: float, z: float) -> Iter
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = np.asarray(batch.column("key"))
+        key = np.asarray(batch.column("run"))
         at = int(np.searchsorted(key, key[-1]))
-        if at or (held and held[0].column("key")[0].as_py() != int(key[0])):
+        if at or (held and held[0].column("run")[0].as_py() != int(key[0])):
             yield from close(pa.Table.from_batches([*held, batch.slice(0, at)]))
             held = []
         held.append(batch.slice(at))
@@ -179,8 +190,17 @@ def embedding_dedup(
     ).withColumn("id", F.xxhash64("h1", "h2"))
     bits, tables = table_shape(kinds.count(), threshold, recall)
     coded = kinds.select("id", "w", "v").mapInArrow(lambda it: _code(it, bits, tables), "key long, id long, w long, v binary, sig binary")
+    # Keys with very many vectors: blocks of RUN_ROWS, each pair of blocks a run of its own.
+    keys = kinds.select("id", "w", "v").mapInArrow(lambda it: _code(it, bits, tables, True), "key long")
+    big = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > RUN_ROWS)
+    big = durable(big.select("key", F.ceil(F.col("n") / RUN_ROWS).cast("int").alias("blocks")), "big")
+    coded = coded.join(F.broadcast(big) if few(big) else big, "key", "left")
+    coded = coded.withColumn("block", F.coalesce(F.pmod(F.xxhash64("id"), "blocks").cast("int"), F.lit(0)))
+    coded = coded.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    run = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = coded.select("key", "id", "w", "v", "sig", "block", (F.col("block") != F.col("other")).alias("other"), run.alias("run"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = coded.repartition(parts, "key").sortWithinPartitions("key")
+    dealt = dealt.repartition(parts, "run").sortWithinPartitions("run")
     linked = durable(dealt.mapInArrow(lambda it: _link(it, threshold, z), "id long, links long, near long"), "links")
     counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
     found = components(linked.select(F.col("id").alias("u"), F.col("near").alias("v")))
