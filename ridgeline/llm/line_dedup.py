@@ -31,6 +31,8 @@ from .common import BROADCAST_ROWS, documents, durable, few, fresh, without
 GAP = r"[ \t\x0B\f\r]+"
 VARIABLE = r"[0-9@]|://"
 DEPTH, MIN_TOKENS, SIMILARITY = 3, 4, 0.8
+#: Different lines of a leaf that are matched in one piece.
+LEAF_LINES = 1000
 #: Positions in all lists of dropped lines, up to which the lists are broadcast.
 BROADCAST_POSITIONS = 8_000_000
 
@@ -99,7 +101,12 @@ def recurring_templates(docs: DataFrame, id_col: str, text_col: str, lines: Data
         F.lit(0),
         lambda s, i: s + F.when(F.get("masked", i) == F.try_element_at("constants", i), 1).otherwise(0),
     )
-    matched = members.join(constants, "leaf").filter(agree >= F.lit(similarity) * F.size("masked")).select("leaf", "line", F.lit(True).alias("m"))
+    # A leaf of very many lines is matched in pieces, each with its own copy of the constants.
+    salts = F.ceil(F.col("total") / LEAF_LINES).cast("int")
+    large = durable(totals.filter(F.col("total") > LEAF_LINES).select("leaf", salts.alias("salts")), "large")
+    salted = members.join(_bound(large), "leaf", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("line"), "salts").cast("int"), F.lit(0)))
+    copies = constants.join(_bound(large), "leaf", "left").select("leaf", "constants", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    matched = salted.join(copies, ["leaf", "salt"]).filter(agree >= F.lit(similarity) * F.size("masked")).select("leaf", "line", F.lit(True).alias("m"))
     marked = durable(known.join(matched, ["leaf", "line"], "left"), "marked")
     merged = marked.filter("m").groupBy("leaf").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"))
     own = marked.filter("m IS NULL AND lo <> hi").select("leaf", "line", "first")
