@@ -99,7 +99,7 @@ def _knn_sql(metric: str, k: int = K, pairs: str = "q, b", extra: str = "", dist
     order = "DESC" if metric in V.LARGEST_FIRST else ""
     return f"""WITH {_Q}, {_B}{extra},
 p AS (SELECT qid, id, {dist or _DIST[metric]} AS distance FROM {pairs} {where})
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance {order}, id) AS rank, id, round(distance, 6) + 0.0 AS distance
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance {order}, id)::INT AS rank, id, round(distance, 6) + 0.0 AS distance
 FROM p QUALIFY rank <= {k}"""
 
 
@@ -142,7 +142,7 @@ def _(s, d):
 @query(
     "knn_graph",
     f"""WITH {_B}, a AS (SELECT id AS qid, v AS qv FROM b), p AS (SELECT qid, id, list_distance(qv, v) ** 2 AS distance FROM a, b WHERE qid <> id)
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank, id, round(distance, 6) + 0.0 AS distance FROM p QUALIFY rank <= 5""",
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INT AS rank, id, round(distance, 6) + 0.0 AS distance FROM p QUALIFY rank <= 5""",
 )
 def _(s, d):
     return _r(knn.knn_graph(_base(s, d), 5))
@@ -187,7 +187,7 @@ def _(s, d):
 @query(
     "knn_1d",
     """WITH q AS (SELECT p_partkey AS qid, p_retailprice AS x FROM part WHERE p_partkey % 20 = 0), p AS (SELECT qid, p_partkey AS id, abs(p_retailprice - x) AS distance FROM q, part)
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank, id, round(distance, 6) + 0.0 AS distance FROM p QUALIFY rank <= 5""",
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INT AS rank, id, round(distance, 6) + 0.0 AS distance FROM p QUALIFY rank <= 5""",
 )
 def _(s, d):
     part = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("x"))
@@ -296,12 +296,12 @@ def _(s, d):
 
 # --- inverted lists -------------------------------------------------------------------
 
-_PROBE = f"{_Q}, {_ASSIGN}, r AS (SELECT qid, qv, list_no, list_sum([(qv[i]-c[i])**2 for i in range(1, 65)]) AS coarse_distance FROM q, c), pr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY coarse_distance, list_no) AS probe FROM r)"
+_PROBE = f"{_Q}, {_ASSIGN}, r AS (SELECT qid, qv, list_no, list_sum([(qv[i]-c[i])**2 for i in range(1, 65)]) AS coarse_distance FROM q, c), pr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY coarse_distance, list_no)::INT AS probe FROM r)"
 
 
 def _ivf_sql(nprobe: int, k: int = K, more: str = "") -> str:
     return f"""WITH {_PROBE}, p AS (SELECT qid, id, l.list_no, {_DIST['l2']} AS distance FROM pr JOIN l ON l.list_no = pr.list_no WHERE probe <= {nprobe})
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank, id, round(distance, 6) + 0.0 AS distance{more} FROM p QUALIFY rank <= {k}"""
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INT AS rank, id, round(distance, 6) + 0.0 AS distance{more} FROM p QUALIFY rank <= {k}"""
 
 
 def _ivf(s, d, nprobe: int, k: int | None = K, **args) -> DataFrame:
@@ -341,7 +341,7 @@ _SIZED = f"{_PROBE}, z AS (SELECT list_no, count(*) AS size FROM l GROUP BY list
 @query(
     "ivf_max_codes",
     f"""WITH {_SIZED}, p AS (SELECT qid, id, {_DIST['l2']} AS distance FROM e JOIN l ON l.list_no = e.list_no WHERE before < 100)
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank, id, round(distance, 6) + 0.0 AS distance FROM p QUALIFY rank <= {K}""",
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INT AS rank, id, round(distance, 6) + 0.0 AS distance FROM p QUALIFY rank <= {K}""",
 )
 def _(s, d):
     rows, c, labels = _listed(s, d)
@@ -358,8 +358,8 @@ def _(s, d):
 @query(
     "multi_index_probe",
     f"""WITH {_Q}, {_C}, h AS (SELECT qid, list_no AS c, list_sum([(qv[i]-c[i])**2 for i in range(1, 33)]) AS lo, list_sum([(qv[i]-c[i])**2 for i in range(33, 65)]) AS hi FROM q, c),
-p AS (SELECT a.qid, a.c + b.c * (SELECT count(*) FROM c) AS list_no, a.lo + b.hi AS d FROM h a JOIN h b USING (qid))
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d, list_no) AS probe, list_no, round(d, 6) + 0.0 AS coarse_distance FROM p QUALIFY probe <= 8""",
+p AS (SELECT a.qid, (a.c + b.c * (SELECT count(*) FROM c))::INT AS list_no, a.lo + b.hi AS d FROM h a JOIN h b USING (qid))
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d, list_no)::INT AS probe, list_no, round(d, 6) + 0.0 AS coarse_distance FROM p QUALIFY probe <= 8""",
 )
 def _(s, d):
     c, _ = _means(s, d)
@@ -426,7 +426,7 @@ def _(s, d):
     "pq_adc_topk",
     f"""WITH {_Q}, {_PQ}, t AS (SELECT qid, m, code, list_sum([(qv[m * 16 + i] - s[i])**2 for i in range(1, 17)]) AS d FROM q, k),
 p AS (SELECT qid, id, sum(d) AS distance FROM e JOIN t USING (m, code) GROUP BY qid, id)
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), id) AS rank, id, round(distance, 6) + 0.0 AS distance FROM p QUALIFY rank <= {K}""",
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), id)::INT AS rank, id, round(distance, 6) + 0.0 AS distance FROM p QUALIFY rank <= {K}""",
 )
 def _(s, d):
     pq, base = _pq(s, d), _base(s, d)
@@ -453,7 +453,7 @@ def _(s, d):
     f"""WITH {_Q}, {_B}, {_RANGE}, y AS (SELECT vec_id AS id, list(({_CODE.format(n=15)} + 0.5) / 15 * w + lo ORDER BY i) AS v FROM embeddings, m GROUP BY vec_id),
 c AS (SELECT qid, id, {_DIST['l2']} AS d FROM q, y QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, id) <= 40),
 p AS (SELECT qid, id, {_DIST['l2']} AS distance FROM c JOIN q USING (qid) JOIN b USING (id))
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank, id, round(distance, 6) + 0.0 AS distance FROM p QUALIFY rank <= {K}""",
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INT AS rank, id, round(distance, 6) + 0.0 AS distance FROM p QUALIFY rank <= {K}""",
 )
 def _(s, d):
     base, q = _base(s, d), _asked(s, d)
@@ -509,7 +509,7 @@ def _codes(s, d) -> tuple[DataFrame, DataFrame]:
     return rows.filter("id % 20 = 0").select(F.col("id").alias("qid"), "code"), rows
 
 
-_HAMKNN = f"WITH {_BQ}, p AS (SELECT qid, z.id, {_HAM} AS distance FROM a, z) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank, id, distance FROM p QUALIFY rank <= {K}"
+_HAMKNN = f"WITH {_BQ}, p AS (SELECT qid, z.id, {_HAM} AS distance FROM a, z) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INT AS rank, id, distance FROM p QUALIFY rank <= {K}"
 
 
 @query("lsh_hamming_knn", _HAMKNN)
@@ -744,7 +744,7 @@ def _(s, d):
     return maintain.slice_lists(_listed(s, d)[0], 2, 6).select("list_no", "id")
 
 
-@query("dedup_groups", "SELECT list_min(ids) AS rep, len(ids) AS n FROM (SELECT list(id) AS ids FROM (SELECT vec_id AS id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding FROM embeddings) GROUP BY embedding HAVING count(*) > 1)")
+@query("dedup_groups", "SELECT list_min(ids) AS rep, len(ids)::INT AS n FROM (SELECT list(id) AS ids FROM (SELECT vec_id AS id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding FROM embeddings) GROUP BY embedding HAVING count(*) > 1)")
 def _(s, d):
     both = maintain.merge(_base(s, d), _base(s, d), 1_000_000)
     return maintain.duplicate_groups(both, ["vec"]).select(F.array_min("ids").alias("rep"), F.size("ids").alias("n"))
@@ -753,7 +753,7 @@ def _(s, d):
 @query(
     "dedup_knn_expand",
     f"""WITH {_Q}, {_B}, u AS (SELECT * FROM b UNION ALL SELECT id + 1000000, v FROM b), p AS (SELECT qid, id, round({_DIST['l2']}, 9) AS distance FROM q, u)
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank, id, round(distance, 6) + 0.0 AS distance FROM p QUALIFY rank <= {K}""",
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INT AS rank, id, round(distance, 6) + 0.0 AS distance FROM p QUALIFY rank <= {K}""",
 )
 def _(s, d):
     both = maintain.merge(_base(s, d), _base(s, d), 1_000_000)
