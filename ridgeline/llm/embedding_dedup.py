@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import durable, few
 from .components import components
@@ -43,6 +44,8 @@ THRESHOLD, RECALL, Z, SEED = 0.95, 0.99, 4.0, 11
 _BLOCK = 1024
 #: Vectors of a key that one task compares; keys with more are cut into pairs of blocks.
 RUN_ROWS = 8192
+#: Runs up to this length are compared many at a time.
+SHORT_RUN = 48
 
 
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
@@ -57,13 +60,13 @@ def table_shape(n: int, threshold: float = THRESHOLD, recall: float = RECALL) ->
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
-def _unit(blob: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(blob), np.float64).reshape(len(blob), -1)
+def _unit(blob: list[bytes], item: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(blob), item).reshape(len(blob), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # keeps squares of huge and tiny components in range
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _code(batches: Iterator[pa.RecordBatch], bits: int, tables: int, keys_only: bool = False) -> Iterator[pa.RecordBatch]:
+def _code(batches: Iterator[pa.RecordBatch], bits: int, tables: int, item: str, keys_only: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows (key, id, weight, vector, keys of all tables) for each table, or (key)."""
     weights = 1 << np.arange(bits, dtype=np.int64)
     for batch in batches:
@@ -73,7 +76,8 @@ def _code(batches: Iterator[pa.RecordBatch], bits: int, tables: int, keys_only:
             sizes = np.array([len(v) for v in vectors])
             for d in np.unique(sizes):
                 mine = np.flatnonzero(sizes == d)
-                x = _unit([np.asarray(vectors[i], np.float64).tobytes() for i in mine])
+                raw = [np.asarray(vectors[i], item).tobytes() for i in mine]
+                x = _unit(raw, item)
                 planes = np.random.default_rng(SEED * 1000 + int(d)).standard_normal((int(d), bits * tables))
                 keys = (x @ planes >= 0).reshape(len(mine), tables, bits) @ weights
                 if keys_only:
@@ -81,7 +85,6 @@ def _code(batches: Iterator[pa.RecordBatch], bits: int, tables: int, keys_only:
                     yield pa.RecordBatch.from_arrays([pa.array(all_keys.ravel())], ["key"])
                     continue
                 packed = keys.astype(np.uint32)
-                raw = [np.asarray(vectors[i], np.float64).tobytes() for i in mine]
                 sigs = [row.tobytes() for row in packed]
                 ids, w = part.column("id").take(pa.array(mine)), part.column("w").take(pa.array(mine))
                 for t in range(tables):
@@ -129,26 +132,68 @@ def link_run(x: np.ndarray, w: np.ndarray, sig: np.ndarray, t: int, threshold: f
     return links, label
 
 
-def _link(batches: Iterator[pa.RecordBatch], threshold: float, z: float) -> Iterator[pa.RecordBatch]:
+def link_small_runs(x: np.ndarray, w: np.ndarray, sig: np.ndarray, cut: np.ndarray, t: np.ndarray, side: np.ndarray, cross: np.ndarray, threshold: float, z: float) -> tuple[np.ndarray, np.ndarray]:
+    """``link_run`` for many short runs at once: rows cut[i]:cut[i + 1] are a run."""
+    n, d = x.shape
+    turned = x @ rotation(d)
+    signs = np.where(turned >= 0, 1.0, -1.0) / math.sqrt(d)
+    factor = (turned * signs).sum(1)
+    error = z * np.sqrt(np.maximum(1 - factor**2, 0)) / factor / math.sqrt(max(d - 1, 1))
+    size = np.diff(cut)
+    ps, qs = [], []
+    for s in np.unique(size[size > 1]):
+        i, j = np.triu_indices(s, 1)
+        starts = cut[:-1][size == s]
+        for a in range(0, len(starts), max(1, (1 << 18) // len(i))):
+            some = starts[a : a + max(1, (1 << 18) // len(i)), None]
+            p, q = (some + i).ravel(), (some + j).ravel()
+            estimate = np.einsum("ij,ij->i", turned[p], signs[q]) / factor[q]
+            ask = (estimate + error[q] >= threshold) & ~(cross[p] & (side[p] == side[q]))
+            p, q = p[ask], q[ask]
+            earlier = np.arange(sig.shape[1])[None, :] < t[p][:, None]
+            p, q = (v[~((sig[p] == sig[q]) & earlier).any(1)] for v in (p, q))
+            exact = (x[p] * x[q]).sum(1) >= threshold
+            ps.append(p[exact])
+            qs.append(q[exact])
+    label = np.arange(n)
+    if not ps:
+        return np.zeros(n, np.int64), label
+    p, q = np.concatenate(ps), np.concatenate(qs)
+    links = np.bincount(p, w[q], n).astype(np.int64) + np.bincount(q, w[p], n).astype(np.int64)
+    while (label[p] != label[q]).any():
+        low = np.minimum(label[p], label[q])
+        np.minimum.at(label, p, low)
+        np.minimum.at(label, q, low)
+    return links, label
+
+
+def _link(batches: Iterator[pa.RecordBatch], threshold: float, z: float, item: str) -> Iterator[pa.RecordBatch]:
     """Links of runs, from rows sorted by run."""
     held: list[pa.RecordBatch] = []
 
-    def close(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, run, block = (np.asarray(rows.column(c).combine_chunks()) for c in ("key", "run", "block"))
-        cross = np.asarray(rows.column("other").combine_chunks())
+    def links_of(rows: pa.Table) -> list[tuple]:
+        """Rows of whole runs and one vector length."""
+        key, run, block, ids, w, cross = (np.asarray(rows.column(c).combine_chunks()) for c in ("key", "run", "block", "id", "w", "other"))
+        x = _unit(rows.column("v").to_pylist(), item)
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+        t = (key >> 12) & 0xFFF
         cut = np.append(np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1]))), len(run))
-        ids, w = np.asarray(rows.column("id").combine_chunks()), np.asarray(rows.column("w").combine_chunks())
-        v, sig = rows.column("v").combine_chunks(), rows.column("sig").combine_chunks()
+        long = np.diff(cut) > SHORT_RUN
         out = []
-        for a, b in zip(cut, cut[1:], strict=False):
-            if b - a < 2:
-                continue
-            x = _unit(v.slice(a, b - a).to_pylist())
-            s = np.frombuffer(b"".join(sig.slice(a, b - a).to_pylist()), np.uint32).reshape(b - a, -1)
-            side = block[a:b] if cross[a] else None
-            links, label = link_run(x, w[a:b], s, int(key[a] >> 12) & 0xFFF, threshold, z, side)
-            some = np.flatnonzero(links)
-            out.append((ids[a:b][some], links[some], ids[a:b][label[some]]))
+        for a, b in zip(cut[:-1][long], cut[1:][long], strict=True):
+            links, label = link_run(x[a:b], w[a:b], sig[a:b], int(t[a]), threshold, z, block[a:b] if cross[a] else None)
+            out.append((links, ids[a:b][label], ids[a:b]))
+        rest = ~np.repeat(long, np.diff(cut))
+        if rest.any():
+            short = np.append(0, np.cumsum(np.diff(cut)[~long]))
+            mine = ids[rest]
+            links, label = link_small_runs(x[rest], w[rest], sig[rest], short, t[rest], block[rest], cross[rest], threshold, z)
+            out.append((links, mine[label], mine))
+        return [(i[n > 0], n[n > 0], near[n > 0]) for n, near, i in out]
+
+    def close(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        d = np.asarray(rows.column("key").combine_chunks()) & 0xFFF
+        out = [o for v in np.unique(d) for o in links_of(rows.filter(pa.array(d == v)))]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], ["id", "links", "near"])
 
@@ -171,6 +216,7 @@ def embedding_dedup(
     """(id_col, n_links, component_id, kept) for every row of ``vectors``."""
     spark = vectors.sparkSession
     v = F.col(f"`{vec_col}`")
+    item = "<f4" if isinstance(vectors.schema[vec_col].dataType.elementType, FloatType) else "<f8"
     good = F.coalesce(
         (F.size(v) > 0)
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -189,9 +235,9 @@ def embedding_dedup(
         rows.filter("good").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("w"), F.first("v").alias("v")), "vectors"
     ).withColumn("id", F.xxhash64("h1", "h2"))
     bits, tables = table_shape(kinds.count(), threshold, recall)
-    coded = kinds.select("id", "w", "v").mapInArrow(lambda it: _code(it, bits, tables), "key long, id long, w long, v binary, sig binary")
+    coded = kinds.select("id", "w", "v").mapInArrow(lambda it: _code(it, bits, tables, item), "key long, id long, w long, v binary, sig binary")
     # Keys with very many vectors: blocks of RUN_ROWS, each pair of blocks a run of its own.
-    keys = kinds.select("id", "w", "v").mapInArrow(lambda it: _code(it, bits, tables, True), "key long")
+    keys = kinds.select("id", "w", "v").mapInArrow(lambda it: _code(it, bits, tables, item, True), "key long")
     big = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > RUN_ROWS)
     big = durable(big.select("key", F.ceil(F.col("n") / RUN_ROWS).cast("int").alias("blocks")), "big")
     coded = coded.join(F.broadcast(big) if few(big) else big, "key", "left")
@@ -201,7 +247,7 @@ def embedding_dedup(
     dealt = coded.select("key", "id", "w", "v", "sig", "block", (F.col("block") != F.col("other")).alias("other"), run.alias("run"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "run").sortWithinPartitions("run")
-    linked = durable(dealt.mapInArrow(lambda it: _link(it, threshold, z), "id long, links long, near long"), "links")
+    linked = durable(dealt.mapInArrow(lambda it: _link(it, threshold, z, item), "id long, links long, near long"), "links")
     counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
     found = components(linked.select(F.col("id").alias("u"), F.col("near").alias("v")))
     named = (
