@@ -17,8 +17,9 @@ a run gives only the edges of a spanning forest (breadth-first over what is not
 reached, so a run of mutual copies costs its size, not its square).
 
 Scale: copies collapse to one fingerprint before any pairing; each different fingerprint
-is sent 35 times 16 bytes (7 groups, any 3 equal); a run shares 27 or more bits, so runs
-of unrelated fingerprints stay short however many there are.
+is sent 35 times 16 bytes (7 groups, any 3 equal: 27 bits).  Beyond 16 million different
+fingerprints there are 8 groups of which 4 are equal (70 keys of 32 bits), beyond a
+billion 9 of which 5 are (126 keys of 36 bits), so runs of unrelated ones stay short.
 
 Defined results: null and empty texts have no shingles and fingerprint zero, which links
 like any other; fewer words than ``width``: the whole sequence is the one shingle; rows
@@ -263,8 +264,15 @@ def _run_batches(batches: Iterator[pa.RecordBatch], radius: int, groups: int) ->
         yield edges(held_k, held_f)
 
 
-def link_fingerprints(different: DataFrame, radius: int = RADIUS, groups: int = GROUPS) -> DataFrame:
+def groups_for(n: int, radius: int = RADIUS) -> int:
+    """Groups for n different fingerprints: more groups make more and longer keys (27, 32
+    or 36 bits for the usual radius), so that runs stay short; no choice loses a link."""
+    return radius + (3 if n < 1 << 24 else 4 if n < 1 << 30 else 5)
+
+
+def link_fingerprints(different: DataFrame, radius: int = RADIUS, groups: int | None = None) -> DataFrame:
     """Spanning edges (u, v) among different fingerprints ``f`` (long)."""
+    groups = groups or groups_for(different.count(), radius)
     keyed = different.select("f").mapInArrow(lambda it: _keys(it, radius, groups), "key long, f long")
     parts = int(different.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(parts, "key").sortWithinPartitions("key", "f")

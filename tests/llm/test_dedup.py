@@ -121,7 +121,8 @@ def test_fingerprints_of_very_many_shingles():
     assert [int(x) for x in simhash._majority(h, at)] == want
 
 
-def test_pivot_links_equal_all_pairs():
+@pytest.mark.parametrize("n_groups", [7, 8, 9])
+def test_pivot_links_equal_all_pairs(n_groups):
     rng = np.random.default_rng(3)
     f = set()
     for base in rng.integers(0, 1 << 62, 8):
@@ -131,16 +132,20 @@ def test_pivot_links_equal_all_pairs():
                 x ^= 1 << int(b)
             f.add(x)
     f = np.array(sorted(f), np.uint64)
-    table = simhash.PivotTable()
-    keys = np.array([(int(k), int(v)) for b in simhash._keys(iter([pa.RecordBatch.from_arrays([pa.array(f.view(np.int64))], ["f"])]), 4, 7) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+    table = simhash.PivotTable(n_groups)
+    keys = np.array([(int(k), int(v)) for b in simhash._keys(iter([pa.RecordBatch.from_arrays([pa.array(f.view(np.int64))], ["f"])]), 4, n_groups) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
     keys = keys[np.lexsort((keys[:, 1], keys[:, 0]))]
     batches = [pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["key", "f"]) for p in np.array_split(keys, 50)]
     number = {int(v): i for i, v in enumerate(f.view(np.int64))}
-    edges = [(number[u], number[v]) for b in simhash._run_batches(iter(batches), 4, 7) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    edges = [(number[u], number[v]) for b in simhash._run_batches(iter(batches), 4, n_groups) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
     true = [(i, j) for i in range(len(f)) for j in range(i) if bin(int(f[i] ^ f[j])).count("1") <= 4]
     assert groups(len(f), edges) == groups(len(f), true) and table.coordinates(f).shape == (len(f), simhash.FULL)
 
 
+def test_groups_grow_with_the_number_of_fingerprints():
+    assert [simhash.groups_for(n) for n in (10, 1 << 25, 1 << 31)] == [7, 8, 9]
+
+
 def test_simhash_components(spark, odd, docs, empty):
     for df, rows in ((odd, odd_rows()), (docs, [(r.doc_id, r.text) for r in docs.collect()])):
         out = simhash.simhash_dedup(df.withColumn("component", F.lit("x")).withColumn("f", F.lit(0)), keep_text=False).collect()
@@ -163,8 +168,9 @@ def test_components_of_chains_and_hubs(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("run_rows", [8192, 20])
-def test_embedding_dedup(spark, monkeypatch, run_rows):
+@pytest.mark.parametrize("run_rows,short_run,kind", [(8192, 48, "double"), (20, 48, "double"), (8192, 2, "double"), (30, 5, "float")])
+def test_embedding_dedup(spark, monkeypatch, run_rows, short_run, kind):
+    monkeypatch.setattr(embedding_dedup, "SHORT_RUN", short_run)
     monkeypatch.setattr(embedding_dedup, "RUN_ROWS", run_rows)
     rng = np.random.default_rng(7)
     x = rng.standard_normal((300, 24))
@@ -174,6 +180,7 @@ def test_embedding_dedup(spark, monkeypatch, run_rows):
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     rows += [(400, None), (401, []), (402, [0.0] * 24), (403, [float("nan")] * 24), (404, [None] + [1.0] * 23), (405, rows[5][1][:20]), (406, [2 * v for v in rows[5][1]]), (407, [float("inf")] * 24), (5, rows[5][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    df = df.withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
     u = np.array([r[1] for r in rows[:300]] + [rows[306][1], rows[308][1]])
     ids = [*range(300), 406, 5]
     u = u / np.linalg.norm(u, axis=1, keepdims=True)
