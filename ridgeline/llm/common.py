@@ -57,13 +57,8 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def few(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``most`` rows; stops reading beyond them."""
-    return df.limit(most + 1).count() <= most
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it was counted to be small, else as it is."""
-    return F.broadcast(df) if df.count() <= most else df
+    """Whether ``df``, usually a stored table, was counted to have at most ``most`` rows."""
+    return df.count() <= most
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
