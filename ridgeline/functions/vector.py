@@ -132,6 +132,12 @@ def madd_argmin(a, factor: float, b):
     return argmin(madd(a, factor, b))
 
 
+def reflect(v: Column, u: Column) -> Column:
+    """v mirrored at the hyperplane of the unit vector u (a Householder reflection)."""
+    twice = 2 * ip(u, v)
+    return _zip(v, u, lambda x, y: x - twice * y)
+
+
 def imbalance(counts: Column) -> Column:
     """1.0 if all are equal: n * sum(c * c) / sum(c) ** 2, over an array."""
     total = _sum(doubles(counts))
@@ -162,6 +168,16 @@ def pack_bits(bits: Column, n: int) -> Column:
     return F.array(*words)
 
 
+def select_bits(bits: Column, order: list[int]) -> Column:
+    """Bits in another order, or a part of them."""
+    return F.array(*[F.get(bits, F.lit(i)) for i in order])
+
+
+def checksum(v: Column) -> Column:
+    """Sum of integer components."""
+    return F.aggregate(v, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two arrays of 64-bit words."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -184,5 +200,10 @@ def kmin(v: Column, k: int) -> Column:
     return F.slice(F.array_sort(v), 1, k)
 
 
+def nth_smallest(v: Column, n: int) -> Column:
+    """The threshold that splits a row's components into n smaller ones and the rest."""
+    return F.get(F.array_sort(v), F.lit(n))
+
+
 def kmax(v: Column, k: int) -> Column:
     return F.slice(F.reverse(F.array_sort(v)), 1, k)

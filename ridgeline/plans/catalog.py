@@ -355,6 +355,31 @@ def _(s, d):
     return ivf.statistics(ivf.probe(_asked(s, d), c, 4, numbers=labels), rows)
 
 
+@query("ivf_residuals", f"WITH {_ASSIGN} SELECT id, list_no, (i - 1)::INT AS dim, round(v[i] - c[i], 6) + 0.0 AS x FROM l JOIN c USING (list_no), range(1, 65) t(i)")
+def _(s, d):
+    rows, c, _ = _listed(s, d)  # labels run from 0
+    return _r(spec.residuals(rows, c).select("id", "list_no", F.posexplode("vec").alias("dim", "x")), "x")
+
+
+@query(
+    "ivf_preassigned",
+    f"""WITH {_Q}, {_B}, a AS (SELECT id, (id % 6)::INT AS list_no, v FROM b), p AS (SELECT qid, id, {_DIST['l2']} AS distance FROM q JOIN a ON a.list_no IN ((qid // 20) % 6, (qid // 20 + 1) % 6))
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INT AS rank, id, round(distance, 6) + 0.0 AS distance FROM p QUALIFY rank <= {K}""",
+)
+def _(s, d):
+    base, q = _base(s, d), _asked(s, d)
+    rows = ivf.add_preassigned(base, base.select("id", (F.col("id") % 6).cast("int").alias("list_no")))
+    step = F.explode(F.array(F.lit(0), F.lit(1)))
+    probes = q.select("qid", step.alias("n")).select("qid", (F.col("n") + 1).alias("probe"), F.pmod(F.floor(F.col("qid") / 20) + F.col("n"), F.lit(6)).cast("int").alias("list_no"), F.lit(0.0).alias("coarse_distance"))
+    return _r(ivf.search(q, rows, probes, K))
+
+
+@query("merge_results", f"WITH s AS ({_knn_sql('l2', 3)}), m AS (SELECT qid, id, distance FROM s UNION ALL SELECT qid, id + 1000000, distance FROM s) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INT AS rank, id, distance FROM m QUALIFY rank <= 4")
+def _(s, d):
+    found = _r(knn.knn(_asked(s, d), _base(s, d), 3))
+    return knn.merge_results([found, found], 4, offsets=[0, 1_000_000])
+
+
 @query(
     "multi_index_probe",
     f"""WITH {_Q}, {_C}, h AS (SELECT qid, list_no AS c, list_sum([(qv[i]-c[i])**2 for i in range(1, 33)]) AS lo, list_sum([(qv[i]-c[i])**2 for i in range(33, 65)]) AS hi FROM q, c),
@@ -435,6 +460,16 @@ def _(s, d):
     return _r(knn.rank_pairs(wide.select("qid", "id", F.round("distance", 9).alias("distance")), K, "l2"))
 
 
+@query(
+    "pq_generalized_hamming",
+    f"""WITH {_PQ}, x AS (SELECT id, list(code ORDER BY m) AS w FROM e GROUP BY id), p AS (SELECT a.id AS qid, x.id, list_sum([CASE WHEN a.w[i] = x.w[i] THEN 0 ELSE 1 END for i in range(1, 5)])::DOUBLE AS distance FROM x a, x WHERE a.id % 20 = 0)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INT AS rank, id, distance FROM p QUALIFY rank <= {K}""",
+)
+def _(s, d):
+    pq, base = _pq(s, d), _base(s, d)
+    return pq.search(_asked(s, d), pq.encode(base), K, kind="generalized")
+
+
 @query("pq_symmetric_table", f"WITH {_BOOK} SELECT a.m::INT AS m, a.code::INT AS a, b.code::INT AS b, round(list_distance(a.s, b.s) ** 2, 6) + 0.0 AS distance FROM k a JOIN k b USING (m)")
 def _(s, d):
     t = _pq(s, d).symmetric_tables()
@@ -652,6 +687,28 @@ def _(s, d):
     return _r(_r(out, "added", "combined", digits=5), "second")
 
 
+@query(
+    "vector_reflect",
+    f"""WITH {_B}, u AS (SELECT a.id, a.v, [x / sqrt(list_inner_product(b.v, b.v)) for x in b.v] AS u FROM b a JOIN b ON b.id = a.id + 1)
+SELECT id, (i - 1)::INT AS dim, round(v[i] - 2 * list_inner_product(v, u) * u[i], 6) + 0.0 AS x FROM u, range(1, 65) t(i)""",
+)
+def _(s, d):
+    a = _base(s, d)
+    b = a.select((F.col("id") - 1).alias("id"), V.normalize(F.col("vec")).alias("u"))
+    return _r(a.join(b, "id").select("id", F.posexplode(V.reflect(F.col("vec"), F.col("u"))).alias("dim", "x")), "x")
+
+
+@query("bit_shuffle", f"WITH {_BITS} SELECT id, list_sum([w[64 - i] * (1 << i) for i in range(0, 16)])::BIGINT AS code, list_sum(w)::BIGINT AS checksum FROM z")
+def _(s, d):
+    bits = V.sign_bits(F.col("vec"))
+    return _base(s, d).select("id", F.get(V.pack_bits(V.select_bits(bits, [63 - i for i in range(16)]), 16), F.lit(0)).alias("code"), V.checksum(bits).alias("checksum"))
+
+
+@query("nth_smallest", "SELECT vec_id AS id, round(list_sort(embedding)[9]::DOUBLE, 6) + 0.0 AS x FROM embeddings")
+def _(s, d):
+    return _r(_base(s, d).select("id", V.nth_smallest(V.doubles(F.col("vec")), 8).alias("x")), "x")
+
+
 @query("pca_project")
 def _(s, d):
     base = _base(s, d)

@@ -149,3 +149,21 @@ def synthetic(spark: SparkSession, n: int, d: int, seed: int = 1338, first: int
             yield pa.RecordBatch.from_arrays([b.column("id"), vec], ["id", "vec"])
 
     return spark.range(first, first + n).mapInArrow(run, "id long, vec array<float>")
+
+
+def random_vectors(spark: SparkSession, n: int, d: int, kind: str = "normal", seed: int = 1) -> DataFrame:
+    """(id, vec) of uniform [0, 1), normal, or integer (0 to 255) components; a row depends
+    on its id and the seed alone."""
+    draw = {
+        "uniform": lambda r: r.random(d),
+        "normal": lambda r: r.standard_normal(d),
+        "integer": lambda r: r.integers(0, 256, d).astype(float),
+    }[kind]
+
+    def run(batches):
+        for b in batches:
+            x = np.array([draw(np.random.default_rng((seed, int(i)))) for i in b.column("id").to_pylist()], np.float32).reshape(-1, d)
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, d, dtype=np.int32)), pa.array(x.reshape(-1), pa.float32()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), vec], ["id", "vec"])
+
+    return spark.range(n).mapInArrow(run, "id long, vec array<float>")
