@@ -131,13 +131,6 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, word_at + np.arange(n + 1)
 
 
-def _contexts(toks: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.empty_like(toks)
-    out[1:] = toks[:-1]
-    out[at[:-1]] = BEGIN
-    return out
-
-
 @dataclass(frozen=True)
 class Layout:
     """Cells of pairs and ranges of words, both powers of two, and the split context words."""
@@ -164,11 +157,16 @@ def _pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * _P + w)
 
 
-def _combine(ctx: list[np.ndarray], tok: list[np.ndarray], layout: Layout):
-    """(cell, blob) rows of the different pairs of the given tokens."""
-    v, w = np.concatenate(ctx), np.concatenate(tok)
-    words, ids = np.unique(np.concatenate((v, w)), return_inverse=True)
-    codes = (ids[: len(v)].astype(np.uint64) << np.uint64(32)) | ids[len(v) :].astype(np.uint64)
+def _combine(tok: list[np.ndarray], first: list[np.ndarray], layout: Layout):
+    """(cell, blob) rows of the different pairs of the given tokens; ``first``: places of
+    the texts' first tokens, whose context is BEGIN."""
+    words, ids = np.unique(np.concatenate([*tok, [BEGIN]]), return_inverse=True)
+    wi = ids[:-1].astype(np.uint64)
+    codes = np.empty_like(wi)
+    codes[1:] = wi[:-1] << np.uint64(32)
+    codes[np.concatenate(first)] = np.uint64(int(ids[-1]) << 32)
+    codes |= wi
+    del ids, wi
     codes.sort()
     first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
     count = np.diff(np.append(first, len(codes))).astype(np.uint32)
@@ -203,19 +201,19 @@ def _in_batches(rows: Iterator[tuple[int, bytes]], most: int = 4 << 20) -> Itera
 
 def _count(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
     def rows():
-        ctx, tok, size = [], [], 0
+        tok, first, size = [], [], 0
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
             for _, _, data, at in pieces(raw, offsets):
                 toks, tok_at = tokens(LOWER[data], at)
-                ctx.append(_contexts(toks, tok_at))
                 tok.append(toks)
+                first.append(tok_at[:-1] + size)
                 size += len(toks)
                 if size >= FLUSH:
-                    yield from _combine(ctx, tok, layout)
-                    ctx, tok, size = [], [], 0
+                    yield from _combine(tok, first, layout)
+                    tok, first, size = [], [], 0
         if size:
-            yield from _combine(ctx, tok, layout)
+            yield from _combine(tok, first, layout)
 
     yield from _in_batches(rows())
 
