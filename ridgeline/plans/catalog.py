@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from ..operators import binary, cluster, codecs, evaluate, graph, ivf, knn, maintain, refine, spec, transforms
 from ..operators.ordering import global_rank
+from ..session import scratch
+from ..sources import store, vecs
+from ..streaming import ingest
 
 D = 64
 K = 10
@@ -910,3 +913,35 @@ query("spec_ivf_pq_refined")(_spec("IVF16,PQ8x4,RFlat", nprobe=8, k_factor=4.0))
 query("spec_opq_ivf_pq")(_spec("OPQ8_32,IVF16,PQ8x4", nprobe=8))
 query("spec_pca_sq8")(_spec("PCA32,SQ8"))
 query("spec_ivf_sq8")(_spec("IVF16,SQ8", nprobe=4))
+
+
+# --- files and streams ------------------------------------------------------------------
+
+
+@query("vecs_round_trip", f"SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, {_SUM} AS s FROM embeddings")
+def _(s, d):
+    path = scratch(s, "vecs")
+    vecs.write_vecs(_base(s, d), path)
+    return _digest(vecs.read_vecs_folder(s, path))
+
+
+@query("saved_index_search", _knn_sql("l2"))
+def _(s, d):
+    path = scratch(s, "index")
+    store.save(spec.build("IVF16,Flat", _base(s, d), niter=3).add(_base(s, d)), path)
+    return _r(store.load(s, path).search(_asked(s, d), K, nprobe=16))
+
+
+@query("stream_ingest", f"WITH {_ASSIGN} SELECT id, list_no FROM l")
+def _(s, d):
+    c, _ = _means(s, d)
+    schema = _emb(s, d).schema
+    stream = s.readStream.schema(schema).option("pathGlobFilter", "embeddings*.parquet").parquet(d)
+    path = scratch(s, "postings")
+    ingest.ingest(knn.vectors(stream, "vec_id", "embedding"), c, path, scratch(s, "stream")).awaitTermination()
+    return ingest.postings(s, path).select("id", "list_no")
+
+
+@query("synthetic_vectors")
+def _(s, d):
+    return _digest(vecs.synthetic(s, 1000, 16))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,3 +27,10 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(ROOT))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder under spark.checkpoint.dir, which executors share; a temporary one of
+    this machine only where the session has none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ridgeline-")
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
