@@ -1,0 +1,141 @@
+"""Near-deduplication by exact shingle similarity, with banded MinHash for the candidates.
+
+The shingles are those of ``simhash``; a document is its set of different shingles.
+Documents link if the Jaccard similarity of their sets is at least 4/5; linked ones form
+components.  Candidates share one of ``BANDS`` keys, each made of ``ROWS`` minima of the
+set under seeded hashes: a pair of similarity s meets with probability
+1 - (1 - s**ROWS)**BANDS, 0.99993 at 0.8 and more above.  Every link is verified on the
+whole sets.
+
+Scale: equal sets collapse to one node before any pairing; a node is sent 24 times 16
+bytes.  In a run of equal keys all nodes are first compared with its smallest one, so a run
+of mutual copies costs its size, not its square; then only pairs of a run that are still in
+different components are compared.  Sets are computed again for the nodes of runs alone.
+
+Defined results: null and empty texts have the empty set and form one component; fewer
+words than ``width``: the whole sequence is the one shingle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+
+from .common import durable, few
+from .components import components
+from .simhash import shingles
+from .textkernel import mix
+
+WIDTH, BANDS, ROWS = 5, 24, 5
+#: Shingles in all sets, up to which the sets are broadcast.
+BROADCAST_SHINGLES = 4_000_000
+
+_TURN = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+_ODD = mix(_TURN + np.uint64(1)) | np.uint64(1)
+
+
+def shingle_sets(column, width: int = WIDTH) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As ``shingles``, without the repeats of each row."""
+    for a, b, h, at in shingles(column, width):
+        owner = np.repeat(np.arange(b - a), np.diff(at))
+        order = np.lexsort((h, owner))
+        h, owner = h[order], owner[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        yield a, b, h[new], np.searchsorted(owner[new], np.arange(b - a + 1))
+
+
+def sketches(column, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node (hash of the set, 0 if it is empty), size of the set, and (rows, BANDS) keys."""
+    n = len(column)
+    node, size, keys = np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros((n, BANDS), np.uint64)
+    for a, b, h, at in shingle_sets(column, width):
+        size[a:b] = np.diff(at)
+        some = np.flatnonzero(np.diff(at))
+        if not len(some):
+            continue
+        cuts = at[:-1][some]
+        node[a + some] = mix(np.add.reduceat(mix(h), cuts) + size[a + some].astype(np.uint64))
+        for band in range(BANDS):
+            key = np.full(len(some), band + 1, np.uint64)
+            for i in range(band * ROWS, (band + 1) * ROWS):
+                key = mix(key + np.minimum.reduceat((h ^ _TURN[i]) * _ODD[i], cuts))
+            keys[a + some, band] = key
+    return node, size, keys
+
+
+def _sketched(docs: DataFrame, width: int) -> DataFrame:
+    names = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, size, keys = sketches(batch.column("text"), width)
+            flat = pa.array(keys.ravel().view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(node.view(np.int64)), pa.array(size), lists], [*names, "node", "n", "keys"])
+
+    added = [StructField("node", LongType()), StructField("n", IntegerType()), StructField("keys", ArrayType(LongType()))]
+    return durable(docs.mapInArrow(run, StructType([*(docs.schema[c] for c in names), *added])), "sketches")
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of rows (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, h, at in shingle_sets(batch.column("text"), width):
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), lists], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of similarity 4/5 at least: 9 |u & v| >= 4 (|u| + |v|)."""
+    out = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+    out = out.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    both = F.size(F.array_intersect("a", "b"))
+    return out.filter(both * 9 >= (F.size("a") + F.size("b")) * 4).select("u", "v")
+
+
+def _like_size(n, m):
+    """Sets of these sizes can have similarity 4/5."""
+    return F.least(n, m) * 5 >= F.greatest(n, m) * 4
+
+
+def shingle_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` (with text, and h, the xxhash64 of the text) without text, with the
+    component of each row."""
+    prints = _sketched(docs, width)
+    nodes = durable(prints.filter("n > 0").groupBy("node", "n", "keys").agg(F.min("h").alias("h")), "nodes")
+    met = nodes.select(F.explode("keys").alias("key"), "node", "n").repartition("key")
+    least = met.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    runs = durable(met.join(least.select("key", "least"), "key"), "runs")
+    inside = runs.select("node").distinct().join(nodes.select("node", "h"), "node")
+    inside = durable(inside, "inside")
+    texts = docs.select("h", "text").join(F.broadcast(inside) if few(inside) else inside, "h").select("node", "text")
+    sets = durable(_sets(texts, width).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    if (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= BROADCAST_SHINGLES:
+        sets = F.broadcast(sets)
+    # every run against its smallest node
+    stars = runs.filter(F.col("node") != F.col("least.node")).filter(_like_size(F.col("n"), F.col("least.n")))
+    stars = durable(stars.select(F.col("least.node").alias("u"), F.col("node").alias("v")).distinct(), "stars")
+    links = durable(_verified(stars, sets), "links")
+    # pairs of a run that are still apart
+    found = components(links)
+    apart = runs.select("key", "node", "n").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    mixed = apart.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+    apart = durable(apart.join(mixed, "key").select("key", "node", "n", "c"), "apart")
+    other = apart.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("e"))
+    pairs = apart.withColumnRenamed("node", "u").join(other, "key").filter("u < v AND c <> e").filter(_like_size(F.col("n"), F.col("m")))
+    pairs = durable(pairs.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti"), "pairs")
+    more = durable(_verified(pairs, sets), "links")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
+    kept = prints.drop("n", "keys").join(found, "node", "left")
+    return kept.withColumn("component", F.coalesce("component", "node")).drop("node")

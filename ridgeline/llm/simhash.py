@@ -118,14 +118,15 @@ def _majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(column, width: int = WIDTH) -> np.ndarray:
-    """Fingerprints of an Arrow string column."""
+def shingles(column, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, shingle hashes, offsets by row) of pieces of an Arrow
+    string column."""
     raw, offsets = utf8(column)
-    out = np.zeros(len(column), np.uint64)
     for a, b, data, at in pieces(raw, offsets):
         data = LOWER[data]
         starts, ends, word_at = word_spans(data, at, NOT_SPACE)
         if not len(starts):
+            yield a, b, np.zeros(0, np.uint64), np.zeros(b - a + 1, np.int64)
             continue
         # the words again, with exactly one blank between them
         size = ends - starts
@@ -138,8 +139,14 @@ def fingerprints(column, width: int = WIDTH) -> np.ndarray:
         first = np.arange(shingle_at[-1]) + np.repeat(word_at[:-1] - shingle_at[:-1], n)
         last = first + np.repeat(np.minimum(n_words, width), n) - 1
         begin = new_starts[first]
-        h = xxh64(loads(text), begin, new_starts[last + 1] - 1 - begin)
-        out[a:b] = _majority(h, shingle_at)
+        yield a, b, xxh64(loads(text), begin, new_starts[last + 1] - 1 - begin), shingle_at
+
+
+def fingerprints(column, width: int = WIDTH) -> np.ndarray:
+    """Fingerprints of an Arrow string column."""
+    out = np.zeros(len(column), np.uint64)
+    for a, b, h, at in shingles(column, width):
+        out[a:b] = _majority(h, at)
     return out
 
 

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ridgeline.llm import components, embedding_dedup, exact_dedup, line_dedup, simhash
+from ridgeline.llm import components, embedding_dedup, exact_dedup, line_dedup, shingle_dedup, simhash
 
 from llm_helpers import WORD, frame, lower, odd_rows
 
@@ -213,3 +213,32 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs((est - true)[off].mean()) < 0.005
     bound = 3 * np.sqrt(1 - f**2) / f / np.sqrt(63)
     assert (np.abs(est - true) <= bound[None, :])[off].mean() > 0.99
+
+
+def brute_set(t, width=5):
+    w = WORD.findall(lower(t))
+    return frozenset(tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, min(len(w), 1))))
+
+
+def test_near_dedup_catches_similarity_of_four_fifths(spark, odd, empty):
+    """Scattered edits: nearly all pairs of 0.8 and more are linked, and nothing below."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for words, edits in ((100, 1), (100, 2), (200, 2), (200, 4), (200, 9), (1000, 20), (30, 1)):
+        for _ in range(25):
+            w = [f"w{x}" for x in rng.integers(0, 5000, words)]
+            rows.append((len(rows), " ".join(w)))
+            for p in rng.choice(words, edits, replace=False):
+                w[p] = f"e{rng.integers(0, 5000)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + i, " ".join(f"c{j}" if j != 4 * i else "x" for j in range(200))) for i in range(40)]  # a run of mutual copies
+    sets = [brute_set(t) for _, t in rows]
+    true = [(i, j) for i in range(len(rows)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    want = {rows[g][0] for g in groups(len(rows), true)}
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()}
+    assert want <= kept and len(kept - want) <= 0.01 * (len(rows) - len(want)) and len(want) < 0.8 * len(rows)
+    left = corpus_pipeline.near_dedup(spark, odd, "").collect()
+    assert sorted(str(r.doc_id) for r in left) == sorted(["1", "4", "7", "9", "10", "None"])
+    assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0
