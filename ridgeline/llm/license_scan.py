@@ -4,11 +4,11 @@ The index holds licence templates as postings: word -> (template, position), and
 word's inverse document frequency over the templates.  For each file the scan
 
 1. finds the file's words that are in the index (by 64-bit hash, in one NumPy pass);
-2. looks up the postings of its ``RARE`` highest-IDF licence words, and intersects them by
-   relative position: each posting votes for (template, file position - template position);
-3. keeps alignments where at least ``VOTES`` different rare words of the template (all of
-   them, if it has fewer) agree; the share of the template's words that stand in place at
-   that alignment must reach ``COVERAGE``;
+2. looks up the postings of each template's own rare words, chosen when the index is built:
+   each posting votes for (template, file position - template position);
+3. keeps alignments with at least ``VOTES`` votes; the share of the template's words that
+   stand in place at that alignment must reach ``COVERAGE``.  A template has so many rare
+   places that no alignment of that coverage can miss the votes;
 4. verifies that one of the template's mandatory key phrases stands in the aligned window.
 
 The three base phrases are found at every place in the whole text: places of their last
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .textkernel import ALNUM, LOWER, hash_bytes, loads, pieces, span_hashes, utf8, word_spans
 
-RARE, VOTES, COVERAGE, SLACK = 24, 3, 0.7, 4
+VOTES, COVERAGE, SLACK = 3, 0.7, 4
 
 #: Phrase -> label.
 BASE = {
@@ -85,20 +85,24 @@ class TemplateIndex:
         for t, words in enumerate(self.words):
             for p, w in enumerate(words):
                 self.postings[self.number[w]].append((t, p))
+        # the rarest places of each template: all but VOTES of them may be out of place
+        self.rare: list[list[tuple[int, int]]] = [[] for _ in self.vocabulary]
+        self.enough = []
+        for t, words in enumerate(self.words):
+            least = next(c for c in range(len(words) + 1) if c / len(words) >= COVERAGE)
+            self.enough.append(min(VOTES, least))
+            order = sorted(range(len(words)), key=lambda p: (-self.idf[self.number[words[p]]], -len(words[p]), p))
+            for p in order[: len(words) - least + self.enough[t]]:
+                self.rare[self.number[words[p]]].append((t, p))
 
     def scan(self, places: dict[int, int], by_word: dict[int, list[int]]) -> tuple[set[str], float]:
         """Labels and best coverage of one file.  places: file position -> word number of
         its licence words; by_word: word number -> file positions."""
-        rare = sorted((w for w in by_word if self.postings[w]), key=lambda w: (-self.idf[w], w))[:RARE]
-        votes: dict[tuple[int, int], set[int]] = {}
-        for w in rare:
-            for t, p in self.postings[w]:
-                for at in by_word[w]:
-                    votes.setdefault((t, at - p), set()).add(w)
+        votes: Counter[tuple[int, int]] = Counter((t, at - p) for w, spots in by_word.items() for t, p in self.rare[w] for at in spots)
         labels, best = set(), 0.0
         for (t, at), agree in votes.items():
             words = self.words[t]
-            if len(agree) < min(VOTES, len(set(words))):
+            if agree < self.enough[t]:
                 continue
             covered = sum(places.get(at + p) == self.number[w] for p, w in enumerate(words)) / len(words)
             if covered < COVERAGE or covered <= best and self.labels[t] in labels:

@@ -221,6 +221,38 @@ def test_license_scan(spark, docs, odd, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_labels_equal_all_alignments():
+    """Long texts with several licences: as many labels as a brute-force alignment finds."""
+    import pyarrow as pa
+
+    index, rng = license_scan.TemplateIndex(), np.random.default_rng(4)
+    filler = [*index.vocabulary, *(f"z{i}" for i in range(100))]
+    texts = []
+    for _ in range(12):
+        words = [filler[i] for i in rng.integers(0, len(filler), 400)]
+        for t in rng.choice(len(index.words), 5, replace=False):
+            part = list(index.words[t])
+            for p in rng.choice(len(part), int(0.3 * len(part) * rng.random()), replace=False):
+                part[p] = "zz"
+            at = int(rng.integers(0, len(words)))
+            words[at:at] = part
+        texts.append(" ".join(words))
+
+    def brute(text):
+        w = text.split()
+        out = {label for p, label in license_scan.BASE.items() if f" {p} " in f" {text} "}
+        for t, words in enumerate(index.words):
+            for at in range(-len(words), len(w)):
+                if sum(0 <= at + p < len(w) and w[at + p] == x for p, x in enumerate(words)) / len(words) >= license_scan.COVERAGE:
+                    near = " ".join(w[max(at - license_scan.SLACK, 0) : at + 2 * len(words) + license_scan.SLACK])
+                    if any(" ".join(q) in near for q in index.phrases[t]):
+                        out.add(index.labels[t])
+        return ",".join(sorted(out))
+
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    assert license_scan._scan_batch(batch, "text", index)[5].to_pylist() == [brute(t) for t in texts]
+
+
 def test_language_id(spark, docs, odd, empty):
     held = remainder(F.col("doc_id"), 5) == 0
     model = langid.fit(docs.filter(~held))
