@@ -61,6 +61,24 @@ def few(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     return df.count() <= most
 
 
+#: Rows of a key that meet their one row by a shuffle at least.
+MEET_ROWS = 1000
+
+
+def meet(rows: DataFrame, sums: DataFrame, keys: list[str], size: str, how: str) -> DataFrame:
+    """``rows`` joined (inner or left) with ``sums``, a stored table of one row per key
+    whose column ``size`` counts the key's rows.  Keys of very many rows are broadcast, at
+    most BROADCAST_ROWS of them since sizes add up to the rows; the others shuffle."""
+    total = sums.agg(F.sum(size)).first()[0] or 0
+    limit = max(MEET_ROWS, total // BROADCAST_ROWS)
+    heavy = sums.filter(F.col(size) > limit)
+    if heavy.isEmpty():
+        return rows.join(sums, keys, how)
+    first = rows.join(F.broadcast(heavy), keys, "left")
+    rest = first.filter(F.col(size).isNull()).select(*rows.columns).join(sums.filter(F.col(size) <= limit), keys, how)
+    return first.filter(F.col(size).isNotNull()).select(*rest.columns).unionByName(rest)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -2,23 +2,30 @@
 
 Lines are parsed to a fixed depth: variable fields (tokens with a digit, an ``@`` or a
 ``://``) become ``<*>``; the first level of the tree is the token count, the next
-``depth`` levels are the leading tokens.  Within a leaf, each position whose most common
-token covers over half of the leaf's different lines is constant, any other a variable
-field; lines that agree with the constants on at least ``similarity`` of their tokens
-share the leaf's template, any other line is its own.  A template found in more than one
+``depth`` levels are the leading tokens.  A leaf holds as many templates as its lines
+need: at each position of a leaf, tokens are counted over the leaf's different lines, and
+a line's constants are its leading tokens and those of its other tokens that are at least
+as frequent at their place as its (``similarity`` x tokens)-th most frequent one; the rest
+are variable fields.  Lines with the same constants at the same places share a template,
+so a family of lines is found whatever else its leaf holds, and two lines of a template
+agree on at least ``similarity`` of their tokens.  A template found in more than one
 document is recurring: its first line (smallest identifier, then position) stays, all
 others are dropped.
 
-Scale: the tree is held as hashed rows (leaf, line), counted by partial aggregation, so
-a line that is in every document is a single row per task.  Token votes are taken only in
-leaves with several different lines.  Texts are joined with the lists of dropped
-positions, broadcast only after their number was counted.
+Scale: the tree is held as hashed rows (leaf, and 128 bits of line and template), counted
+by partial aggregation, so a line that is in every document is a single row per task.
+Tokens are counted only in leaves with several different lines.  Where rows meet the one
+row of their key, keys with very many rows (at most BROADCAST_ROWS of them) are broadcast
+and only the others shuffle, so no key is a hot partition.  Lists of positions are
+broadcast only after the positions in them were counted.
 
 Defined results: lines are separated by ``\\n`` and have ``[\\x20\\x09-\\x0D]+`` between
-tokens; lines under ``min_tokens`` tokens always stay; repeats within a single document
-stay; null text stays null; rows that repeat identifier and text are one document; null
-identifiers sort last; ``emptied`` marks documents that lost lines and have no line of
-``min_tokens`` tokens left; result names replace input columns of the same name.
+tokens; blank lines and lines of variable fields alone always stay; repeats within a
+single document stay; null text stays null, empty text stays empty; rows that repeat
+identifier and text are one document; ties of position cannot occur, equal identifiers go
+by text hash; null identifiers sort last; lines and texts may have any length; an empty
+table gives an empty result; ``emptied`` marks documents that lost lines and have no line
+left that is not blank; result names replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -26,15 +33,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, documents, durable, few, fresh, without
+from .common import BROADCAST_ROWS, documents, durable, few, fresh, meet, without
 
 GAP = r"[ \t\x0B\f\r]+"
 VARIABLE = r"[0-9@]|://"
-DEPTH, MIN_TOKENS, SIMILARITY = 3, 4, 0.8
-#: Different lines of a leaf that are matched in one piece.
-LEAF_LINES = 1000
-#: Positions in all lists of dropped lines, up to which the lists are broadcast.
+DEPTH, SIMILARITY = 3, 0.8
+#: Positions in all lists of lines, up to which the lists are broadcast.
 BROADCAST_POSITIONS = 8_000_000
+LINE = ["leaf", "line", "line2"]
 
 
 def _masked(raw: Column) -> Column:
@@ -44,114 +50,104 @@ def _masked(raw: Column) -> Column:
     return F.when(raw.rlike(VARIABLE), masked).otherwise(tokens)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int) -> DataFrame:
-    """One row per line of at least ``min_tokens`` tokens: d, rk, pos, leaf, line; hashes
-    only, so that texts are parsed once."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
+    """One row per line with a constant token: d, rk, pos, leaf, line, line2; hashes only,
+    so that texts are parsed once."""
     rows = docs.select(
         F.col(f"`{id_col}`").alias("d"),
         F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("rk"),
         F.posexplode(F.split(f"`{text_col}`", "\n")).alias("pos", "raw"),
     )
-    rows = rows.select("d", "rk", "pos", _masked(F.col("raw")).alias("masked")).filter(F.size("masked") >= min_tokens)
+    rows = rows.select("d", "rk", "pos", _masked(F.col("raw")).alias("masked")).filter(F.exists("masked", lambda t: t != "<*>"))
     leaf = F.xxhash64(F.size("masked"), F.slice("masked", 1, depth))
-    return durable(rows.select("d", "rk", "pos", leaf.alias("leaf"), F.xxhash64("masked").alias("line")), "lines")
+    line, line2 = F.xxhash64("masked"), F.xxhash64(F.lit(1), "masked")
+    return durable(rows.select("d", "rk", "pos", leaf.alias("leaf"), line.alias("line"), line2.alias("line2")), "lines")
+
+
+def _bound_lists(lists: DataFrame, column: str) -> DataFrame:
+    """A stored table of lists, to be broadcast if rows and positions are few."""
+    rows, positions = lists.agg(F.count(F.lit(1)), F.sum(F.size(column))).first()
+    return F.broadcast(lists) if rows <= BROADCAST_ROWS and (positions or 0) <= BROADCAST_POSITIONS else lists
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str, known: DataFrame) -> DataFrame:
-    """(leaf, line, masked) of the different lines of leaves that have several, each from
-    its first document: those documents are split again, and only these lines parsed."""
-    wanted = known.filter("several").select("leaf", "line", F.col("first.rk").alias("rk"), F.col("first.pos").alias("pos"))
-    wanted = durable(wanted.groupBy("rk").agg(F.collect_list(F.struct("pos", "leaf", "line")).alias("w")), "wanted")
+    """(leaf, line, line2, tokens) of the different lines of leaves that have several, each
+    from its first document: those documents are split again, and only these lines parsed."""
+    wanted = known.filter("several").select(*LINE, F.col("first.rk").alias("rk"), F.col("first.pos").alias("pos"))
+    wanted = durable(wanted.groupBy("rk").agg(F.collect_list(F.struct("pos", *LINE)).alias("w")), "wanted")
     text = F.col(f"`{text_col}`")
-    rows = docs.select(F.xxhash64(f"`{id_col}`", text).alias("rk"), text.alias("text")).join(_bound(wanted), "rk")
+    rows = docs.select(F.xxhash64(f"`{id_col}`", text).alias("rk"), text.alias("text")).join(_bound_lists(wanted, "w"), "rk")
     rows = rows.select(F.split("text", "\n").alias("parts"), "w").select(
-        F.explode(F.transform("w", lambda x: F.struct(x["leaf"].alias("leaf"), x["line"].alias("line"), F.get("parts", x["pos"]).alias("raw")))).alias("x")
+        F.explode(F.transform("w", lambda x: F.struct(*[x[c].alias(c) for c in LINE], F.get("parts", x["pos"]).alias("raw")))).alias("x")
     )
-    rows = rows.select("x.leaf", "x.line", _masked(F.col("x.raw")).alias("masked"))
-    return durable(rows.groupBy("leaf", "line").agg(F.min("masked").alias("masked")), "members")
-
-
-def _bound(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if few(df, most) else df
-
-
-def recurring_templates(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(leaf, line, first) of each different line whose template is in several documents."""
-    seqs = lines.groupBy("leaf", "line").agg(
+    tokens = F.transform(_masked(F.col("x.raw")), lambda t: F.xxhash64(t))
+    rows = rows.select(*[f"x.{c}" for c in LINE], tokens.alias("tokens"))
+    return durable(rows.groupBy(*LINE).agg(F.min("tokens").alias("tokens")), "members")
+
+
+def _templates(members: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """(leaf, line, line2, t1, t2): the template of each line of a leaf with several."""
+    places = members.select(*LINE, F.posexplode("tokens").alias("p", "t")).filter(F.col("p") >= depth)
+    counts = durable(places.groupBy("leaf", "p", "t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "counts")
+    places = meet(places, counts, ["leaf", "p", "t"], "c", "left").withColumn("c", F.coalesce("c", F.lit(1).cast("long")))
+    per = places.groupBy(*LINE).agg(F.array_sort(F.collect_list(F.struct("p", "t", "c"))).alias("x"))
+    asked = F.ceil(F.round(F.lit(similarity) * (F.size("x") + depth), 6)).cast("int") - depth
+    ranked = F.sort_array(F.transform("x", lambda x: x["c"]), asc=False)
+    per = per.withColumn("cut", F.when(asked > 0, F.get(ranked, asked - 1)))
+    constants = F.transform("x", lambda x: F.when(x["c"] >= F.col("cut"), x["t"]))
+    # a null is hashed like nothing at all: the place goes with the token
+    constants = F.filter(F.transform(constants, lambda t, i: F.when(t.isNotNull(), F.struct(i.alias("i"), t.alias("t")))), lambda t: t.isNotNull())
+    return per.select(*LINE, F.xxhash64(constants).alias("t1"), F.xxhash64(F.lit(1), constants).alias("t2"))
+
+
+def recurring_templates(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(leaf, line, line2, times, first) of each different line whose template is in
+    several documents; times: how often the line occurs."""
+    seqs = lines.groupBy(*LINE).agg(
         F.min("rk").alias("lo"),
         F.max("rk").alias("hi"),
+        F.count(F.lit(1)).alias("times"),
         F.min(F.struct(F.col("d").isNull().alias("n"), "d", "rk", "pos")).alias("first"),
     )
-    leaves = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b"))
-    leaves = durable(leaves.filter("a <> b").select("leaf", F.lit(True).alias("several")), "leaves")
-    known = durable(seqs.join(_bound(leaves), "leaf", "left").filter("lo <> hi OR several"), "templates")
-    members = _members(docs, id_col, text_col, known)
-    totals = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("total"))
-    votes = members.select("leaf", F.posexplode("masked").alias("p", "t")).groupBy("leaf", "p", "t").agg(F.count(F.lit(1)).alias("c"))
-    modes = votes.groupBy("leaf", "p").agg(F.max(F.struct("c", "t")).alias("m"))
-    # Constants only: over half of the leaf's lines; a missing position is a variable field.
-    constants = (
-        modes.join(totals, "leaf")
-        .filter("m.c * 2 > total")
-        .groupBy("leaf")
-        .agg(F.map_from_entries(F.collect_list(F.struct("p", "m.t"))).alias("constants"))
-    )
-    agree = F.aggregate(
-        F.sequence(F.lit(0), F.size("masked") - 1),
-        F.lit(0),
-        lambda s, i: s + F.when(F.get("masked", i) == F.try_element_at("constants", i), 1).otherwise(0),
-    )
-    # A leaf of very many lines is matched in pieces, each with its own copy of the constants.
-    salts = F.ceil(F.col("total") / LEAF_LINES).cast("int")
-    large = durable(totals.filter(F.col("total") > LEAF_LINES).select("leaf", salts.alias("salts")), "large")
-    salted = members.join(_bound(large), "leaf", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("line"), "salts").cast("int"), F.lit(0)))
-    copies = constants.join(_bound(large), "leaf", "left").select("leaf", "constants", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    matched = salted.join(copies, ["leaf", "salt"]).filter(agree >= F.lit(similarity) * F.size("masked")).select("leaf", "line", F.lit(True).alias("m"))
-    marked = durable(known.join(matched, ["leaf", "line"], "left"), "marked")
-    merged = marked.filter("m").groupBy("leaf").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"))
-    own = marked.filter("m IS NULL AND lo <> hi").select("leaf", "line", "first")
-    shared = marked.filter("m").select("leaf", "line").join(merged.filter("lo <> hi"), "leaf").select("leaf", "line", "first")
+    leaves = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.count(F.lit(1)).alias("rows"))
+    leaves = durable(leaves.filter("a <> b").select("leaf", "rows", F.lit(True).alias("several")), "leaves")
+    known = durable(meet(seqs, leaves, ["leaf"], "rows", "left").drop("rows").filter("lo <> hi OR several"), "templates")
+    found = _templates(_members(docs, id_col, text_col, known), depth, similarity)
+    marked = known.filter("several").join(found, LINE, "left")
+    # lines without places beyond the leading tokens are their own template
+    marked = marked.withColumn("t1", F.coalesce("t1", "line")).withColumn("t2", F.coalesce("t2", "line2"))
+    marked = durable(marked.drop("several"), "marked")
+    template = ["leaf", "t1", "t2"]
+    groups = marked.groupBy(*template).agg(F.min("lo").alias("glo"), F.max("hi").alias("ghi"), F.min("first").alias("gfirst"), F.count(F.lit(1)).alias("rows"))
+    groups = durable(groups.filter("glo <> ghi").drop("glo", "ghi"), "groups")
+    shared = meet(marked, groups, template, "rows", "inner").select(*LINE, "times", F.col("gfirst").alias("first"))
+    own = known.filter("several IS NULL").select(*LINE, "times", "first")
     return own.unionByName(shared)
 
 
-def line_dedup(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    depth: int = DEPTH,
-    min_tokens: int = MIN_TOKENS,
-    similarity: float = SIMILARITY,
-) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with the text without dropped lines, and n_lines, n_dropped, emptied."""
     docs = without(docs, "n_lines", "n_dropped", "emptied")
-    lines = _lines(docs, id_col, text_col, depth, min_tokens)
-    keys = durable(recurring_templates(docs, id_col, text_col, lines, similarity), "recurring")
-    drops = (
-        lines.join(_bound(keys), ["leaf", "line"])
-        .filter("rk <> first.rk OR pos <> first.pos")
-        .groupBy("d", "rk")
-        .agg(F.collect_set("pos").alias("dropped"))
-    )
-    drops = durable(drops, "drops")
-    size = drops.agg(F.count(F.lit(1)), F.sum(F.size("dropped"))).first()
-    if size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_POSITIONS:
-        drops = F.broadcast(drops)
-    rk, dd, dr, parts, left = fresh(docs, "rk", "d", "dropped", "parts", "left")
+    lines = _lines(docs, id_col, text_col, depth)
+    keys = durable(recurring_templates(docs, id_col, text_col, lines, depth, similarity), "recurring")
+    dropped = lines.join(F.broadcast(keys), LINE) if few(keys) else meet(lines, keys, LINE, "times", "inner")
+    drops = dropped.filter("rk <> first.rk OR pos <> first.pos").groupBy("d", "rk").agg(F.collect_set("pos").alias("dropped"))
+    drops = _bound_lists(durable(drops, "drops"), "dropped")
+    rk, dk, dd, dr, parts, left = fresh(docs, "rk", "dk", "d", "dropped", "parts", "left")
     text = F.col(f"`{text_col}`")
     out = docs.withColumn(rk, F.xxhash64(f"`{id_col}`", text)).join(
-        drops.select(F.col("d").alias(dd), F.col("rk").alias(f"{rk}2"), F.col("dropped").alias(dr)),
-        (F.col(rk) == F.col(f"{rk}2")) & F.col(f"`{id_col}`").eqNullSafe(F.col(dd)),
+        drops.select(F.col("d").alias(dd), F.col("rk").alias(dk), F.col("dropped").alias(dr)),
+        (F.col(rk) == F.col(dk)) & F.col(f"`{id_col}`").eqNullSafe(F.col(dd)),
         "left",
     )
     out = out.withColumn(parts, F.split(text, "\n"))
     keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(dr))
     out = out.withColumn(left, F.when(F.col(dr).isNotNull(), F.transform(keep, lambda i: F.get(F.col(parts), i))))
-    words = rf"([^ \t\x0B\f\r]+{GAP}){{{min_tokens - 1}}}[^ \t\x0B\f\r]" if min_tokens > 1 else r"[^ \t\x0B\f\r]"
     return out.select(
         *[(F.coalesce(F.array_join(left, "\n"), text).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns],
         F.when(text.isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
         F.when(F.col(dr).isNull(), 0).otherwise(F.size(dr)).alias("n_dropped"),
-        F.when(F.col(dr).isNull(), False).otherwise(~F.exists(left, lambda x: x.rlike(words))).alias("emptied"),
+        F.when(F.col(dr).isNull(), False).otherwise(~F.exists(left, lambda x: x.rlike(r"[^ \t\x0B\f\r]"))).alias("emptied"),
     )
 
 
@@ -168,38 +164,32 @@ t AS (
     list_transform(list_filter(regexp_split_to_array(raw, '{GAP}'), lambda x: x <> ''),
       lambda x: CASE WHEN regexp_matches(x, '{VARIABLE}') THEN '<*>' ELSE x END) AS masked
   FROM l),
-e AS (SELECT doc_id, pos, masked, len(masked) AS n, masked[1:{DEPTH}] AS lead FROM t WHERE len(masked) >= {MIN_TOKENS}),
-s AS (
-  SELECT n, lead, masked, count(DISTINCT doc_id) AS docs, min((doc_id, pos)) AS first
-  FROM e GROUP BY ALL),
-v AS (
-  SELECT n, lead, p, t, count(*) AS c
-  FROM (SELECT n, lead, generate_subscripts(masked, 1) AS p, unnest(masked) AS t FROM s) GROUP BY ALL),
-k AS (SELECT n, lead, count(*) AS total FROM s GROUP BY ALL),
-c AS (
-  SELECT n, lead, list(p ORDER BY p) AS ps, list(t ORDER BY p) AS ts
-  FROM v JOIN k USING (n, lead) WHERE c * 2 > total AND total > 1 GROUP BY ALL),
+e AS (
+  SELECT doc_id, pos, masked, len(masked) AS n, masked[1:{DEPTH}] AS lead
+  FROM t WHERE len(list_filter(masked, lambda x: x <> '<*>')) > 0),
+s AS (SELECT n, lead, masked, min((doc_id, pos)) AS first FROM e GROUP BY ALL),
+x AS (SELECT n, lead, masked, generate_subscripts(masked, 1) AS p, unnest(masked) AS t FROM s),
+v AS (SELECT n, lead, p, t, count(*) AS c FROM x WHERE p > {DEPTH} GROUP BY ALL),
+w AS (SELECT n, lead, masked, list(c ORDER BY p) AS cs FROM x JOIN v USING (n, lead, p, t) GROUP BY ALL),
 m AS (
-  SELECT s.*, coalesce(len(list_filter(range(1, len(ps) + 1), lambda i: masked[ps[i]] = ts[i])) >= {SIMILARITY} * n, false) AS matched
-  FROM s LEFT JOIN c USING (n, lead)),
+  SELECT s.n, s.lead, s.masked, s.first,
+    CASE WHEN cs IS NULL THEN [] ELSE list_transform(range(1, len(cs) + 1), lambda i:
+      CASE WHEN cs[i] >= list_reverse_sort(cs)[CAST(ceil(round({SIMILARITY} * s.n, 6)) AS INT) - {DEPTH}] THEN s.masked[i + {DEPTH}] ELSE '' END) END AS template
+  FROM s LEFT JOIN w USING (n, lead, masked)),
 g AS (
-  SELECT n, lead, masked, matched,
-    CASE WHEN matched THEN min(first) OVER (PARTITION BY n, lead, matched) ELSE first END AS first
-  FROM m),
-d AS (
-  SELECT n, lead, matched, count(DISTINCT doc_id) AS docs FROM e JOIN g USING (n, lead, masked)
-  WHERE matched GROUP BY ALL),
+  SELECT n, lead, template, min(m.first) AS first, count(DISTINCT doc_id) AS docs
+  FROM e JOIN m USING (n, lead, masked) GROUP BY n, lead, template),
 r AS (
-  SELECT e.doc_id, e.pos FROM e JOIN g USING (n, lead, masked) LEFT JOIN d USING (n, lead, matched) JOIN s USING (n, lead, masked)
-  WHERE (CASE WHEN g.matched THEN d.docs ELSE s.docs END) > 1 AND (e.doc_id, e.pos) <> g.first),
-x AS (SELECT doc_id, list(pos) AS dropped FROM r GROUP BY doc_id),
+  SELECT e.doc_id, e.pos FROM e JOIN m USING (n, lead, masked) JOIN g USING (n, lead, template)
+  WHERE g.docs > 1 AND (e.doc_id, e.pos) <> g.first),
+d AS (SELECT doc_id, list(pos) AS dropped FROM r GROUP BY doc_id),
 o AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS parts, dropped,
     [string_split(text, chr(10))[i] for i in range(1, len(string_split(text, chr(10))) + 1) if NOT list_contains(dropped, i - 1)] AS kept
-  FROM documents LEFT JOIN x USING (doc_id))
+  FROM documents LEFT JOIN d USING (doc_id))
 SELECT doc_id, len(parts)::INT AS n_lines, coalesce(len(dropped), 0)::INT AS n_dropped,
   dropped IS NOT NULL AND NOT list_bool_or(list_transform(kept,
-    lambda y: len(list_filter(regexp_split_to_array(y, '{GAP}'), lambda z: z <> '')) >= {MIN_TOKENS}) || [false]) AS emptied,
+    lambda y: len(list_filter(regexp_split_to_array(y, '{GAP}'), lambda z: z <> '')) > 0) || [false]) AS emptied,
   CASE WHEN dropped IS NULL THEN text ELSE array_to_string(kept, chr(10)) END AS text
 FROM o
 """

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ridgeline.llm import components, embedding_dedup, exact_dedup, line_dedup, shingle_dedup, simhash
+from ridgeline.llm import common, components, embedding_dedup, exact_dedup, line_dedup, shingle_dedup, simhash
 
 from llm_helpers import WORD, frame, lower, odd_rows
 
@@ -75,7 +75,7 @@ def test_line_dedup_templates(spark, empty):
     out = {(r.doc_id, r.text): r for r in line_dedup.line_dedup(docs, depth=2).collect()}
     text = {k[0]: k[1] for k in out}
     assert text[1] == rows[0][1] and text[2] == "Second text with other own words"
-    assert text[3] == rows[2][1] and text[4] == "short one"
+    assert text[3] == rows[2][1] and text[4] == ""
     assert text[5] is None and text[6] == "" and text[7] == "" and text[8] == rows[7][1]
     assert text[None] == "the rest stays where it is"
     emptied = {k[0] for k, r in out.items() if r.emptied}
@@ -88,6 +88,30 @@ def test_line_dedup_keeps_unlike_lines_of_a_leaf(spark):
     assert line_dedup.line_dedup(frame(spark, rows)).filter("n_dropped > 0").count() == 0
 
 
+@pytest.mark.parametrize("meet_rows", [1000, 3])
+def test_line_dedup_finds_families_in_a_mixed_leaf(spark, monkeypatch, meet_rows):
+    """Two families and unlike lines share a leaf; keys of many rows take the other path."""
+    monkeypatch.setattr(common, "MEET_ROWS", meet_rows)
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    lines = [f"We would like to thank {word(i)} for the visit today" for i in range(40)]
+    lines += [f"We would like our dear guest {word(i)} all the best" for i in range(20)]
+    lines += ["We would like " + " ".join(f"{word(i)}{'klmnopq'[k]}" for k in range(7)) for i in range(60)]
+    rows = [(i, f"{line}\n{word(i)}x {word(i)}y") for i, line in enumerate(lines)]
+    out = {r.doc_id: r for r in line_dedup.line_dedup(frame(spark, rows).withColumn("_rl_rk2", F.lit(1)).withColumn("_RL_DK", F.lit(1))).collect()}
+    assert {i for i, r in out.items() if r.n_dropped} == {*range(1, 40), *range(41, 60)}
+    assert out[1].text == "bx by" and not any(r.emptied for r in out.values())
+
+
+def test_line_dedup_of_short_lines(spark, odd):
+    rows = [(i, f"All rights reserved\nwort{'abc'[i]} drei\n日本{'語文字'[i]}") for i in range(3)] + [(3, "Read more\n 17 \n\n"), (4, "Read more\n 17 \n\n"), (5, "Read  more"), (6, "17"), (7, "18")]
+    out = {r.doc_id: r for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
+    assert out[0].text == rows[0][1] and out[2].text == "wortc drei\n日本字"
+    assert out[4].text == " 17 \n\n" and out[5].text == "" and out[6].text == "17" and out[7].text == "18"
+    assert {i for i, r in out.items() if r.emptied} == {5}
+    kept = {(r.doc_id, r.text) for r in line_dedup.line_dedup(odd).collect() if not r.emptied}
+    assert kept == {r for r in odd_rows() if r[0] != 3}  # lines of variable fields alone stay
+
+
 def brute_print(t, width=4):
     w = WORD.findall(lower(t))
     s = [" ".join(w[i : i + width]) for i in range(len(w) - width + 1)] if len(w) >= width else ([" ".join(w)] if w else [])
