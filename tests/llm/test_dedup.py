@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ridgeline.llm import common, components, embedding_dedup, exact_dedup, line_dedup, shingle_dedup, simhash
+from ridgeline.llm import common, components, embedding_dedup, exact_dedup, line_dedup, simhash, simhash_near
 
 from llm_helpers import WORD, frame, lower, odd_rows
 
@@ -244,10 +244,15 @@ def brute_set(t, width=5):
     return frozenset(tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, min(len(w), 1))))
 
 
-def test_near_dedup_catches_similarity_of_four_fifths(spark, odd, empty):
+@pytest.mark.parametrize("window,run_rows", [(64, 16_384), (3, 16_384), (3, 40)])
+def test_near_dedup_catches_similarity_of_four_fifths(spark, odd, empty, monkeypatch, window, run_rows):
     """Scattered edits: nearly all pairs of 0.8 and more are linked, and nothing below."""
     import corpus_pipeline
 
+    monkeypatch.setattr(simhash_near, "WINDOW", window)
+    monkeypatch.setattr(simhash_near, "RUN_ROWS", run_rows)
+    monkeypatch.setattr(simhash_near, "SAMPLE", 2)
+
     rng = np.random.default_rng(5)
     rows = []
     for words, edits in ((100, 1), (100, 2), (200, 2), (200, 4), (200, 9), (1000, 20), (30, 1)):
