@@ -29,7 +29,7 @@ def as_dict(out):
 
 
 def test_exact_dedup(odd, empty):
-    out = exact_dedup.exact_dedup(odd.withColumn("keep", F.lit("x")).withColumn("norm", F.lit(1)))
+    out = exact_dedup.exact_dedup(odd.withColumn("keep", F.lit("x")).withColumn("norm", F.lit(1)).withColumn("salts", F.lit(2)).withColumn("_RL_raw", F.lit(3)))
     assert out.count() == len(odd_rows()) and "lang" in out.columns
     assert as_dict(out) == brute_exact(odd_rows())
     assert all(r.kept == (r.doc_id == r.keep_id) for r in out.collect())
@@ -44,18 +44,42 @@ def test_exact_dedup_verifies_bytes(spark):
     assert got == {i: v for (i, _), v in brute_exact(rows).items()}
 
 
-def test_digest_runs_merge_over_batches(spark):
+@pytest.mark.parametrize("weak", [False, True])
+@pytest.mark.parametrize("fanout,bits", [(8, 1 << 27), (2, 1 << 15)])
+def test_digest_runs_over_batches(spark, monkeypatch, weak, fanout, bits):
+    """Batches against one index: as a brute-force grouping of all rows so far, also with
+    a digest that collides within and across batches."""
+    monkeypatch.setattr(exact_dedup, "FANOUT", fanout)
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
+    monkeypatch.setattr(common, "MEET_ROWS", 2)
     index = exact_dedup.DigestIndex(spark)
-    rows = lambda ids: frame(spark, [(i, f"t{i % 4}") for i in ids]).select(
-        exact_dedup.sha256(F.col("text")).alias("digest"), F.struct(F.lit(0).alias("o"), F.lit(False).alias("n"), F.col("doc_id").alias("id")).alias("keep")
-    )
-    index.flush(rows(range(10, 20)))
-    index.compact()
-    index.flush(rows(range(5, 9)))
-    got = sorted((r.keep.id, r.group_size) for r in index.compact().collect())
-    ids = [*range(10, 20), *range(5, 9)]
-    assert got == sorted((min(m), len(m)) for k in range(4) if (m := [i for i in ids if i % 4 == k]))
-    assert index.version == 2
+    short = lambda c: F.unhex(F.substring(F.sha2(c.cast("binary"), 256), 1, 1))
+    seen = []
+    for ids in (range(100, 160), range(50, 80), [3, None], range(60)):
+        batch = [(i, f"t{(i or 0) % 37}" + " " * ((i or 0) % 3)) for i in ids]
+        seen += batch
+        out = exact_dedup.exact_dedup(frame(spark, batch), index=index, digest=short if weak else exact_dedup.sha256).collect()
+        want = {i: v for (i, _), v in brute_exact(seen).items()}
+        assert sorted((str(r.doc_id), r.keep_id, r.group_size) for r in out) == sorted((str(i), *want[i]) for i, _ in batch)
+    assert len(index.runs) == (4 if fanout == 8 else 1) and index.written > 3
+
+
+def test_batches_with_one_digest_are_told_apart(spark):
+    index = exact_dedup.DigestIndex(spark)
+    same = lambda c: F.when(c.isNotNull(), F.unhex(F.lit("AB")))
+    for batch in ([(1, "alpha"), (2, "alpha")], [(3, "gamma"), (4, "delta")]):
+        out = exact_dedup.exact_dedup(frame(spark, batch), index=index, digest=same).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out) == [(3, 3, 1, True), (4, 4, 1, True)]
+
+
+def test_filters_pass_what_they_hold(spark):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    bits = exact_dedup.filter_bits(3000)
+    stored = exact_dedup.make_filter(keys, bits)
+    assert exact_dedup.passing(keys, F.col("h"), stored, bits).count() == 3000
+    others = spark.range(3000, 23_000).select(F.xxhash64("id").alias("h"))
+    assert exact_dedup.passing(others, F.col("h"), stored, bits).count() < 2500
+    assert exact_dedup.filter_bits(10**12) == exact_dedup.FILTER_BITS
 
 
 def test_line_dedup_templates(spark, empty):
