@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it was counted and has at most so many rows
@@ -17,9 +18,11 @@ _own: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share; only where the
-    session has none (tests, local mode) a temporary folder of this machine."""
+    session has none and all of it runs in one process (tests), a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         path = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="ridgeline-"))
     return path.rstrip("/")
@@ -56,6 +59,12 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in low])
 
 
+def other_fields(df: DataFrame, *names: str) -> list:
+    """The fields of ``df`` but those of these names, whatever their case."""
+    low = {n.lower() for n in names}
+    return [f for f in df.schema.fields if f.name.lower() not in low]
+
+
 def few(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     """Whether ``df``, usually a stored table, was counted to have at most ``most`` rows."""
     return df.count() <= most
@@ -79,6 +88,33 @@ def meet(rows: DataFrame, sums: DataFrame, keys: list[str], size: str, how: str)
     return first.filter(F.col(size).isNotNull()).select(*rest.columns).unionByName(rest)
 
 
+#: Bits of a filter at most (16 MB), and bits for each key below that.
+FILTER_BITS, KEY_BITS = 1 << 27, 16
+
+
+def filter_bits(keys: int) -> int:
+    return min(FILTER_BITS, max(1 << 15, 1 << (keys * KEY_BITS).bit_length()))
+
+
+def make_filter(hashes: DataFrame, bits: int) -> DataFrame:
+    """(bucket, bitmap) of the column ``h``: at most bits / 32768 rows of 4 KB."""
+    slot = F.pmod("h", F.lit(bits))
+    rows = hashes.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
+    return rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def passing(rows: DataFrame, h: Column, stored: DataFrame, bits: int) -> DataFrame:
+    """``rows`` whose hash may be in a stored filter, which is broadcast: its size is
+    bounded by ``FILTER_BITS``."""
+    slot = F.pmod(h, F.lit(bits))
+    bucket, bitmap = fresh(rows, "bucket", "bitmap")
+    out = rows.join(F.broadcast(stored.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap))), F.bitmap_bucket_number(slot) == F.col(bucket))
+    bit = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    mask = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (bit % 8 + 1).cast("int"))
+    return out.filter(byte.bitwiseAND(mask) != 0).drop(bucket, bitmap)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -12,7 +12,9 @@ the matrix, summed by text.
 Defined results: null texts and texts without a letter are ``und`` with score 0; if there
 is nothing to learn from, every text is ``und``; equal scores go to the language first in
 alphabetical order; null labels teach nothing; empty texts teach only the class prior,
-repeated rows count each time; the score is the posterior probability.
+texts of any length count whole, repeated rows count each time; identifiers take no part;
+an empty table gives an empty result; the score is the posterior probability; result names
+replace input columns of the same name, whatever their case.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, remainder
+from .common import documents, other_fields, remainder
 from .textkernel import mix, pieces, utf8
 
 ORDERS = (1, 2, 3)
@@ -167,6 +169,8 @@ def identify(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     langs, priors, matrix = model
     buckets = matrix.shape[1]
     shared = docs.sparkSession.sparkContext.broadcast((priors, matrix))
+    fields = other_fields(docs, "lang_pred", "score")
+    names = [f.name for f in fields]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         priors, matrix = shared.value
@@ -183,12 +187,10 @@ def identify(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
                 post = 1.0 / np.exp(logp - logp.max(0)).sum(0)
                 for i in np.flatnonzero(has):
                     pred[a + i], best[a + i] = langs[top[i]], post[i]
-            keep = [(c, n) for c, n in zip(batch.columns, batch.schema.names) if n not in ("lang_pred", "score")]
-            yield pa.RecordBatch.from_arrays([c for c, _ in keep] + [pa.array(pred, pa.string()), pa.array(best)], [n for _, n in keep] + ["lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(pred, pa.string()), pa.array(best)], [*names, "lang_pred", "score"])
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     schema = StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.mapInArrow(score, schema)
 

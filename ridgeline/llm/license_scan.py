@@ -20,7 +20,10 @@ Work per file is linear in its words; nothing is kept between files, so memory i
 by one piece of text, and a lost executor costs its running tasks only.
 
 Defined results: A-Z are lower-cased, no other letters; null texts count as empty (0
-words, no labels, score 0); labels are sorted and joined by commas, '' if there are none.
+words, no labels, score 0); texts of any length are scanned whole; labels are sorted and
+joined by commas, '' if there are none; of alignments that tie, each counts; repeated rows
+and null identifiers are scanned like any other; an empty table gives an empty result;
+result names replace input columns of the same name, whatever their case.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, other_fields
 from .textkernel import ALNUM, LOWER, hash_bytes, loads, pieces, span_hashes, utf8, word_spans
 
 VOTES, COVERAGE, SLACK = 3, 0.7, 4
@@ -190,7 +193,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", keep_text: bool = Tru
     from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
     kinds = [LongType()] * 4 + [StringType()] * 2 + [DoubleType()]
-    fields = [f for f in docs.schema.fields if f.name not in RESULT and (keep_text or f.name != text_col)]
+    fields = other_fields(docs, *RESULT, *([] if keep_text else [text_col]))
     schema = StructType([*fields, *(StructField(n, k) for n, k in zip(RESULT, kinds, strict=True))])
     names = [f.name for f in fields]
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import documents, new_dir, remainder
+from .common import documents, new_dir, other_fields, remainder
 from .textkernel import LOWER, NOT_SPACE, loads, mix, pieces, span_hashes, utf8, word_spans
 
 BEGIN, END = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
@@ -461,7 +461,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep_text
     """``docs`` with n_tokens, n_known, train_tokens, base_score and score (log10 of the
     text's probability; perplexity is 10 ** (-score / n_tokens))."""
     kinds = [LongType()] * 3 + [DoubleType()] * 2
-    fields = [f for f in docs.schema.fields if f.name not in RESULT and (keep_text or f.name != text_col)]
+    fields = other_fields(docs, *RESULT, *([] if keep_text else [text_col]))
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,17 +3,18 @@
 A source of mass m (rows or bytes) whose target share of the mixture is w gets the mean
 repetition rate ``w * total / m``.  Each document draws its number of copies by inverting
 the Poisson distribution at a uniform number hashed from its identifier and the seed, is
-exploded by that count, and the copies are put into a global order by hash: a range
-shuffle on a hash balances evenly whatever the sources are, so a source with a third of
-all rows is no hot partition.
+exploded by that count, and the copies are put into a global order by hash: the hash is
+uniform, so equal ranges of it balance evenly whatever the sources are, a source with a
+third of all rows is no hot partition, and no sample has to be read to find the ranges.
 
 The masses are one row per source, found by partial aggregation, and joined back by a
 broadcast if they were counted to be few, so that texts are shuffled once, by hash.
 
 Defined results: a null source is a source of its own; sources without a target weight
 have weight 0 and leave (none by default: equal weights); null text counts as empty and
-has mass 1; repeated rows draw the same count; an empty table gives an empty result;
-result names replace input columns of the same name.
+has mass 1; texts of any length count whole; rows without an identifier draw by their text;
+repeated rows draw the same count; copies of one rank in the order go by nothing; an empty
+table gives an empty result; result names replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -67,7 +68,8 @@ def mix_sources(
     docs = without(docs, "copy", "n_copies", "shuffle_key")
     m, w, rate, cdf, sid = fresh(docs, "mass", "weight", "rate", "cdf", "sid")
     source = F.col(f"`{source_col}`").cast("string")
-    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
+    # a null identifier: a hash of the text, after a blank that no number begins with
+    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit(" "), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))))
     one = F.lit(1) if mass == "rows" else F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) + 1
     sums = docs.groupBy(source.alias(sid)).agg(F.sum(one.cast("double")).alias(m))
     if weights is None:
@@ -92,7 +94,11 @@ def mix_sources(
     out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     order = F.md5(F.concat(F.lit(f"{seed}/"), key, F.lit("/"), F.col("copy").cast("string")).cast("binary"))
     out = out.withColumn("shuffle_key", F.substring(order, 1, 16))
-    return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (part,) = fresh(out, "part")
+    first = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long")
+    out = out.withColumn(part, F.floor(first * parts / F.lit(1 << 32)).cast("int"))
+    return out.repartitionById(parts, part).sortWithinPartitions("shuffle_key").drop(part)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ filled because of its border.
 
 Defined results: null text counts as empty (one token); a null source is a source of its
 own; the default cluster is the text without blanks, null as empty; repeated rows are
-packed each, never into one bin; ties go by row number; result names replace input
-columns of the same name; an empty table gives an empty result.
+packed each, never into one bin; identifiers take no part, so they may be null; texts of
+any length are cut, never lost; ties go by row number; result names replace input columns
+of the same name, whatever their case; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def pack(sizes, sources, clusters, capacity: int, max_per_source: int):
     return np.array(out, np.int64).reshape(-1, 6).T
 
 
-def _measure(batches: Iterator[pa.RecordBatch], keep: list[str], text_col: str, by_text: bool) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], keep: list[str], added: list[str], text_col: str, by_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = utf8(batch.column(text_col))
         n, cluster = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -130,7 +131,7 @@ def _measure(batches: Iterator[pa.RecordBatch], keep: list[str], text_col: str,
                     text = data[at[i] : at[i + 1]]
                     digest = hashlib.blake2b(text[NOT_SPACE[text]].tobytes(), digest_size=8).digest()
                     cluster[a + i] = int.from_bytes(digest, "little", signed=True)
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(n), pa.array(cluster)], [*keep, "_tokens", "_cluster"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(n), pa.array(cluster)], [*keep, *added])
 
 
 RESULT = ["chunk", "start_token", "n_tokens", "bin_id", "bin_offset"]
@@ -150,15 +151,15 @@ def best_fit_pack(
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in RESULT])
     names = [c for c in docs.columns if c != text_col]
     fields = [docs.schema[c] for c in names]
-    schema = StructType([*fields, StructField("_tokens", LongType()), StructField("_cluster", LongType())])
-    sized = docs.mapInArrow(lambda it: _measure(it, names, text_col, cluster_col is None), schema)
-    tokens, cluster, row, bucket = fresh(docs, "tokens", "cluster", "row", "bucket")
-    group = F.col("_cluster") if cluster_col is None else F.xxhash64(F.col(f"`{cluster_col}`").cast("string"))
+    tokens, cluster, row, bucket, source = fresh(docs, "tokens", "cluster", "row", "bucket", "source")
+    schema = StructType([*fields, StructField(tokens, LongType()), StructField(cluster, LongType())])
+    sized = docs.mapInArrow(lambda it: _measure(it, names, [tokens, cluster], text_col, cluster_col is None), schema)
+    group = F.col(cluster) if cluster_col is None else F.xxhash64(F.col(f"`{cluster_col}`").cast("string"))
     sized = sized.select(
         *[F.col(f"`{c}`") for c in names],
-        F.col("_tokens").alias(tokens),
+        F.col(tokens),
         group.alias(cluster),
-        F.coalesce(F.xxhash64(F.col(f"`{source_col}`").cast("string")), F.lit(0)).alias(f"{cluster}s"),
+        F.coalesce(F.xxhash64(F.col(f"`{source_col}`").cast("string")), F.lit(0)).alias(source),
         F.monotonically_increasing_id().alias(row),
     )
     sized = durable(sized, "lengths")  # fixes the row numbers
@@ -168,7 +169,7 @@ def best_fit_pack(
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by(row)
-        cols = [np.asarray(table.column(c).combine_chunks()) for c in (tokens, f"{cluster}s", cluster)]
+        cols = [np.asarray(table.column(c).combine_chunks()) for c in (tokens, source, cluster)]
         i, chunk, start, n, b, offset = pack(*cols, capacity, max_per_source)
         taken = table.select(names).take(pa.array(i))
         extra = [chunk, start, n, b + (key[0].as_py() << 32), offset]

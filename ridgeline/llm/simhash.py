@@ -19,12 +19,16 @@ reached, so a run of mutual copies costs its size, not its square).
 Scale: copies collapse to one fingerprint before any pairing; each different fingerprint
 is sent 35 times 16 bytes (7 groups, any 3 equal: 27 bits).  Beyond 16 million different
 fingerprints there are 8 groups of which 4 are equal (70 keys of 32 bits), beyond a
-billion 9 of which 5 are (126 keys of 36 bits), so runs of unrelated ones stay short.
+billion 9 of which 5 are (126 keys of 36 bits), so runs of unrelated ones stay short.  A
+key of more than RUN_ROWS fingerprints is cut into blocks, and every pair of blocks is
+compared, so no link is lost and no task holds more than two blocks of a key.
 
 Defined results: null and empty texts have no shingles and fingerprint zero, which links
 like any other; fewer words than ``width``: the whole sequence is the one shingle; rows
 that repeat an identifier are nodes of their own and share its component; null
-identifiers take part but never name a component unless all are null.
+identifiers take part but never name a component unless all are null; texts of any length
+count whole; a bit set in exactly half of the hashes is 0; an empty table gives an empty
+result; result names replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import documents, durable, without
+from .common import documents, durable, few, without
 from .components import components
 from .textkernel import LOWER, NOT_SPACE, loads, mix, pieces, utf8, word_spans
 
@@ -154,6 +158,8 @@ def fingerprints(column, width: int = WIDTH) -> np.ndarray:
 
 GROUPS = 7
 FULL = 12  # full-width references of the discarding table
+#: Fingerprints of a key that are compared in one piece; one in SAMPLE is looked at for keys above it.
+RUN_ROWS, SAMPLE = 8192, 16
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -280,7 +286,19 @@ def groups_for(n: int, radius: int = RADIUS) -> int:
 def link_fingerprints(different: DataFrame, radius: int = RADIUS, groups: int | None = None) -> DataFrame:
     """Spanning edges (u, v) among different fingerprints ``f`` (long)."""
     groups = groups or groups_for(different.count(), radius)
-    keyed = different.select("f").mapInArrow(lambda it: _keys(it, radius, groups), "key long, f long")
+    keys = lambda df: df.select("f").mapInArrow(lambda it: _keys(it, radius, groups), "key long, f long")
+    # Keys of very many fingerprints, by a sample: blocks of them, each pair of blocks a run
+    # of its own.  Which keys are cut changes the layout alone.
+    counts = keys(different.filter(F.pmod(F.xxhash64("f"), F.lit(SAMPLE)) == 0)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = counts.filter(F.col("n") * SAMPLE > RUN_ROWS).select("key", F.ceil(F.col("n") * SAMPLE / RUN_ROWS).cast("int").alias("blocks"))
+    hot = durable(hot, "hot")
+    keyed = keys(different)
+    if not hot.isEmpty():
+        cut = keyed.join(F.broadcast(hot) if few(hot) else hot, "key", "left")
+        block = F.coalesce(F.pmod(F.xxhash64("f"), "blocks").cast("int"), F.lit(0))
+        cut = cut.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        run = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+        keyed = cut.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(run).alias("key"), "f")
     parts = int(different.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(parts, "key").sortWithinPartitions("key", "f")
     return dealt.mapInArrow(lambda it: _run_batches(it, radius, groups), "u long, v long")

@@ -60,7 +60,7 @@ def test_lm_scores(spark, docs, odd, empty, monkeypatch, hot):
     monkeypatch.setattr(lm_scoring, "SAMPLE", 3)
     for df, rows in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (odd, odd_rows())):
         model = lm_scoring.fit(df.filter(remainder(F.col("doc_id"), 7) != 2))
-        out = lm_scoring.score_texts(df.withColumn("score", F.lit("x")), model).collect()
+        out = lm_scoring.score_texts(df.withColumn("SCORE", F.lit("x")), model).collect()
         key = lambda r: (r[0] is None, r[0] or 0, r[1])
         got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in out), key=key)
         for a, b in zip(got, sorted(brute_lm(rows), key=key), strict=True):
@@ -122,6 +122,9 @@ def test_mixing(spark, docs, odd, empty):
     assert mixed[None] == 0 and abs(mixed["small"] - 2000) < 200 and abs(mixed["big"] - 2000) < 200
     huge = mixing.mix_sources(frame(spark, [(1, "a", "s")]), total=1000.0, mass="rows").count()
     assert 850 < huge < 1150
+    nameless = mixing.mix_sources(frame(spark, [(i if i < 2000 else None, f"text {i}") for i in range(4000)]), mass="rows")
+    kept = nameless.filter("copy = 1").groupBy(F.col("doc_id").isNull().alias("n")).count().collect()
+    assert len(kept) == 2 and all(1150 < r["count"] < 1380 for r in kept)  # 2000 (1 - 1 / e)
     assert mixing.mix_sources(odd).count() > 0 and mixing.mix_sources(empty).count() == 0
 
 
@@ -136,7 +139,7 @@ def test_mixing_draws_poisson(spark):
 
 def test_packing(spark, docs, odd, empty):
     for df, rows in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (odd, odd_rows())):
-        out = packing.best_fit_pack(df.withColumn("bin_id", F.lit("x")).withColumn("row", F.lit(0)), 512, bucket_tokens=20_000).collect()
+        out = packing.best_fit_pack(df.withColumn("bin_id", F.lit("x")).withColumn("row", F.lit(0)).withColumn("_tokens", F.lit(0)).withColumn("_RL_Source", F.lit(0)), 512, bucket_tokens=20_000).collect()
         spans = defaultdict(list)
         for r in out:
             spans[r.doc_id].append((r.start_token, r.n_tokens))
@@ -202,7 +205,7 @@ def test_license_scan(spark, docs, odd, empty):
         (55, "permission is a word and so are granted and software, copy and use"),
     ]
     rows = odd_rows() + extra + [(r.doc_id + 1000, r.text) for r in docs.collect()]
-    out = license_scan.scan_licenses(frame(spark, rows).withColumn("labels", F.lit(1)), keep_text=False).collect()
+    out = license_scan.scan_licenses(frame(spark, rows).withColumn("labels", F.lit(1)).withColumn("Score", F.lit(1)), keep_text=False).collect()
     want = []
     for i, t in rows:
         w = re.findall(ALNUM, lower(t))
@@ -256,7 +259,7 @@ def test_license_labels_equal_all_alignments():
 def test_language_id(spark, docs, odd, empty):
     held = remainder(F.col("doc_id"), 5) == 0
     model = langid.fit(docs.filter(~held))
-    out = langid.identify(docs.withColumn("score", F.lit("x")), model)
+    out = langid.identify(docs.withColumn("Score", F.lit("x")).withColumn("LANG_PRED", F.lit(1)), model)
     got = out.filter(held & (F.col("lang_pred") != "und")).select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok"))
     assert got.agg(F.avg("ok")).first()[0] > 0.97
     by = {r.doc_id: r for r in langid.identify(odd, model).collect()}

@@ -50,7 +50,7 @@ def test_digest_runs_over_batches(spark, monkeypatch, weak, fanout, bits):
     """Batches against one index: as a brute-force grouping of all rows so far, also with
     a digest that collides within and across batches."""
     monkeypatch.setattr(exact_dedup, "FANOUT", fanout)
-    monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
     monkeypatch.setattr(common, "MEET_ROWS", 2)
     index = exact_dedup.DigestIndex(spark)
     short = lambda c: F.unhex(F.substring(F.sha2(c.cast("binary"), 256), 1, 1))
@@ -79,7 +79,7 @@ def test_filters_pass_what_they_hold(spark):
     assert exact_dedup.passing(keys, F.col("h"), stored, bits).count() == 3000
     others = spark.range(3000, 23_000).select(F.xxhash64("id").alias("h"))
     assert exact_dedup.passing(others, F.col("h"), stored, bits).count() < 2500
-    assert exact_dedup.filter_bits(10**12) == exact_dedup.FILTER_BITS
+    assert exact_dedup.filter_bits(10**12) == common.FILTER_BITS
 
 
 def test_line_dedup_templates(spark, empty):
@@ -195,6 +195,19 @@ def test_groups_grow_with_the_number_of_fingerprints():
     assert [simhash.groups_for(n) for n in (10, 1 << 25, 1 << 31)] == [7, 8, 9]
 
 
+def test_hot_simhash_keys_are_cut(spark, monkeypatch):
+    """Many fingerprints on one key: as many components as by all pairs."""
+    monkeypatch.setattr(simhash, "RUN_ROWS", 20)
+    monkeypatch.setattr(simhash, "SAMPLE", 2)
+    rng = np.random.default_rng(9)
+    f = np.unique((rng.integers(0, 1 << 24, 300) & rng.integers(0, 1 << 24, 300)).astype(np.uint64) << np.uint64(40))
+    df = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "f long").repartition(3)
+    number = {int(x): i for i, x in enumerate(f.view(np.int64))}
+    edges = [(number[r.u], number[r.v]) for r in simhash.link_fingerprints(df).collect()]
+    true = [(i, j) for i in range(len(f)) for j in range(i) if bin(int(f[i] ^ f[j])).count("1") <= 4]
+    assert groups(len(f), edges) == groups(len(f), true)
+
+
 def test_simhash_components(spark, odd, docs, empty):
     for df, rows in ((odd, odd_rows()), (docs, [(r.doc_id, r.text) for r in docs.collect()])):
         out = simhash.simhash_dedup(df.withColumn("component", F.lit("x")).withColumn("f", F.lit(0)), keep_text=False).collect()
@@ -217,9 +230,8 @@ def test_components_of_chains_and_hubs(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("run_rows,short_run,kind", [(8192, 48, "double"), (20, 48, "double"), (8192, 2, "double"), (30, 5, "float")])
-def test_embedding_dedup(spark, monkeypatch, run_rows, short_run, kind):
-    monkeypatch.setattr(embedding_dedup, "SHORT_RUN", short_run)
+@pytest.mark.parametrize("run_rows,kind", [(8192, "double"), (20, "double"), (30, "float")])
+def test_embedding_dedup(spark, monkeypatch, run_rows, kind):
     monkeypatch.setattr(embedding_dedup, "RUN_ROWS", run_rows)
     rng = np.random.default_rng(7)
     x = rng.standard_normal((300, 24))
@@ -253,14 +265,36 @@ def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((400, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    turned = x @ embedding_dedup.rotation(64)
-    signs = np.where(turned >= 0, 1, -1) / 8
-    f = (turned * signs).sum(1)
-    est, true = turned @ signs.T / f, x @ x.T
+    q, signs, factor, error, rounding = embedding_dedup.decode(*embedding_dedup.encode(x), 3.0)
+    est, true = (q @ signs.T) / factor, x @ x.T
     off = ~np.eye(400, dtype=bool)
-    assert abs((est - true)[off].mean()) < 0.005
-    bound = 3 * np.sqrt(1 - f**2) / f / np.sqrt(63)
-    assert (np.abs(est - true) <= bound[None, :])[off].mean() > 0.99
+    assert abs((est - true)[off].mean()) < 0.005 and rounding.max() < 0.02
+    bound = error[None, :] + rounding[:, None] / factor[None, :]
+    assert (np.abs(est - true) <= bound)[off].mean() > 0.99
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_runs_link_as_brute_force(monkeypatch, blocks):
+    """Long and short runs by both paths: what is asked holds all links."""
+    monkeypatch.setattr(embedding_dedup, "_BLOCK", 1024 // blocks // 16)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((30, 32))[rng.integers(0, 30, 200)] + 0.25 * rng.standard_normal((200, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side, near = np.arange(200) % 2, x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    for mask, s in ((near, None), (near & (side[:, None] != side[None, :]), side)):
+        asks = embedding_dedup._ask_run(*embedding_dedup.encode(x), 0.9, 4.0, s)
+        assert not (mask.any(1) & ~asks).any()
+        links, label = embedding_dedup.link_run(x, np.ones(200, np.int64), np.zeros((200, 3), np.int32) + np.arange(200)[:, None], 2, 0.9, s)
+        assert (links == mask.sum(1)).all() and label.tolist() == groups(200, zip(*np.nonzero(mask), strict=True))
+    y = rng.standard_normal((300, 64))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    assert embedding_dedup._ask_run(*embedding_dedup.encode(y), 0.95, 4.0, None).sum() < 60  # of 300: codes alone discard the unrelated
+    cut, t = np.arange(0, 201, 20), np.zeros(200, np.int64)
+    mask = near & (np.arange(200)[:, None] // 20 == np.arange(200)[None, :] // 20)
+    links, label = embedding_dedup.link_small_runs(x, np.ones(200, np.int64), np.zeros((200, 3), np.int32), cut, t, side, np.zeros(200, bool), 0.9)
+    asks = embedding_dedup._ask_small_runs(*embedding_dedup.encode(x), cut, side, np.zeros(200, bool), 0.9, 4.0)
+    assert (links == mask.sum(1)).all() and label.tolist() == groups(200, zip(*np.nonzero(mask), strict=True)) and not (mask.any(1) & ~asks).any()
 
 
 def brute_set(t, width=5):
