@@ -3,10 +3,12 @@
 Lines are parsed to a fixed depth: variable fields (tokens with a digit, an ``@`` or a
 ``://``) become ``<*>``; the first level of the tree is the token count, the next
 ``depth`` levels are the leading tokens.  A leaf holds as many templates as its lines
-need: at each position of a leaf, tokens are counted over the leaf's different lines, and
-a line's constants are its leading tokens and those of its other tokens that are at least
-as frequent at their place as its (``similarity`` x tokens)-th most frequent one; the rest
-are variable fields.  Lines with the same constants at the same places share a template,
+need.  With v variable fields allowed, a line's tokens after the leading ones are cut into
+v + 1 segments; lines of one template agree on a whole segment, so lines that share none
+with another line of the leaf are their own template.  Among the others, tokens are
+counted at each position of the leaf, and a line's constants are its leading tokens and
+those of its other tokens that are at least as frequent at their place as its
+(``similarity`` x tokens)-th most frequent one; the rest are variable fields.  Lines with the same constants at the same places share a template,
 so a family of lines is found whatever else its leaf holds, and two lines of a template
 agree on at least ``similarity`` of their tokens.  A template found in more than one
 document is recurring: its first line (smallest identifier, then position) stays, all
@@ -14,7 +16,8 @@ others are dropped.
 
 Scale: the tree is held as hashed rows (leaf, and 128 bits of line and template), counted
 by partial aggregation, so a line that is in every document is a single row per task.
-Tokens are counted only in leaves with several different lines.  Where rows meet the one
+Segments, hashed, are compared only in leaves with several different lines; a bounded
+bitmap filter of shared ones picks the lines whose tokens are counted.  Where rows meet the one
 row of their key, keys with very many rows (at most BROADCAST_ROWS of them) are broadcast
 and only the others shuffle, so no key is a hot partition.  Lists of positions are
 broadcast only after the positions in them were counted.
@@ -33,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, documents, durable, few, fresh, meet, without
+from .common import BROADCAST_ROWS, documents, durable, few, filter_bits, fresh, make_filter, meet, passing, without
 
 GAP = r"[ \t\x0B\f\r]+"
 VARIABLE = r"[0-9@]|://"
@@ -43,11 +46,18 @@ BROADCAST_POSITIONS = 8_000_000
 LINE = ["leaf", "line", "line2"]
 
 
+def _plain(text: Column) -> Column:
+    """Blanks other than line ends as spaces."""
+    for c in "\t\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def _masked(raw: Column) -> Column:
-    """Tokens of a line, variable fields as <*>."""
-    tokens = F.array_remove(F.split(raw, GAP), "")
+    """Tokens of a line of ``_plain`` text, variable fields as <*>."""
+    tokens = F.array_remove(F.split(raw, " "), "")
     masked = F.transform(tokens, lambda t: F.when(t.rlike(VARIABLE), F.lit("<*>")).otherwise(t))
-    return F.when(raw.rlike(VARIABLE), masked).otherwise(tokens)
+    return F.when(raw.rlike("[0-9@]") | F.contains(raw, F.lit("://")), masked).otherwise(tokens)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
@@ -56,7 +66,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame
     rows = docs.select(
         F.col(f"`{id_col}`").alias("d"),
         F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("rk"),
-        F.posexplode(F.split(f"`{text_col}`", "\n")).alias("pos", "raw"),
+        F.posexplode(F.split(_plain(F.col(f"`{text_col}`")), "\n")).alias("pos", "raw"),
     )
     rows = rows.select("d", "rk", "pos", _masked(F.col("raw")).alias("masked")).filter(F.exists("masked", lambda t: t != "<*>"))
     leaf = F.xxhash64(F.size("masked"), F.slice("masked", 1, depth))
@@ -77,7 +87,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, known: DataFrame) -> D
     wanted = durable(wanted.groupBy("rk").agg(F.collect_list(F.struct("pos", *LINE)).alias("w")), "wanted")
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.xxhash64(f"`{id_col}`", text).alias("rk"), text.alias("text")).join(_bound_lists(wanted, "w"), "rk")
-    rows = rows.select(F.split("text", "\n").alias("parts"), "w").select(
+    rows = rows.select(F.split(_plain(F.col("text")), "\n").alias("parts"), "w").select(
         F.explode(F.transform("w", lambda x: F.struct(*[x[c].alias(c) for c in LINE], F.get("parts", x["pos"]).alias("raw")))).alias("x")
     )
     tokens = F.transform(_masked(F.col("x.raw")), lambda t: F.xxhash64(t))
@@ -85,19 +95,40 @@ def _members(docs: DataFrame, id_col: str, text_col: str, known: DataFrame) -> D
     return durable(rows.groupBy(*LINE).agg(F.min("tokens").alias("tokens")), "members")
 
 
+def _asked(n: Column, similarity: float) -> Column:
+    """Constants that a template of n tokens has at least."""
+    return F.ceil(F.round(F.lit(similarity) * n, 6)).cast("int")
+
+
+def _sharing(members: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """``members`` that have a whole segment in common with another line of their leaf."""
+    n = F.size("tokens")
+    cuts, rest = n - _asked(n, similarity) + 1, n - depth
+    at = lambda i: F.floor(i * rest / cuts).cast("int")
+    segments = F.transform(F.sequence(F.lit(0), cuts - 1), lambda i: F.xxhash64("leaf", i, F.slice("tokens", at(i) + depth + 1, at(i + 1) - at(i))))
+    rows = members.filter(n > depth).select(*LINE, F.explode(segments).alias("h"))
+    shared = rows.groupBy("h").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).filter("lo <> hi").select("h")
+    shared = durable(shared, "shared")
+    bits = filter_bits(shared.count())
+    near = passing(rows, F.col("h"), durable(make_filter(shared, bits), "filter"), bits)
+    near = near.join(F.broadcast(shared) if few(shared) else shared, "h", "left_semi")
+    near = durable(near.groupBy(*LINE).agg(F.lit(True).alias("near")).drop("near"), "near")
+    return durable(members.join(F.broadcast(near) if few(near) else near, LINE, "left_semi"), "sharing")
+
+
 def _templates(members: DataFrame, depth: int, similarity: float) -> DataFrame:
-    """(leaf, line, line2, t1, t2): the template of each line of a leaf with several."""
-    places = members.select(*LINE, F.posexplode("tokens").alias("p", "t")).filter(F.col("p") >= depth)
-    counts = durable(places.groupBy("leaf", "p", "t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "counts")
-    places = meet(places, counts, ["leaf", "p", "t"], "c", "left").withColumn("c", F.coalesce("c", F.lit(1).cast("long")))
-    per = places.groupBy(*LINE).agg(F.array_sort(F.collect_list(F.struct("p", "t", "c"))).alias("x"))
-    asked = F.ceil(F.round(F.lit(similarity) * (F.size("x") + depth), 6)).cast("int") - depth
-    ranked = F.sort_array(F.transform("x", lambda x: x["c"]), asc=False)
-    per = per.withColumn("cut", F.when(asked > 0, F.get(ranked, asked - 1)))
-    constants = F.transform("x", lambda x: F.when(x["c"] >= F.col("cut"), x["t"]))
-    # a null is hashed like nothing at all: the place goes with the token
-    constants = F.filter(F.transform(constants, lambda t, i: F.when(t.isNotNull(), F.struct(i.alias("i"), t.alias("t")))), lambda t: t.isNotNull())
-    return per.select(*LINE, F.xxhash64(constants).alias("t1"), F.xxhash64(F.lit(1), constants).alias("t2"))
+    """(line, line2, t1, t2): the template of each line that shares a segment."""
+    members = _sharing(members, depth, similarity)
+    # a token at its place in its leaf is one hash, k
+    ks = F.transform(F.slice("tokens", depth + 1, F.size("tokens")), lambda t, i: F.xxhash64("leaf", i, t))
+    places = members.select("line", "line2", F.explode(ks).alias("k"))
+    counts = durable(places.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "counts")
+    places = meet(places, counts, ["k"], "c", "left").withColumn("c", F.coalesce("c", F.lit(1).cast("long")))
+    per = places.groupBy("line", "line2").agg(F.sort_array(F.collect_list(F.struct("c", "k")), asc=False).alias("x"))
+    asked = _asked(F.size("x") + depth, similarity) - depth
+    cut = F.when(asked > 0, F.get("x", asked - 1)["c"])
+    constants = F.transform(F.filter("x", lambda x: F.coalesce(x["c"] >= cut, F.lit(False))), lambda x: x["k"])
+    return per.select("line", "line2", F.xxhash64(constants).alias("t1"), F.xxhash64(F.lit(1), constants).alias("t2"))
 
 
 def recurring_templates(docs: DataFrame, id_col: str, text_col: str, lines: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -109,12 +140,13 @@ def recurring_templates(docs: DataFrame, id_col: str, text_col: str, lines: Data
         F.count(F.lit(1)).alias("times"),
         F.min(F.struct(F.col("d").isNull().alias("n"), "d", "rk", "pos")).alias("first"),
     )
-    leaves = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.count(F.lit(1)).alias("rows"))
-    leaves = durable(leaves.filter("a <> b").select("leaf", "rows", F.lit(True).alias("several")), "leaves")
-    known = durable(meet(seqs, leaves, ["leaf"], "rows", "left").drop("rows").filter("lo <> hi OR several"), "templates")
+    leaves = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b"))
+    leaves = durable(leaves.filter("a <> b").select("leaf", F.lit(True).alias("several")), "leaves")
+    known = seqs.join(F.broadcast(leaves) if few(leaves) else leaves, "leaf", "left").filter("lo <> hi OR several")
+    known = durable(known, "templates")
     found = _templates(_members(docs, id_col, text_col, known), depth, similarity)
-    marked = known.filter("several").join(found, LINE, "left")
-    # lines without places beyond the leading tokens are their own template
+    marked = known.filter("several").join(found, ["line", "line2"], "left")
+    # lines that share no segment are their own template
     marked = marked.withColumn("t1", F.coalesce("t1", "line")).withColumn("t2", F.coalesce("t2", "line2"))
     marked = durable(marked.drop("several"), "marked")
     template = ["leaf", "t1", "t2"]
@@ -168,12 +200,16 @@ e AS (
   SELECT doc_id, pos, masked, len(masked) AS n, masked[1:{DEPTH}] AS lead
   FROM t WHERE len(list_filter(masked, lambda x: x <> '<*>')) > 0),
 s AS (SELECT n, lead, masked, min((doc_id, pos)) AS first FROM e GROUP BY ALL),
-x AS (SELECT n, lead, masked, generate_subscripts(masked, 1) AS p, unnest(masked) AS t FROM s),
+q AS (SELECT n, lead, masked, n - ceil(round({SIMILARITY} * n, 6))::BIGINT + 1 AS cuts, n - {DEPTH} AS rest FROM s WHERE n > {DEPTH}),
+f AS (SELECT n, lead, masked, i, masked[{DEPTH} + i * rest // cuts + 1 : {DEPTH} + (i + 1) * rest // cuts] AS segment FROM q, LATERAL (SELECT unnest(range(0, cuts)) AS i)),
+j AS (SELECT n, lead, i, segment FROM f GROUP BY ALL HAVING count(*) > 1),
+y AS (SELECT DISTINCT n, lead, masked FROM f JOIN j USING (n, lead, i, segment)),
+x AS (SELECT n, lead, masked, generate_subscripts(masked, 1) AS p, unnest(masked) AS t FROM y),
 v AS (SELECT n, lead, p, t, count(*) AS c FROM x WHERE p > {DEPTH} GROUP BY ALL),
 w AS (SELECT n, lead, masked, list(c ORDER BY p) AS cs FROM x JOIN v USING (n, lead, p, t) GROUP BY ALL),
 m AS (
   SELECT s.n, s.lead, s.masked, s.first,
-    CASE WHEN cs IS NULL THEN [] ELSE list_transform(range(1, len(cs) + 1), lambda i:
+    CASE WHEN cs IS NULL THEN s.masked ELSE list_transform(range(1, len(cs) + 1), lambda i:
       CASE WHEN cs[i] >= list_reverse_sort(cs)[CAST(ceil(round({SIMILARITY} * s.n, 6)) AS INT) - {DEPTH}] THEN s.masked[i + {DEPTH}] ELSE '' END) END AS template
   FROM s LEFT JOIN w USING (n, lead, masked)),
 g AS (
