@@ -112,7 +112,8 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                     flags = np.zeros(len(ids) + 1, np.int64)
                     np.add.at(flags, lo[mine], 1)
                     np.add.at(flags, hi[mine], -1)
-                    sums += np.bincount(ids[np.cumsum(flags)[:-1] > 0], minlength=buckets)
+                    # the blank between two texts belongs to both
+                    sums += np.bincount(ids, np.cumsum(flags)[:-1], buckets).astype(np.int64)
     rows = [(lang, k // _BLOCK, texts[lang] if k == 0 else 0, sums[k : k + _BLOCK].tobytes()) for lang, sums in counts.items() for k in range(0, buckets, _BLOCK)]
     for k in range(0, len(rows), 64):
         yield pa.RecordBatch.from_arrays(

@@ -224,6 +224,24 @@ def test_license_scan(spark, docs, odd, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def brute_license(index, w):
+    """Labels and score of a word list by all alignments of all templates."""
+    text = f" {' '.join(w)} "
+    out, best = {label for p, label in license_scan.BASE.items() if f" {p} " in text}, 0.0
+    score = 0.5 if out else 0.0
+    for t, words in enumerate(index.words):
+        if not any(f" {' '.join(q)} " in text for q in index.phrases[t]):
+            continue
+        for at in range(-len(words), len(w)):
+            share = sum(0 <= at + p < len(w) and w[at + p] == x for p, x in enumerate(words)) / len(words)
+            if share >= license_scan.COVERAGE:
+                near = " ".join(w[max(at - license_scan.SLACK, 0) : at + 2 * len(words) + license_scan.SLACK])
+                if any(" ".join(q) in near for q in index.phrases[t]):
+                    out.add(index.labels[t])
+                    best = max(best, share)
+    return ",".join(sorted(out)), max(score, best)
+
+
 def test_license_labels_equal_all_alignments():
     """Long texts with several licences: as many labels as a brute-force alignment finds."""
     import pyarrow as pa
@@ -241,19 +259,8 @@ def test_license_labels_equal_all_alignments():
             words[at:at] = part
         texts.append(" ".join(words))
 
-    def brute(text):
-        w = text.split()
-        out = {label for p, label in license_scan.BASE.items() if f" {p} " in f" {text} "}
-        for t, words in enumerate(index.words):
-            for at in range(-len(words), len(w)):
-                if sum(0 <= at + p < len(w) and w[at + p] == x for p, x in enumerate(words)) / len(words) >= license_scan.COVERAGE:
-                    near = " ".join(w[max(at - license_scan.SLACK, 0) : at + 2 * len(words) + license_scan.SLACK])
-                    if any(" ".join(q) in near for q in index.phrases[t]):
-                        out.add(index.labels[t])
-        return ",".join(sorted(out))
-
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
-    assert license_scan._scan_batch(batch, "text", index)[5].to_pylist() == [brute(t) for t in texts]
+    assert license_scan._scan_batch(batch, "text", index)[5].to_pylist() == [brute_license(index, t.split())[0] for t in texts]
 
 
 def test_language_id(spark, docs, odd, empty):
@@ -269,6 +276,57 @@ def test_language_id(spark, docs, odd, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def brute_langid(train, texts, buckets=langid.BUCKETS):
+    """(language, posterior) of texts by plain counts of n-grams of the (text, lang) rows."""
+    from ridgeline.llm.textkernel import mix
+
+    def grams(text):
+        seq = [0]
+        for c in text or "":
+            x = ord(c.lower()[0]) if c.isalpha() else 0
+            if x or seq[-1]:
+                seq.append(x)
+        seq.append(0)
+        out = []
+        for n in langid.ORDERS:
+            for i in range(len(seq) - n + 1):
+                h = 0
+                for x in seq[i : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + x) % (1 << 64)
+                out.append((h + n) % (1 << 64))
+        return (mix(np.array(out, np.uint64)) % np.uint64(buckets)).astype(np.int64) if any(seq) else None
+
+    counts, n = {}, Counter()
+    for t, lang in train:
+        if lang is not None:
+            n[lang] += 1
+            mine = counts.setdefault(lang, np.zeros(buckets))
+            if grams(t) is not None:
+                mine += np.bincount(grams(t), minlength=buckets)
+            else:  # a blank text is blanks alone
+                mine += np.bincount((mix(np.array([1, 1, 2], np.uint64)) % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+    langs = sorted(counts)
+    logp = np.array([np.log(counts[k] + langid.ALPHA) - np.log(counts[k].sum() + langid.ALPHA * buckets) for k in langs])
+    out = []
+    for t in texts:
+        g = grams(t)
+        if g is None or not langs:
+            out.append(("und", 0.0))
+            continue
+        s = np.array([math.log(n[k] / sum(n.values())) + logp[j][g].sum() for j, k in enumerate(langs)])
+        out.append((langs[int(s.argmax())], float(1 / np.exp(s - s.max()).sum())))
+    return out
+
+
+def test_language_id_matches_brute_force(spark):
+    rows = [(1, "aa bb Ab", "x"), (2, "ccc, dd", "y"), (3, "b\n\tÉé", "x"), (4, "zz", None), (5, " 12 ", "y"), (6, None, "y"), (7, "日本", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, langid.fit(df)).collect()}
+    want = brute_langid([(t, k) for _, t, k in rows], [t for _, t, _ in rows])
+    for (i, _, _), w in zip(rows, want, strict=True):
+        assert got[i][0] == w[0] and got[i][1] == pytest.approx(w[1], rel=1e-6)
+
+
 def test_language_id_matches_plain_counts(spark):
     rows = [(1, "aa bb Ab", "x"), (2, "ccc dd", "y"), (3, "b", "x"), (4, "zz", None)]
     train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -281,6 +339,99 @@ def test_language_id_matches_plain_counts(spark):
     assert {r.doc_id: r.lang_pred for r in out}[2] == "y"
 
 
+def replay_packing(rows, out, capacity=packing.CAPACITY, most=packing.MAX_PER_SOURCE):
+    """Whether each piece, longest first, went to a tightest compatible bin.  rows:
+    (source, text) in the order of row numbers; out: (tokens, start, bin) by row."""
+    import re
+
+    rest = [len(tokens(t)) % capacity for _, t in rows]
+    bins = {}
+    for i in sorted((i for i in range(len(rows)) if rest[i]), key=lambda i: -rest[i]):
+        source, text = rows[i][0], re.sub(r"[\x20\x09-\x0D]", "", rows[i][1] or "")
+        (b,) = [b for n, at, b in out[i] if at == len(tokens(rows[i][1])) // capacity * capacity]
+        fits = [left for left, sources, texts in bins.values() if left >= rest[i] and sources[source] < most and text not in texts]
+        assert (b in bins) == bool(fits)
+        left, sources, texts = bins.setdefault(b, (capacity, Counter(), set()))
+        assert not fits or (left == min(fits) and sources[source] < most and text not in texts)
+        sources[source] += 1
+        texts.add(text)
+        bins[b] = (left - rest[i], sources, texts)
+    for (_, t), pieces in zip(rows, out, strict=True):
+        assert sum(n for n, _, _ in pieces) == len(tokens(t))
+
+
+def brute_near(rows):
+    """Ids of rows (id, text) that stay of their groups of similarity 4/5."""
+    from test_dedup import brute_set, groups
+
+    sets = [brute_set(t) for _, t in rows]
+    by = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s or [None]:
+            by[x].append(i)
+    pairs = {(i, j) for v in by.values() for i in v for j in v if i < j}
+    link = [(i, j) for i, j in pairs if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    part = groups(len(rows), link)
+    least = {}
+    for (i, _), g in zip(rows, part, strict=True):
+        least[g] = min(least.get(g, i), i)
+    return set(least.values())
+
+
+def test_pipeline_equals_brute_force(spark, data, docs):
+    """The whole pipeline against plain Python and SQL, stage by stage."""
+    import corpus_pipeline as cp
+    import duckdb
+    import pandas as pd
+
+    from ridgeline.llm import line_dedup
+
+    d = docs.toPandas()
+    train = [(t, k) for i, t, k in zip(d.doc_id, d.text, d.lang, strict=True) if crc(i, 5)]
+    pred = brute_langid(train, d.text)
+    d = d[[lang != "und" and score >= cp.LEAST_SCORE for lang, score in pred]]
+    db = duckdb.connect()
+    db.register("documents", d)
+    lines = db.sql(line_dedup.OP3_SQL).df()
+    d = d.drop(columns=["text", "n_chars"]).merge(lines[~lines.emptied][["doc_id", "text"]], on="doc_id")
+    d = d[d.doc_id.isin(brute_near(list(zip(d.doc_id, d.text, strict=True))))]
+    db = duckdb.connect()
+    db.register("documents", d)
+    mixed = db.sql(mixing.OP5_SQL).df().sort_values("shuffle_key")
+    want = Counter()
+    for i, t in zip(mixed.doc_id, mixed.text, strict=True):
+        n = len(tokens(t))
+        want.update((i, k, min(packing.CAPACITY, n - k * packing.CAPACITY)) for k in range(-(-n // packing.CAPACITY)))
+    out = cp.run(spark, data)
+    got = out.collect()
+    assert Counter((r.doc_id, r.chunk, r.n_tokens) for r in got) == want
+    assert {(r.doc_id, r.source, r.n_chars) for r in got} == {(i, s, len(t)) for i, s, t in zip(mixed.doc_id, mixed.source, mixed.text, strict=True)}
+    fill, sources = Counter(), defaultdict(Counter)
+    for r in got:
+        fill[r.bin_id] += r.n_tokens
+        sources[r.bin_id][r.source] += 1
+    assert max(fill.values()) <= packing.CAPACITY and max(max(v.values()) for v in sources.values()) <= packing.MAX_PER_SOURCE
+    assert isinstance(mixed, pd.DataFrame)
+
+
+def test_stages_of_odd_and_empty_tables(spark, data, docs, odd, empty):
+    """Null, empty, long, tied and repeated rows, clashing columns, and no rows at all."""
+    import corpus_pipeline as cp
+
+    clash = odd.withColumn("Score", F.lit("x")).withColumn("EMPTIED", F.lit(1)).withColumn("d", F.lit(2)).withColumn("h2", F.lit(3)).withColumn("copy", F.lit(4)).withColumn("Node", F.lit(5))
+    clash = clash.unionByName(docs.filter("doc_id < 60").withColumn("doc_id", F.col("doc_id") + 1000).select(*docs.columns, *[F.lit(None).alias(c) for c in clash.columns[5:]]))
+    stages = dict(cp.STAGES)
+    for name, f in cp.STAGES[:-1]:
+        out = f(spark, clash, data)
+        assert out.columns == clash.columns and out.dtypes == clash.dtypes, name
+        rows = out.collect()
+        assert all(r.Score == "x" and r.h2 == 3 for r in rows if (r.doc_id or 0) < 1000)
+        none = f(spark, empty, data)
+        assert none.columns == empty.columns and none.count() == 0, name
+    assert stages["packing"](spark, clash, data).select("doc_id").distinct().count() == clash.select("doc_id").distinct().count()
+    assert stages["packing"](spark, empty, data).count() == 0
+
+
 def test_pipeline_stages(spark, data, docs):
     import corpus_pipeline as cp
 

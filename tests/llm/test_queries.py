@@ -1,14 +1,15 @@
 """The registered queries: against their SQL, or against brute force where SQL cannot."""
 
+import re
 import zlib
 from collections import defaultdict
 
 import duckdb
 import numpy as np
 import pytest
-from llm_helpers import crc
+from llm_helpers import crc, lower
 from pyspark.sql import functions as F
-from test_corpus import brute_lm, tokens
+from test_corpus import ALNUM, brute_langid, brute_license, brute_lm, replay_packing, tokens
 from test_dedup import brute_print, groups
 
 from ridgeline.llm import registry
@@ -52,6 +53,10 @@ def test_op4(spark, data, docs):
     ok = out.join(docs, "doc_id").filter("held_out").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok"))
     assert ok.agg(F.avg("ok")).first()[0] > 0.9
     assert all(r.held_out == (crc(r.doc_id, 5) == 0) for r in out.collect())
+    plain = docs.select("doc_id", "text", "lang").collect()
+    want = dict(zip((r.doc_id for r in plain), brute_langid([(r.text, r.lang) for r in plain if crc(r.doc_id, 5)], [r.text for r in plain]), strict=True))
+    for r in out.collect():
+        assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], rel=1e-6)
 
 
 def test_op6(spark, data, rows):
@@ -63,11 +68,28 @@ def test_op6(spark, data, rows):
     assert dict(total) == {i: len(tokens(t)) for i, t in rows} and max(fill.values()) <= 2048
 
 
+def test_op6_places_best_fit(spark, data, docs):
+    """Every piece of the registered query, in its order, against all open bins."""
+    plain = docs.select("doc_id", "source", "text").collect()  # in the order of the file, so of row numbers
+    out = {r.doc_id: [] for r in plain}
+    for r in Q["op6_best_fit_packing"](spark, data).collect():
+        out[r.doc_id].append((r.n_tokens, r.start_token, r.bin_id))
+    replay_packing([(r.source, r.text) for r in plain], [out[r.doc_id] for r in plain])
+
+
 def test_op7(spark, data, rows):
+    from ridgeline.llm import license_scan
+
+    index = license_scan.TemplateIndex()
     out = {r.doc_id: r for r in Q["op7_license_scan"](spark, data).collect()}
     assert set(out) == {i for i, _ in rows}
     for i, t in rows:
-        assert ("mit" in out[i].base_labels.split(",")) == ("mit license" in t.lower())
+        w = re.findall(ALNUM, lower(t))
+        at = [(s, label) for p, label in license_scan.BASE.items() for s in range(len(w)) if w[s : s + len(p.split())] == p.split()]
+        r, labels = out[i], brute_license(index, w)
+        spots = [s for s, _ in at]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(spots, default=None), max(spots, default=None))
+        assert r.base_labels == ",".join(sorted({k for _, k in at})) and (r.labels, r.score) == (labels[0], pytest.approx(labels[1]))
 
 
 def test_op9(spark, data, rows):
