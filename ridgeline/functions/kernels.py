@@ -31,8 +31,7 @@ def lists(x: np.ndarray) -> pa.Array:
 def pairwise(x: np.ndarray, y: np.ndarray, metric: str = "l2", p: float | None = None) -> np.ndarray:
     """Distances of all rows of x to all rows of y."""
     if metric == "l2":
-        out = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
-        return np.maximum(out, 0.0) + 0.0
+        return _squared(x, y)
     if metric == "ip":
         return x @ y.T
     if metric == "cosine":
@@ -45,6 +44,24 @@ def pairwise(x: np.ndarray, y: np.ndarray, metric: str = "l2", p: float | None =
     return out
 
 
+def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances by norms and one product, around the rows' mean; what is small
+    against the norms, where the terms cancel, is computed again by differences."""
+    fine = np.isfinite(y).all(1)
+    if fine.any():
+        middle = y[fine].mean(0)
+        if np.isfinite(middle).all() and (np.abs(middle) > 1.0).any():
+            x, y = x - middle, y - middle
+    norms = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
+    out = np.maximum(norms - 2.0 * (x @ y.T), 0.0) + 0.0
+    p, q = np.nonzero(out < 1e-6 * norms)
+    step = max(1, BLOCK // max(1, x.shape[1]))
+    for a in range(0, len(p), step):
+        i, j = p[a : a + step], q[a : a + step]
+        out[i, j] = ((x[i] - y[j]) ** 2).sum(1)
+    return out
+
+
 def _elementwise(u, v, metric: str, p: float | None) -> np.ndarray:
     if metric == "l1":
         return np.abs(u - v).sum(-1)
@@ -69,7 +86,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class TopK:
-    """The k best (distance, id) of each query seen so far; ties by id."""
+    """The k best (distance, id) of each query seen so far; ties by id; no NaN distances."""
 
     def __init__(self, k: int, largest: bool):
         self.k, self.sign = k, -1.0 if largest else 1.0
@@ -82,11 +99,7 @@ class TopK:
         if not distances.size:
             return
         d = distances * self.sign
-        if d.shape[1] > self.k:
-            kth = np.partition(d, self.k - 1, axis=1)[:, self.k - 1]
-            rows, cols = np.nonzero(d <= kth[:, None])
-        else:
-            rows, cols = np.divmod(np.arange(d.size), d.shape[1])
+        rows, cols = best_of_rows(d, self.k)
         self.add_pairs((q if q is not None else np.arange(len(d)))[rows], d[rows, cols] * self.sign, ids[cols])
 
     def add_pairs(self, q: np.ndarray, distances: np.ndarray, ids: np.ndarray) -> None:
@@ -102,6 +115,16 @@ class TopK:
         return self.q, self.d * self.sign + 0.0, self.i
 
 
+def best_of_rows(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k smallest values of each row, with all ties of the last, without NaN."""
+    nan = np.isnan(d)
+    if d.shape[1] > k:
+        known = np.where(nan, np.inf, d) if nan.any() else d
+        kth = np.partition(known, k - 1, axis=1)[:, k - 1]
+        return np.nonzero((known <= kth[:, None]) & ~nan)
+    return np.nonzero(~nan)
+
+
 def lookup_sum(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """(queries, rows) sums of tables[q, m, codes[row, m]]."""
     out = np.zeros((len(tables), len(codes)))
@@ -110,6 +133,15 @@ def lookup_sum(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def quantize_tables(tables: np.ndarray, bits: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lookup tables (queries, M, ksub) as unsigned integers of ``bits`` bits, with a scale
+    and an offset by query: a sum of M entries is off by at most M / 2 steps of the scale."""
+    low = tables.min(2, keepdims=True)
+    scale = np.maximum((tables - low).max((1, 2)), 1e-300) / ((1 << bits) - 1)
+    steps = np.rint((tables - low) / scale[:, None, None]).astype(np.uint8 if bits <= 8 else np.uint16)
+    return steps, scale, low.sum((1, 2))
+
+
 def pack_codes(codes: np.ndarray, bits: int) -> np.ndarray:
     """(n, m) codes of ``bits`` bits each as (n, bytes), lowest bit first."""
     n, m = codes.shape

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..functions.kernels import TopK
+from ..functions.kernels import BLOCK, TopK
 from . import ivf
-from .knn import _compare, _pairs, knn, rank_pairs
+from .knn import _chunks, _compare, _pairs, knn, rank_pairs
 
 
 def _words(x: np.ndarray) -> np.ndarray:
@@ -40,7 +40,8 @@ def hamming_knn(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     def work(qids, x, rows):
         top, x = TopK(k, False), _words(x)
         for ids, y in rows:
-            top.add(hamming_matrix(x, _words(y)), ids)
+            for s in _chunks(y, max(1, BLOCK // max(1, len(x)))):
+                top.add(hamming_matrix(x, _words(y[s])), ids[s])
         q, d, i = top.result()
         yield _pairs(qids[q], d, i)
 
@@ -54,9 +55,10 @@ def hamming_range(queries: DataFrame, base: DataFrame, radius: int) -> DataFrame
     def work(qids, x, rows):
         x = _words(x)
         for ids, y in rows:
-            d = hamming_matrix(x, _words(y))
-            q, i = np.nonzero(d < radius)
-            yield _pairs(qids[q], d[q, i], ids[i])
+            for s in _chunks(y, max(1, BLOCK // max(1, len(x)))):
+                d = hamming_matrix(x, _words(y[s]))
+                q, i = np.nonzero(d < radius)
+                yield _pairs(qids[q], d[q, i], ids[s][i])
 
     return _compare(_halves(queries, "qid"), _halves(base, "id"), work).withColumn("distance", F.col("distance").cast("int"))
 

@@ -44,7 +44,11 @@ def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """At most n rows, the same ones every time."""
+    """At most n rows, the same ones every time: those of the smallest hashes.  Few more
+    than n pass a bound on the hash, so no task sorts or merges all rows."""
+    share = min(1.0, (1.2 * n + 100) / max(df.count(), 1))
+    if share < 1.0:
+        df = df.filter(F.xxhash64(F.col("id"), F.lit(seed)) < F.lit(int(-(1 << 63) + share * (1 << 64))))
     return df.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(n)
 
 
@@ -146,7 +150,7 @@ def kmeans(
     fixed = 0 if init is None else len(init)
     try:
         for redo in range(nredo):
-            rows = hash_sample(df, k - fixed, seed + 1 + redo * 15486557).select("vec").collect() if k > fixed else []
+            rows = hash_sample(df, k - fixed, seed + 1 + redo).select("vec").collect() if k > fixed else []
             parts = ([np.asarray(init, float)] if fixed else []) + ([np.array([r.vec for r in rows], float)] if rows else [])
             if sum(map(len, parts)) < k:
                 raise ValueError(f"{k} centroids need as many rows")
@@ -175,6 +179,26 @@ def kmeans(
     return best
 
 
+def kmeans_by(df: DataFrame, k: int, assign, niter: int = 10, seed: int = 1234) -> np.ndarray:
+    """Centroids by any assignment: ``assign(df, centroids)`` gives (list_no, vec) rows, by
+    an index over the centroids for instance.  Empty clusters take half of a large one."""
+    rows = hash_sample(df, k, seed + 1).select("vec").collect()  # k rows
+    centroids, rng = np.array([r.vec for r in rows], float), np.random.default_rng(seed)
+    for _ in range(niter):
+        assigned = assign(df, centroids)
+        new, weights = centroids.copy(), np.zeros(k)
+        for r in centroid_means(assigned.select("list_no", "vec")).collect():  # k x d rows
+            new[r.list_no, r.dim], weights[r.list_no] = r.mean, r.n
+        split_empty(new, weights, rng)
+        centroids = new
+    return centroids
+
+
+def kmeans_encoded(codec, codes: DataFrame, k: int, **settings) -> KMeans:
+    """k-means over the decoded rows of (id, code), which are decoded batch by batch."""
+    return kmeans(codec.decode(codes).select("id", "vec"), k, **settings)
+
+
 def progressive_kmeans(df: DataFrame, k: int, steps: int = 4, niter: int = 10, seed: int = 1234) -> KMeans:
     """k-means on growing prefixes of the vectors, each started from the last."""
     d = df.select(F.max(F.size("vec"))).first()[0]

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions import vector as V
-from ..functions.kernels import TopK, lists, lookup_sum, matrix, pack_codes, pairwise
+from ..functions.kernels import BLOCK, TopK, lists, lookup_sum, matrix, pack_codes, pairwise, quantize_tables
 from .cluster import hash_sample
-from .knn import _PAIRS, _compare, _pairs, rank_pairs
+from .knn import _PAIRS, _chunks, _compare, _pairs, rank_pairs
 
 TRAIN_ROWS = 65_536
 
@@ -89,7 +89,8 @@ class Codec:
         def work(qids, x, rows):
             top = TopK(k, metric in V.LARGEST_FIRST)
             for ids, c in rows:
-                top.add(self.distances(x, c.astype(np.int64), metric), ids)
+                for s in _chunks(c, max(1, BLOCK // max(1, len(x)))):
+                    top.add(self.distances(x, c[s].astype(np.int64), metric), ids[s])
             q, d, i = top.result()
             yield _pairs(qids[q], d, i)
 
@@ -112,14 +113,26 @@ class Codec:
         return scorer
 
 
+#: Rows from which quantiles are taken at most.
+QUANTILE_ROWS = 200_000
+
+
 @dataclass
 class Identity(Codec):
+    """The bits of single-precision components."""
+
     d: int
 
     @property
     def code_size(self) -> int:
         return 4 * self.d
 
+    def encode_matrix(self, x):
+        return np.ascontiguousarray(x, np.float32).view(np.int32).astype(np.int64)
+
+    def decode_matrix(self, codes):
+        return np.ascontiguousarray(codes.astype(np.int32)).view(np.float32).astype(np.float64)
+
 
 # --- scalar ---------------------------------------------------------------------------
 
@@ -156,6 +169,8 @@ class ScalarQuantizer(Codec):
             elif rule == "meanstd":
                 stats = group.agg((F.avg("x") - arg * F.stddev_pop("x")).alias("lo"), (F.avg("x") + arg * F.stddev_pop("x")).alias("hi"))
             elif rule == "quantiles":
+                group = hash_sample(df, QUANTILE_ROWS).select(F.posexplode("vec").alias("dim", "x"))
+                group = group.groupBy("dim") if not kind.endswith("uniform") else group.groupBy(F.lit(0).alias("dim"))
                 stats = group.agg(F.percentile("x", arg).alias("lo"), F.percentile("x", 1 - arg).alias("hi"))
             else:
                 raise ValueError(f"unknown rule {rule!r}")
@@ -281,8 +296,8 @@ class ProductQuantizer(Codec):
         def work(qids, x, rows):
             top = TopK(k, False)
             mine = self.encode_matrix(x)
-            for ids, c in rows:
-                c = c.astype(np.int64)
+            for all_ids, all_codes, s in ((i, c, s) for i, c in rows for s in _chunks(c, max(1, BLOCK // max(1, mine.size)))):
+                ids, c = all_ids[s], all_codes[s].astype(np.int64)
                 if kind == "sdc":
                     d = self.symmetric_distances(mine, c)
                 elif kind == "generalized":
@@ -348,6 +363,47 @@ def hamming_histogram(codes: DataFrame) -> DataFrame:
 # --- additive -------------------------------------------------------------------------
 
 
+@dataclass
+class FastScan(ProductQuantizer):
+    """Product codes scored by tables of eight bits."""
+
+    def distances(self, x, codes, metric):
+        steps, scale, low = quantize_tables(self.tables(x, metric))
+        return lookup_sum(steps.astype(np.int64), codes) * scale[:, None] + low[:, None]
+
+
+@dataclass
+class CoarseCodec(Codec):
+    """Two-level codes without lists: the number of the nearest centroid, then the code of
+    what it leaves.  ``pack`` gives bytes: the list number, lowest byte first, in as few
+    bytes as the lists need, then the inner code, one byte or two per number."""
+
+    centroids: np.ndarray
+    inner: Codec
+
+    def encode_matrix(self, x):
+        at = pairwise(x, self.centroids).argmin(1)
+        return np.concatenate((at[:, None], self.inner.encode_matrix(x - self.centroids[at])), 1)
+
+    def decode_matrix(self, codes):
+        return self.centroids[codes[:, 0]] + self.inner.decode_matrix(codes[:, 1:])
+
+    @property
+    def prefix(self) -> int:
+        """Bytes of the list number."""
+        return max(1, (int(len(self.centroids) - 1).bit_length() + 7) // 8)
+
+    def pack(self, codes: np.ndarray, width: int = 1) -> list[bytes]:
+        head = codes[:, :1].astype("<u8").view(np.uint8)[:, : self.prefix]
+        rest = np.ascontiguousarray(codes[:, 1:].astype(f"<u{width}")).view(np.uint8).reshape(len(codes), -1)
+        return [row.tobytes() for row in np.concatenate((head, rest), 1)]
+
+    def unpack(self, packed: list[bytes], width: int = 1) -> np.ndarray:
+        raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+        head = (raw[:, : self.prefix].astype(np.int64) << (8 * np.arange(self.prefix))).sum(1)
+        return np.concatenate((head[:, None], np.ascontiguousarray(raw[:, self.prefix :]).view(f"<u{width}").astype(np.int64)), 1)
+
+
 @dataclass
 class ResidualQuantizer(Codec):
     """Sum of one centroid per stage; encoding keeps the ``beam`` best prefixes."""
@@ -510,8 +566,9 @@ def _decompositions(rest: int, n: int, most: int):
 
 
 def median_thresholds(df: DataFrame) -> list[float]:
-    """Per-dimension medians."""
-    rows = df.select(F.posexplode("vec").alias("dim", "x")).groupBy("dim").agg(F.percentile("x", 0.5).alias("t")).collect()  # d rows
+    """Per-dimension medians, exact up to QUANTILE_ROWS rows and of as many beyond."""
+    rows = hash_sample(df, QUANTILE_ROWS).select(F.posexplode("vec").alias("dim", "x"))
+    rows = rows.groupBy("dim").agg(F.percentile("x", 0.5).alias("t")).collect()  # d rows
     return [r.t for r in sorted(rows, key=lambda r: r.dim)]
 
 

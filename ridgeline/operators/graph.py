@@ -4,12 +4,13 @@ Graphs are built and searched per shard: rows are dealt by hash into shards of a
 ``SHARD_ROWS`` rows, each shard's graph is built in one task, all shards are searched and
 their results merged.  A shard bounds the memory of a task whatever the table's size.
 NN-descent is distributed instead: neighbours of neighbours are joins, with every round
-written as a checkpoint.
+written to the shared folder.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import vector as V
-from ..functions.kernels import matrix, pairwise
+from ..functions.kernels import best_of_rows, matrix, pairwise
+from ..session import scratch
 from .knn import knn_graph, rank_pairs
 
 SHARD_ROWS = 20_000
@@ -141,11 +142,16 @@ def _adjacency(edges: pa.Table, number: dict[int, int]) -> tuple[list[dict[int,
 
 def graph_search(queries: DataFrame, df: DataFrame, edges: DataFrame, k: int, ef: int = 16, metric: str = "l2") -> DataFrame:
     """Greedy descent, then best-first with max(ef, k) at the bottom, in every shard.
-    Queries (counted to fit a broadcast) go to all shards."""
-    from .knn import _query_matrix, fits_broadcast
-
-    if not fits_broadcast(queries):
-        raise ValueError("search the queries in several parts")
+    Queries go to all shards, in parts that were counted to fit a broadcast."""
+    from .knn import BROADCAST_BYTES, _query_matrix, fits_broadcast
+
+    if not fits_broadcast(queries):  # as many parts as fit, one after the other
+        n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+        parts, out = n * width * 8 // (BROADCAST_BYTES // 2) + 2, None
+        for i in range(parts):
+            found = graph_search(queries.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i), df, edges, k, ef, metric)
+            out = found if out is None else out.unionByName(found)
+        return out
     shared = df.sparkSession.sparkContext.broadcast(_query_matrix(queries))
     dist = _row_distance(metric)
 
@@ -211,43 +217,93 @@ def nsg_build(df: DataFrame, r: int = 16, k: int = 32) -> DataFrame:
     return df.select("shard", "id", "vec").groupBy("shard").applyInArrow(run, _EDGES)
 
 
-def nn_descent(df: DataFrame, k: int, rounds: int = 8, seed: int = 3, least_change: float = 0.001) -> DataFrame:
-    """Approximate k-NN graph (qid, rank, id, distance) by joining neighbours of
-    neighbours; every round is checkpointed, and rounds end when few edges change.
-
-    A node is joined through at most 2k of its links per round (k out, k in), so a node
-    that is everybody's neighbour does not multiply."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    n = df.count()
-    # random start: rows that share a hash bucket, under several hashes, so that the
-    # buckets of one connect those of another
-    start = None
-    for i in range(3):
-        ids = df.select("id", F.pmod(F.xxhash64("id", F.lit(seed + i)), F.lit(max(1, n // k))).alias("b"))
-        met = ids.join(ids.select(F.col("id").alias("nid"), "b"), "b").filter("id <> nid").select(F.col("id").alias("qid"), F.col("nid").alias("id"))
-        start = met if start is None else start.unionByName(met)
-    rank = lambda pairs: rank_pairs(_with_distance(pairs, df), k, "l2")
-    graph = rank(start).checkpoint()
+def _nearest_inside(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(qid, id, distance): for each row the ``most`` nearest others of the group."""
+    d = pairwise(x, x)
+    d[ids[:, None] == ids[None, :]] = np.nan
+    p, q = best_of_rows(d, most)
+    return ids[p], ids[q], d[p, q]
+
+
+def _groups_nearest(rows: pa.Table, most: int) -> pa.Table:
+    """``_nearest_inside`` for each group ``u`` of a table (u, id, vec)."""
+    rows = rows.sort_by("u")
+    u, ids, x = np.asarray(rows.column("u").combine_chunks()), np.asarray(rows.column("id").combine_chunks()), matrix(rows.column("vec"))
+    cuts = np.append(np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1]))), len(u))
+    parts = [_nearest_inside(ids[a:b], x[a:b], most) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pa.table([pa.array(np.concatenate([p[i] for p in parts])) for i in range(3)], ["qid", "id", "distance"])
+
+
+def _near_pairs(groups: DataFrame, groups_per_task: int, most: int) -> DataFrame:
+    """Pairs of (u, id, vec) rows that are among the nearest of one group, each pair once."""
+    dealt = groups.withColumn("task", F.pmod(F.xxhash64("u"), F.lit(max(1, groups_per_task))))
+    found = dealt.groupBy("task").applyInArrow(lambda t: _groups_nearest(t.select(["u", "id", "vec"]), most), "qid long, id long, distance double")
+    return found.groupBy("qid", "id").agg(F.min("distance").alias("distance"))
+
+
+#: Rows of a start bucket, and its random-hyperplane tables.
+BUCKET_ROWS, START_TABLES = 256, 4
+#: Links of a node, to and from it, that are joined in a round; more than the k asked for.
+MORE_LINKS, MORE_POOL = 24, 50
+
+
+def _start_buckets(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """(u, id, vec): each row in START_TABLES buckets of like rows, of a bounded size."""
+    bits = max(0, math.ceil(math.log2(max(n, 1) / BUCKET_ROWS)))
+    tables = START_TABLES
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b.column("vec"))
+            planes = np.random.default_rng(seed).standard_normal((x.shape[1], tables * max(bits, 1)))
+            keys = (x @ planes >= 0).reshape(len(x), tables, -1) @ (1 << np.arange(max(bits, 1), dtype=np.int64))
+            for t in range(tables):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, t] * tables + t), b.column("id"), b.column("vec")], ["u", "id", "vec"])
+
+    kind = df.schema["vec"].dataType.simpleString()
+    rows = df.select("id", "vec").mapInArrow(run, f"u long, id long, vec {kind}")
+    # a bucket of very many rows is dealt into pieces
+    sizes = rows.groupBy("u").agg(F.count(F.lit(1)).alias("size"))
+    pieces = sizes.select("u", F.ceil(F.col("size") / (2 * BUCKET_ROWS)).cast("int").alias("pieces"))
+    rows = rows.join(pieces, "u").withColumn("piece", F.pmod(F.xxhash64("id", "u"), F.col("pieces")))
+    return rows.select(F.xxhash64("u", "piece").alias("u"), "id", "vec")
+
+
+def nn_descent(df: DataFrame, k: int, rounds: int = 10, seed: int = 3, least_change: float = 0.001) -> DataFrame:
+    """Approximate k-NN graph (qid, rank, id, distance): neighbours of a node are compared
+    with each other, and each keeps a pool of the k + MORE_POOL best it has met; rounds end
+    when few of the first k change.  It starts from buckets of random hyperplanes.
+
+    A node joins at most k + MORE_LINKS of its links to others and as many to it, so a node
+    that is everybody's neighbour does not multiply; every round is written to the shared
+    folder."""
+    spark, n = df.sparkSession, df.count()
+    pool, links = k + MORE_POOL, k + MORE_LINKS
+    tasks = n // BUCKET_ROWS + 1
+
+    def stored(pairs: DataFrame) -> DataFrame:
+        path = scratch(spark, "graph")
+        rank_pairs(pairs, pool, "l2").write.parquet(path)
+        return spark.read.parquet(path)
+
+    graph = stored(_near_pairs(_start_buckets(df, n, seed), tasks, pool))
+    vecs = df.select("id", "vec")
     for _ in range(rounds):
-        out = graph.select(F.col("qid").alias("u"), F.col("id").alias("v"))
-        back = graph.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("distance", "qid"))).filter(F.col("r") <= k).select(F.col("id").alias("u"), F.col("qid").alias("v"))
-        near = out.unionByName(back).distinct()
-        hop = near.alias("a").join(near.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").filter("u <> w").select(F.col("u").alias("qid"), F.col("w").alias("id"))
-        new = rank(hop.unionByName(graph.select("qid", "id")).distinct()).checkpoint()
-        changed = new.select("qid", "id").join(graph.select("qid", "id"), ["qid", "id"], "left_anti").count()
+        out = graph.filter(F.col("rank") <= links).select(F.col("qid").alias("u"), "id", "distance")
+        w = W.partitionBy("u").orderBy("distance", "id")
+        back = out.select(F.col("id").alias("u"), F.col("u").alias("id"), "distance").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= links)
+        near = out.select("u", "id").unionByName(back.select("u", "id")).unionByName(df.select(F.col("id").alias("u"), "id")).distinct()
+        met = _near_pairs(near.join(vecs, "id").select("u", "id", "vec"), tasks, k)
+        both = met.unionByName(graph.select("qid", "id", "distance")).groupBy("qid", "id").agg(F.min("distance").alias("distance"))
+        new = stored(both)
+        first = lambda g: g.filter(F.col("rank") <= k).select("qid", "id")
+        changed = first(new).join(first(graph), ["qid", "id"], "left_anti").count()
         graph = new
         if changed <= least_change * n * k:
             break
-    return graph
-
-
-def _with_distance(pairs: DataFrame, df: DataFrame) -> DataFrame:
-    a = df.select(F.col("id").alias("qid"), F.col("vec").alias("qv"))
-    return pairs.distinct().join(a, "qid").join(df.select("id", "vec"), "id").select("qid", "id", V.l2(F.col("qv"), F.col("vec")).alias("distance"))
+    return graph.filter(F.col("rank") <= k)
 
 
 def edges_from_neighbours(graph: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Inverted-file search: rows partitioned by nearest centroid, probed list by list.
 
 postings (id, list_no, vec, ...), probes (qid, probe, list_no, coarse_distance),
-results as in ``knn``.  The join of probes with postings is on list_no; rows meet their
-queries grouped by (list_no, page), where pages cut long lists into pieces of a fixed
-number of rows, so a list that holds a third of all rows is many tasks.  In a page the
-distances are one matrix product and only the k best rows per query leave it.
+results as in ``knn``.  Only probed lists are read: their numbers are a filter on the
+postings, which prunes folders where postings are stored by list (``store``).  Queries that
+were counted to be few are broadcast by list, and rows stream past those that probe their
+list without a shuffle; many queries meet rows by (list, page, block), where pages cut long
+lists and blocks cut much-probed ones, so a list that holds a third of all rows is many
+tasks.  Distances are matrix products over bounded blocks, and only the k best rows per
+query leave a task.
 """
 
 from __future__ import annotations
@@ -18,20 +21,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..functions.kernels import TopK, matrix, pairwise
+from ..functions.kernels import BLOCK, TopK, best_of_rows, matrix, pairwise
+from . import knn as knn_module
 from .cluster import assign_lists, kmeans
 from .knn import rank_pairs
 
 PAGE_ROWS = 16_384
+#: Lists up to which their numbers are written into the filter of a scan.
+LITERAL_LISTS = 2048
 
 
 def train(df: DataFrame, nlist: int, metric: str = "l2", mode: str = "kmeans", niter: int = 10, seed: int = 1234, coarse=None) -> np.ndarray:
     """Coarse centroids.  mode: ``kmeans`` over the rows; ``given``: ``coarse`` (a function
-    of the data frame) trains itself; ``flat``: k-means in L2, then added to ``coarse``."""
+    of the data frame) trains itself; ``flat``: k-means in L2, then ``coarse`` (a function
+    of the centroid matrix) gives what stands in their place, or they stay."""
     if mode == "given":
         return np.asarray(coarse(df), float)
     spherical = metric in ("ip", "cosine")
-    return kmeans(df, nlist, niter=niter, metric="l2" if mode == "flat" else metric, spherical=spherical, seed=seed).centroids
+    found = kmeans(df, nlist, niter=niter, metric="l2" if mode == "flat" else metric, spherical=spherical, seed=seed).centroids
+    return np.asarray(coarse(found), float) if mode == "flat" and coarse else found
 
 
 def add(df: DataFrame, centroids: np.ndarray, metric: str = "l2", numbers: np.ndarray | None = None) -> DataFrame:
@@ -40,6 +48,13 @@ def add(df: DataFrame, centroids: np.ndarray, metric: str = "l2", numbers: np.nd
     return assign_lists(good, centroids, metric, numbers).drop("centroid_distance")
 
 
+def store(postings: DataFrame, path: str) -> DataFrame:
+    """Postings written in folders by list, so that a search reads the probed ones."""
+    postings.write.partitionBy("list_no").parquet(path)
+    columns = [c for c in postings.columns if c != "list_no"]
+    return postings.sparkSession.read.parquet(path).select(*columns, F.col("list_no").cast("int").alias("list_no"))
+
+
 def add_preassigned(df: DataFrame, lists: DataFrame) -> DataFrame:
     """Postings from given (id, list_no); negative lists are ignored."""
     return df.join(lists.filter("list_no >= 0"), "id")
@@ -112,6 +127,128 @@ def page_size(sizes: list[int], start: int | None = None, step: int = 256, most_
     return size
 
 
+def _probed(postings: DataFrame, probes: DataFrame) -> DataFrame:
+    """Postings of probed lists only.  Few lists become a literal filter, which prunes the
+    folders of postings stored by list; many are a join on their numbers."""
+    lists = probes.filter("list_no >= 0").select("list_no").distinct()
+    some = [r[0] for r in lists.limit(LITERAL_LISTS + 1).collect()]  # at most LITERAL_LISTS + 1 numbers
+    if len(some) <= LITERAL_LISTS:
+        return postings.filter(F.col("list_no").isin(some)) if some else postings.limit(0)
+    return postings.join(lists, "list_no", "left_semi")
+
+
+def _fits(queries: DataFrame, probes: DataFrame) -> bool:
+    """Whether queries and probes are together at most BROADCAST_BYTES; counted, not guessed."""
+    n, d = queries.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    return (n * ((d or 0) + 1) + 2 * probes.count()) * 8 <= knn_module.BROADCAST_BYTES
+
+
+def _scan(q: np.ndarray, x: np.ndarray, table: pa.Table, ids: np.ndarray, number: int, k, metric: str, p, radius, scorer):
+    """(qid, id, distance) arrays of one list's rows against its queries, in blocks of
+    queries; per query the k best, or all strictly within the radius."""
+    largest = metric in V.LARGEST_FIRST
+    rows = None if scorer else matrix(table.column("vec"))
+    for s in range(0, len(q), max(1, BLOCK // max(1, len(ids)))):
+        part = slice(s, s + max(1, BLOCK // max(1, len(ids))))
+        d = scorer(x[part], table, number) if scorer else pairwise(x[part], rows, metric, p)
+        if radius is not None:
+            a, b = np.nonzero(d > radius if largest else d < radius)
+        else:
+            a, b = best_of_rows(-d if largest else d, k)
+            finite = np.isfinite(d[a, b])
+            a, b = a[finite], b[finite]
+        yield q[part][a], ids[b], d[a, b]
+
+
+def _cut(parts: list[tuple], k: int | None, largest: bool) -> list[np.ndarray]:
+    """(qid, id, distance, list) of parts, the k best per query."""
+    kinds = (np.int64, np.int64, np.float64, np.int32)
+    out = [np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, t) for i, t in enumerate(kinds)]
+    if k is None or not parts:
+        return out
+    q, i, d, n = out
+    order = np.lexsort((i, -d if largest else d, q))
+    q = q[order]
+    first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    order = order[rank < k]
+    return [x[order] for x in out]
+
+
+_FOUND = ["qid", "id", "distance", "list_no"]
+_FOUND_TYPES = "qid long, id long, distance double, list_no int"
+
+
+def _stream(queries: DataFrame, postings: DataFrame, probes: DataFrame, k, metric, p, radius, scorer, columns) -> DataFrame:
+    """Few queries: they are broadcast by list, and rows of probed lists stream past them."""
+    asked = queries.select("qid", "vec").toArrow()
+    at = {int(q): i for i, q in enumerate(asked.column("qid").to_pylist())}
+    pairs = probes.filter("list_no >= 0").select("qid", "list_no").toArrow()
+    by_list: dict[int, list[int]] = {}
+    for q, n in zip(pairs.column("qid").to_pylist(), pairs.column("list_no").to_pylist(), strict=True):
+        if q in at:
+            by_list.setdefault(n, []).append(at[q])
+    lists = {n: np.array(v) for n, v in by_list.items()}
+    shared = postings.sparkSession.sparkContext.broadcast((np.asarray(asked.column("qid").combine_chunks(), np.int64), matrix(asked.column("vec")), lists))
+    largest = metric in V.LARGEST_FIRST
+
+    def run(batches):
+        qids, x, lists = shared.value
+        held: list[tuple] = []
+        for batch in batches:
+            number = np.asarray(batch.column("list_no"))
+            order = np.argsort(number, kind="stable")
+            cuts = np.append(np.flatnonzero(np.concatenate(([True], number[order][1:] != number[order][:-1]))), len(order)) if len(order) else []
+            table = pa.Table.from_batches([batch])
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                n = int(number[order[a]])
+                if n not in lists:
+                    continue
+                rows = table.take(pa.array(order[a:b]))
+                mine = lists[n]
+                for q, i, d in _scan(qids[mine], x[mine], rows, np.asarray(rows.column("id").combine_chunks()), n, k, metric, p, radius, scorer):
+                    held.append((q, i, d, np.full(len(q), n, np.int32)))
+            if radius is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _cut(held, None, largest)], _FOUND)
+                held = []
+            else:
+                held = [tuple(_cut(held, k, largest))] if held else []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], _FOUND)
+
+    return postings.select("id", "list_no", *columns).mapInArrow(run, _FOUND_TYPES)
+
+
+def _meet(queries: DataFrame, postings: DataFrame, probes: DataFrame, k, metric, p, radius, scorer, columns, page_rows: int) -> DataFrame:
+    """Many queries: pages of a list's rows meet blocks of its queries, each pair a task."""
+    asked = probes.filter("list_no >= 0").select("qid", "list_no").groupBy("list_no").agg(F.count(F.lit(1)).alias("asks"))
+    shape = list_sizes(postings).join(asked, "list_no").select(
+        "list_no",
+        F.greatest(F.ceil(F.col("size") / page_rows), F.lit(1)).cast("int").alias("pages"),
+        F.greatest(F.ceil(F.col("asks") / page_rows), F.lit(1)).cast("int").alias("blocks"),
+    )
+    number = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    rows = postings.select("id", "list_no", *columns).join(shape, "list_no")
+    rows = rows.withColumn("page", F.pmod(F.xxhash64("id"), F.col("pages")).cast("int")).withColumn("block", number("blocks")).drop("pages", "blocks")
+    # other names than the postings': both sides come from one table
+    wanted = probes.filter("list_no >= 0").select("qid", "list_no").join(shape, "list_no")
+    wanted = wanted.withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).withColumn("page", number("pages"))
+    wanted = wanted.select("qid", F.col("list_no").alias("q_list"), F.col("page").alias("q_page"), F.col("block").alias("q_block"))
+    wanted = wanted.join(queries.select("qid", F.col("vec").alias("qv")), "qid")
+    largest = metric in V.LARGEST_FIRST
+
+    def run(q: pa.Table, rows: pa.Table) -> pa.Table:
+        held: list[tuple] = []
+        if q.num_rows and rows.num_rows:
+            n = q.column("q_list")[0].as_py()
+            qids, ids = (np.asarray(t.column(c).combine_chunks()) for t, c in ((q, "qid"), (rows, "id")))
+            for a, i, d in _scan(qids, matrix(q.column("qv")), rows, ids, n, k, metric, p, radius, scorer):
+                held.append((a, i, d, np.full(len(a), n, np.int32)))
+        return pa.table([pa.array(c) for c in _cut(held, None if radius is not None else k, largest)], _FOUND)
+
+    return wanted.groupBy("q_list", "q_page", "q_block").cogroup(rows.groupBy("list_no", "page", "block")).applyInArrow(run, _FOUND_TYPES)
+
+
 def search(
     queries: DataFrame,
     postings: DataFrame,
@@ -127,35 +264,14 @@ def search(
 ) -> DataFrame:
     """Top k (or all strictly within ``radius``) over the probed lists.
 
-    ``scorer(query matrix, table of a page, list numbers) -> distances`` replaces the exact
+    ``scorer(query matrix, table of rows, list number) -> distances`` replaces the exact
     distance for coded postings, whose columns are ``payload``."""
     columns = payload or ["vec"]
-    paged = paginate(postings.select("id", "list_no", *columns), page_rows)
-    wanted = probes.filter("list_no >= 0").join(paged.select("list_no", "page").distinct(), "list_no")
-    # other names than the postings': both sides come from one table
-    asked = wanted.join(queries.select("qid", F.col("vec").alias("qv")), "qid").select("qid", "qv", F.col("list_no").alias("q_list"), F.col("page").alias("q_page"))
-    largest = metric in V.LARGEST_FIRST
-
-    def run(q: pa.Table, rows: pa.Table) -> pa.Table:
-        names, kinds = ["qid", "id", "distance", "list_no"], [pa.int64(), pa.int64(), pa.float64(), pa.int32()]
-        if not q.num_rows or not rows.num_rows:
-            return pa.table([pa.array([], t) for t in kinds], names)
-        x, ids = matrix(q.column("qv")), np.asarray(rows.column("id").combine_chunks())
-        number = q.column("q_list")[0].as_py()
-        d = scorer(x, rows, number) if scorer else pairwise(x, matrix(rows.column("vec")), metric, p)
-        qids = np.asarray(q.column("qid").combine_chunks())
-        if radius is not None:
-            a, b = np.nonzero(d > radius if largest else d < radius)
-            a, d, i = qids[a], d[a, b], ids[b]
-        else:
-            top = TopK(k, largest)
-            top.add(d, ids)
-            a, d, i = top.result()
-            a, d, i = a[np.isfinite(d)], d[np.isfinite(d)], i[np.isfinite(d)]
-            a = qids[a]
-        return pa.table([pa.array(a), pa.array(i), pa.array(d), pa.array(np.full(len(a), number, np.int32))], names)
-
-    pairs = asked.groupBy("q_list", "q_page").cogroup(paged.groupBy("list_no", "page")).applyInArrow(run, "qid long, id long, distance double, list_no int")
+    rows = _probed(postings, probes)
+    if _fits(queries, probes):
+        pairs = _stream(queries, rows, probes, k, metric, p, radius, scorer, columns)
+    else:
+        pairs = _meet(queries, rows, probes, k, metric, p, radius, scorer, columns, page_rows)
     if radius is not None:
         return pairs if with_list else pairs.drop("list_no")
     w = W.partitionBy("qid").orderBy(V.best_first(metric, F.col("distance")), "id")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..functions.kernels import TopK, matrix, pairwise
+from ..session import scratch
 from .ordering import global_rank, running_total, slice_of
 
 BROADCAST_BYTES = 64 << 20
@@ -34,7 +35,8 @@ _PAIRS = "qid long, id long, distance double"
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str, as_id: str = "id") -> DataFrame:
-    """(id, vec) of the rows that have both."""
+    """(id, vec) of the rows that have both.  Vectors with null or NaN components stay; a
+    distance that is NaN never ranks."""
     out = df.select(F.col(id_col).cast("long").alias(as_id), F.col(vec_col).alias("vec"))
     return out.filter(F.col(as_id).isNotNull() & F.col("vec").isNotNull())
 
@@ -112,9 +114,9 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", p: floa
 
 def knn_expression(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", p: float | None = None) -> DataFrame:
     """``knn`` in built-in expressions only: the stated queries, counted to be few and
-    broadcast, against all rows."""
+    broadcast, against all rows.  Many queries take the blocks of ``knn``."""
     if not fits_broadcast(queries):
-        raise ValueError("the query side is too large to broadcast; use knn()")
+        return knn(queries, base, k, metric, p)
     pairs = base.select("id", F.col("vec").alias("bv")).join(F.broadcast(queries.select("qid", "vec")))
     return rank_pairs(pairs.select("qid", "id", V.distance(metric, F.col("vec"), F.col("bv"), p).alias("distance")), k, metric)
 
@@ -136,11 +138,54 @@ def range_budget(pairs: DataFrame, max_results: int, min_results: int | None = N
     """If there are more than ``max_results`` pairs, only those strictly better than the
     (min_results + 1)-th best distance; min_results defaults to 0.8 of the maximum."""
     least = int(0.8 * max_results) if min_results is None else min_results
+    pairs = _stored(pairs)
     if pairs.count() <= max_results:
         return pairs
-    order = V.best_first(metric, F.col("distance"))
-    radius = pairs.select("distance").orderBy(order).limit(least + 1).agg((F.min if metric in V.LARGEST_FIRST else F.max)("distance")).first()[0]
-    return filter_radius(pairs, radius, metric)
+    return filter_radius(pairs, nth_distance(pairs, least, metric), metric)
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession, "pairs")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def nth_distance(pairs: DataFrame, place: int, metric: str = "l2") -> float:
+    """The distance at a place, from 0, in the order from best to worst; slices are ordered
+    apart, so no task holds all pairs before it."""
+    order = -F.col("distance") if metric in V.LARGEST_FIRST else F.col("distance")
+    ranked = global_rank(pairs.select(order.alias("o")), "o")
+    value = ranked.filter(F.col("place") == place).first()[0]
+    return -value if metric in V.LARGEST_FIRST else value
+
+
+def range_by_topk(queries: DataFrame, base: DataFrame, radius: float, k: int, metric: str = "l2") -> DataFrame:
+    """A radius join by a top-k search: queries whose k-th neighbour is still inside the
+    radius may have more, and only those are joined by radius."""
+    found = _stored(knn(queries, base, k, metric))
+    worst = F.min("distance") if metric in V.LARGEST_FIRST else F.max("distance")
+    inside = (lambda c: c > radius) if metric in V.LARGEST_FIRST else (lambda c: c < radius)
+    full = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), worst.alias("worst")).filter((F.col("n") >= k) & inside(F.col("worst")))
+    full = _stored(full.select("qid"))
+    few = found.join(full, "qid", "left_anti").select("qid", "id", "distance").filter(inside(F.col("distance")))
+    return few.unionByName(range_join(queries.join(full, "qid", "left_semi"), base, radius, metric))
+
+
+def range_in_blocks(queries: DataFrame, base: DataFrame, radius: float, max_results: int, metric: str = "l2", first: int = 32) -> tuple[DataFrame, float]:
+    """(pairs, radius) for blocks of queries, each block twice as large as the last.  As soon
+    as the results pass ``max_results`` the radius shrinks to leave 0.8 of them, for what was
+    found and for all later blocks, so that results never pile up."""
+    numbered = _stored(global_rank(queries, "qid"))
+    n, at, size, out = numbered.count(), 0, first, None
+    while at < n:
+        block = numbered.filter((F.col("place") >= at) & (F.col("place") < at + size)).select("qid", "vec")
+        found = range_join(block, base, radius, metric)
+        out = _stored(found if out is None else out.unionByName(found))
+        if out.count() > max_results:
+            radius = nth_distance(out, int(0.8 * max_results), metric)
+            out = filter_radius(out, radius, metric)
+        at, size = at + size, 2 * size
+    return (out if out is not None else range_join(queries, base, radius, metric)), radius
 
 
 def filter_radius(pairs: DataFrame, radius: float, metric: str = "l2") -> DataFrame:

@@ -12,14 +12,19 @@ The parser gives a frozen tree; ``build`` fits what has to be fitted and returns
 
 from __future__ import annotations
 
+import copy
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import codecs, graph, ivf, knn, refine, transforms
+from .cluster import centroid_table
+
+#: Bits of each half of a multi-index whose product of centroids is still made.
+MOST_IMI_BITS = 8
 
 
 class SpecError(ValueError):
@@ -170,19 +175,23 @@ class Index:
     rows: DataFrame | None = None
     exact: DataFrame | None = None
     edges: DataFrame | None = None
+    instances: DataFrame | None = None
     refine_index: Index | None = None
     extra: dict = field(default_factory=dict)
 
     def add(self, df: DataFrame) -> Index:
         """Encode (id, vec) rows and append them."""
+        df = df.select("id", "vec")
+        if self.spec.code.kind == "flat_dedup":
+            return self._add_distinct(df)
         moved = self.chain.apply(df) if self.chain.steps else df
         if self.spec.code.kind == "hnsw" and "storage" in self.extra:  # distances from decoded rows
             store = self.extra["storage"]
             moved = store.decode(store.encode(moved).drop("vec")).select("id", "vec")
         new = self._encode(moved)
-        rows = new if self.rows is None else self.rows.unionByName(new)
+        rows = new if self.rows is None else self.rows.drop("shard").unionByName(new)
         exact = df if self.exact is None else self.exact.unionByName(df)
-        out = Index(**{**self.__dict__, "rows": rows, "exact": exact})
+        out = replace(self, rows=rows, exact=exact)
         if self.spec.code.kind in ("hnsw", "nsg"):
             sharded = graph.with_shards(rows)
             build = graph.hnsw_build(sharded, self.spec.code.args[0], metric=self.metric) if self.spec.code.kind == "hnsw" else graph.nsg_build(sharded, self.spec.code.args[0])
@@ -191,6 +200,33 @@ class Index:
             out.refine_index = self.refine_index.add(df)
         return out
 
+    def _add_distinct(self, df: DataFrame) -> Index:
+        """Identical vectors are stored once, under their smallest id; ``instances`` has the
+        ids of all of them."""
+        exact = df if self.exact is None else self.exact.unionByName(df)
+        once, instances = ivf.deduplicate(self.chain.apply(exact) if self.chain.steps else exact)
+        return replace(self, rows=self._encode(once), exact=exact, instances=instances)
+
+    def reset(self) -> Index:
+        """Without rows, still fitted."""
+        empty = self.refine_index.reset() if self.refine_index is not None else None
+        return replace(self, rows=None, exact=None, edges=None, instances=None, refine_index=empty)
+
+    def clone(self) -> Index:
+        """A copy that later additions to either leave alone; matrices are copied too."""
+        return replace(self, centroids=None if self.centroids is None else self.centroids.copy(), codec=copy.deepcopy(self.codec), chain=copy.deepcopy(self.chain))
+
+    def probe(self, queries: DataFrame, nprobe: int) -> DataFrame:
+        """Probes of transformed queries: all centroids are compared, or searched by the
+        index that the coarse stage names."""
+        kind, a = self.spec.coarse.kind, self.spec.coarse.args
+        inner = {"ivf_hnsw": lambda: f"HNSW{a[1] or 32}", "ivf_nsg": lambda: f"NSG{a[1]}", "ivf_sub": lambda: a[1]}.get(kind)
+        if inner is None:
+            return ivf.probe(queries, self.centroids, nprobe, self.metric)
+        table = centroid_table(queries.sparkSession, self.centroids).select(F.col("list_no").cast("long").alias("id"), "vec")
+        found = build(inner(), table, self.metric).add(table).search(queries, nprobe, nprobe=nprobe, ef=2 * nprobe)
+        return found.select("qid", F.col("rank").alias("probe"), F.col("id").cast("int").alias("list_no"), F.col("distance").alias("coarse_distance"))
+
     def _encode(self, df: DataFrame) -> DataFrame:
         if self.centroids is None:
             return self.codec.encode(df).select("id", "code") if self.codec else df.select("id", "vec")
@@ -203,29 +239,57 @@ class Index:
             listed = residuals(listed, self.centroids)
         return self.codec.encode(listed).select("id", "list_no", "code")
 
-    def search(self, queries: DataFrame, k: int, nprobe: int = 1, max_codes: int = 0, ef: int = 16, k_factor: float = 1.0) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, nprobe: int = 1, max_codes: int = 0, ef: int = 16, k_factor: float = 1.0, ht: int | None = None) -> DataFrame:
+        """Top k.  nprobe, max_codes: of inverted lists; ef: of graphs; k_factor: candidates
+        of a refinement; ht: the Hamming threshold of polysemous product codes."""
+        if ht is not None and not isinstance(self.codec, codecs.ProductQuantizer):
+            raise SpecError(f"{self.spec} has no polysemous codes")
         if self.refine_index is not None:
-            found = Index(**{**self.__dict__, "refine_index": None}).search(queries, refine.base_k(k, k_factor), nprobe, max_codes, ef)
+            found = replace(self, refine_index=None).search(queries, refine.base_k(k, k_factor), nprobe, max_codes, ef, ht=ht)
             better = self.refine_index.exact if self.refine_index.codec is None else self.refine_index.codec.decode(self.refine_index.rows)
             return refine.refine(found, queries, better.select("id", "vec"), k, self.metric)
         q = self.chain.apply(queries) if self.chain.steps else queries
         if self.edges is not None:
             return graph.graph_search(q, self.rows, self.edges, k, ef, self.metric)
         if self.centroids is None:
-            return self.codec.search(q, self.rows, k, self.metric) if self.codec else knn.knn(q, self.rows, k, self.metric)
-        probes = ivf.probe(q, self.centroids, nprobe, self.metric)
+            if ht is not None:
+                return self.codec.search(q, self.rows, k, self.metric, "polysemous", ht)
+            found = self.codec.search(q, self.rows, k, self.metric) if self.codec else knn.knn(q, self.rows, k, self.metric)
+        else:
+            found = self._probed(q, k, nprobe, max_codes, None, ht)
+        return found if self.instances is None else ivf.expand_duplicates(found, self.instances, k, self.metric)
+
+    def _probed(self, q: DataFrame, k: int | None, nprobe: int, max_codes: int, radius: float | None, ht: int | None = None) -> DataFrame:
+        probes = self.probe(q, nprobe)
         if max_codes:
             probes = ivf.cut_probes(probes, self.rows, max_codes)
         if self.codec is None:
-            return ivf.search(q, self.rows, probes, k, self.metric)
-        scorer = self.codec.list_scorer(self.metric, self.centroids if self.by_residual else None)
+            return ivf.search(q, self.rows, probes, k, self.metric, radius=radius)
+        residual = self.centroids if self.by_residual else None
+        scorer = self.codec.list_scorer(self.metric, residual) if ht is None else self.codec.list_scorer(self.metric, residual, ht)
         order = "l2" if isinstance(self.codec, codecs.SpectralCodec) else self.metric
-        return ivf.search(q, self.rows, probes, k, order, scorer=scorer, payload=["code"])
+        return ivf.search(q, self.rows, probes, k, order, radius=radius, scorer=scorer, payload=["code"])
+
+    def range_search(self, queries: DataFrame, radius: float, nprobe: int = 1, max_codes: int = 0) -> DataFrame:
+        """All rows strictly within the radius (qid, id, distance), by stored codes."""
+        if self.edges is not None or isinstance(self.codec, codecs.SignCodec):
+            raise SpecError(f"{self.spec} has no search by radius")
+        q = self.chain.apply(queries) if self.chain.steps else queries
+        if self.centroids is not None:
+            found = self._probed(q, None, nprobe, max_codes, radius)
+        else:
+            found = knn.range_join(q, self.codec.decode(self.rows).select("id", "vec") if self.codec else self.rows, radius, self.metric)
+        if self.instances is None:
+            return found
+        return found.withColumnRenamed("id", "rep").join(self.instances, "rep").select("qid", "id", "distance")
 
     def remove(self, selector) -> Index:
         from .maintain import remove_ids
 
-        return Index(**{**self.__dict__, "rows": remove_ids(self.rows, selector), "exact": remove_ids(self.exact, selector)})
+        left = remove_ids(self.exact, selector)
+        if self.edges is not None or self.instances is not None:  # what is stored depends on all rows
+            return self.reset().add(left)
+        return replace(self, rows=remove_ids(self.rows, selector), exact=left)
 
     def reconstruct(self, ids=None) -> DataFrame:
         """(id, vec) of stored rows, decoded and transformed back."""
@@ -240,8 +304,6 @@ class Index:
 
 def residuals(df: DataFrame, centroids: np.ndarray, sign: float = -1.0) -> DataFrame:
     """vec minus (or plus) the row's centroid: a join with the small centroid table."""
-    from .cluster import centroid_table
-
     table = centroid_table(df.sparkSession, sign * centroids).withColumnRenamed("vec", "_c")
     from ..functions.vector import add
 
@@ -272,7 +334,7 @@ def _codec(node: Node, df: DataFrame, d: int) -> codecs.Codec | None:
     if node.kind == "pq":
         return codecs.ProductQuantizer.train(df, a[0], a[1] or 8)
     if node.kind == "pq_fast":
-        return codecs.ProductQuantizer.train(df, a[0], 4)
+        return codecs.FastScan(codecs.ProductQuantizer.train(df, a[0], 4).books)
     if node.kind == "pqr":
         return codecs.RefinedCodec.train(df, a[0], a[1])
     if node.kind == "lsh":
@@ -301,6 +363,8 @@ def build(text: str, train: DataFrame, metric: str = "l2", niter: int = 10) -> I
         if spec.coarse.kind.startswith("ivf"):
             centroids = ivf.train(df, a[0], metric, niter=niter)
         elif spec.coarse.kind == "imi":
+            if a[0] > MOST_IMI_BITS:
+                raise SpecError(f"{spec.coarse.text}: 4 ** {a[0]} cells; use ivf.multi_index_probe with the two books")
             half = codecs.ProductQuantizer.train(df, 2, a[0])
             n = half.books.shape[1]
             centroids = np.array([np.concatenate((half.books[0][c % n], half.books[1][c // n])) for c in range(n * n)])
@@ -365,5 +429,14 @@ class BinaryIndex:
         return binary.hamming_range(queries, self.rows, radius)
 
 
+def replica_search(replicas: list[Index], queries: DataFrame, k: int, **settings) -> DataFrame:
+    """Every replica holds all rows and answers its share of the queries."""
+    n, out = len(replicas), None
+    for i, index in enumerate(replicas):
+        found = index.search(queries.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i), k, **settings)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def build_binary(text: str, rows: DataFrame, d: int) -> BinaryIndex:
     return BinaryIndex(parse_binary(text), d, rows)

@@ -823,10 +823,13 @@ def _(s, d):
     return _r(ivf.expand_duplicates(found, instances, K))
 
 
-@query("window_slices_knn", _knn_sql("l2", where="WHERE id // 50 > 5 AND id // 50 <= 8"))
+@query("window_slices_knn", _knn_sql("l2", where="WHERE id * 10 // ((SELECT max(vec_id) FROM embeddings) + 1) > 6"))
 def _(s, d):
-    rows = _base(s, d).withColumn("slice", F.floor(F.col("id") / 50))
-    return _r(knn.knn(_asked(s, d), maintain.window_of(rows, "slice", 8, 3), K))
+    """The three newest of ten slices of the whole table."""
+    rows = _base(s, d)
+    last = rows.agg(F.max("id")).first()[0] or 0
+    rows = rows.withColumn("slice", F.floor(F.col("id") * 10 / F.lit(last + 1)))
+    return _r(knn.knn(_asked(s, d), maintain.window_of(rows, "slice", 9, 3), K))
 
 
 @query("window_list_ends", f"WITH {_ASSIGN} SELECT list_no, (id % 4)::INT AS slice, count(*) AS size, sum(count(*)) OVER (PARTITION BY list_no ORDER BY id % 4)::BIGINT AS \"end\" FROM l GROUP BY list_no, id % 4")
@@ -900,7 +903,7 @@ def _(s, d):
 
 @query("nn_descent_graph")
 def _(s, d):
-    return _r(graph.nn_descent(_base(s, d), 8, 3))
+    return _r(graph.nn_descent(_base(s, d), 8))
 
 
 def _spec(text: str, **args):
@@ -942,6 +945,176 @@ def _(s, d):
     return ingest.postings(s, path).select("id", "list_no")
 
 
+@query("index_bytes_search", _knn_sql("l2"))
+def _(s, d):
+    index = spec.build("IVF16,Flat", _base(s, d), niter=3).add(_base(s, d))
+    return _r(store.index_from_bytes(s, store.index_to_bytes(index)).search(_asked(s, d), K, nprobe=16))
+
+
+@query("saved_binary_search", _HAMKNN)
+def _(s, d):
+    path = scratch(s, "binary")
+    q, rows = _codes(s, d)
+    store.save_binary(spec.build_binary("BFlat", rows, D), path)
+    return store.load_binary(s, path).search(q, K)
+
+
+@query("lists_in_folders_search", _knn_sql("l2"))
+def _(s, d):
+    """Postings stored by list; all lists are probed, so all rows are found."""
+    base, q = _base(s, d), _asked(s, d)
+    c = ivf.train(base, 16, niter=3)
+    return _r(ivf.search(q, ivf.store(ivf.add(base, c), scratch(s, "lists")), ivf.probe(q, c, 16), K))
+
+
+@query("vector_set_ground_truth", _knn_sql("l2"))
+def _(s, d):
+    return _r(vecs.VectorSet(_base(s, d), _asked(s, d)).ground_truth(K, 4))
+
+
+@query("stream_window_counts", f"WITH {_ASSIGN} SELECT list_no, id // 100 AS window_no, count(*) AS n FROM l GROUP BY ALL")
+def _(s, d):
+    """List sizes by event-time windows of a stream; every vector is a second of event time."""
+    c, labels = _means(s, d)
+    stream = s.readStream.schema(_emb(s, d).schema).option("pathGlobFilter", "embeddings*.parquet").parquet(d)
+    rows = knn.vectors(stream, "vec_id", "embedding").withColumn("at", F.timestamp_seconds("id"))
+    counts = ingest.windowed_counts(rows, c, "at", "100 seconds", "1 day")
+    path, name = scratch(s, "window-checkpoint"), "t" + scratch(s, "w").rsplit("-", 1)[1]
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", path).start().awaitTermination()
+    number = F.element_at(F.lit([int(v) for v in labels]), F.col("list_no") + 1)
+    return s.table(name).select(number.cast("int").alias("list_no"), F.floor(F.unix_timestamp("window.start") / 100).alias("window_no"), "n")
+
+
+@query("stream_queries", _knn_sql("l2"))
+def _(s, d):
+    """A stream of queries against stored postings, all lists probed."""
+    base = _base(s, d)
+    c = ivf.train(base, 16, niter=3)
+    lists, out = ivf.store(ivf.add(base, c), scratch(s, "lists")), scratch(s, "answers")
+    stream = s.readStream.schema(_emb(s, d).schema).option("pathGlobFilter", "embeddings*.parquet").parquet(d)
+    asked = knn.vectors(stream.filter("vec_id % 20 = 0"), "vec_id", "embedding", "qid")
+    sink = lambda found, number: found.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    ingest.query_stream(asked, lists, c, K, 16, sink, scratch(s, "queries-checkpoint")).awaitTermination()
+    return _r(s.read.option("basePath", out).parquet(out).select("qid", "rank", "id", "distance"))
+
+
+# --- further forms of search -----------------------------------------------------------
+
+
+@query("range_by_topk", _SQL["range_l2"])
+def _(s, d):
+    return _r(knn.range_by_topk(_asked(s, d), _base(s, d), RADIUS, 3))
+
+
+@query("range_in_blocks", _SQL["range_l2"])
+def _(s, d):
+    return _r(knn.range_in_blocks(_asked(s, d), _base(s, d), RADIUS, 1 << 40)[0])
+
+
+@query("index_range_search", _SQL["range_l2"])
+def _(s, d):
+    index = spec.build("IVF16,Flat", _base(s, d), niter=3).add(_base(s, d))
+    return _r(index.range_search(_asked(s, d), RADIUS, nprobe=16))
+
+
+_TWICE = "b AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 3 = 0)"
+
+
+def _twice(s, d) -> DataFrame:
+    base = _base(s, d)
+    return base.unionByName(base.filter("id % 3 = 0").withColumn("id", F.col("id") + 1_000_000))
+
+
+@query("flat_dedup_search", _knn_sql("l2").replace(_B, _TWICE))
+def _(s, d):
+    """Identical vectors stored once, added in two parts, all of them in the results."""
+    index = spec.build("IVF16,FlatDedup", _base(s, d), niter=3).add(_base(s, d))
+    return _r(index.add(_twice(s, d).filter("id >= 1000000")).search(_asked(s, d), K, nprobe=16))
+
+
+@query("replica_search", _knn_sql("l2"))
+def _(s, d):
+    index = spec.build("Flat", _base(s, d)).add(_base(s, d))
+    return _r(spec.replica_search([index, index.clone()], _asked(s, d), K))
+
+
+@query("reset_and_add", _knn_sql("l2"))
+def _(s, d):
+    index = spec.build("SQ8,RFlat", _base(s, d)).add(_twice(s, d))
+    return _r(index.reset().add(_base(s, d)).search(_asked(s, d), K, k_factor=8.0))
+
+
+_FAR = 1e6
+
+
+@query("knn_far_from_origin", f"WITH {_Q}, {_B}, p AS (SELECT qid, id, {_sum('((x + 1e6) - (y + 1e6)) * ((x + 1e6) - (y + 1e6))')} AS distance FROM q, b) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INT AS rank, id, round(distance, 6) + 0.0 AS distance FROM p QUALIFY rank <= {K}")
+def _(s, d):
+    """Vectors whose norms are huge against their distances."""
+    far = F.transform(F.col("vec").cast("array<double>"), lambda x: x + F.lit(_FAR))
+    return _r(knn.knn(_asked(s, d).withColumn("vec", far), _base(s, d).withColumn("vec", far), K))
+
+
+@query("knn_with_holes", _knn_sql("l2", where="WHERE id % 7 > 1"))
+def _(s, d):
+    """Vectors with null or NaN components are in the table and never in a result."""
+    hole = lambda x, i: F.when((F.col("id") % 7 == 0) & (i == 3), F.lit(None)).when((F.col("id") % 7 == 1) & (i == 5), F.lit(float("nan"))).otherwise(x)
+    return _r(knn.knn(_asked(s, d), _base(s, d).withColumn("vec", F.transform("vec", hole)), K))
+
+
+@query("ivf_standalone_codes", f"WITH {_ASSIGN} SELECT id, list_no, 1 AS prefix, 0.0 AS error FROM l")
+def _(s, d):
+    """Codes that begin with their list number, packed, unpacked and decoded: the inner
+    code keeps all bits, so nothing is lost."""
+    c, labels = _means(s, d)
+    codec = codecs.CoarseCodec(c, codecs.Identity(D))
+    back = codec.decode(codec.encode(_base(s, d)).select("id", "code")).select("id", F.col("vec").alias("back"))
+    numbers = codec.encode(_base(s, d)).select("id", F.get("code", F.lit(0)).alias("at")).join(back, "id").join(_base(s, d), "id")
+    number = F.element_at(F.lit([int(v) for v in labels]), F.col("at").cast("int") + 1)
+    return numbers.select("id", number.cast("int").alias("list_no"), F.lit(codec.prefix).alias("prefix"), (F.round(V.l2(F.col("vec"), F.col("back")), 6) + 0.0).alias("error"))
+
+
+# --- recall floors of what SQL cannot compute --------------------------------------------
+
+
+def _floor(name: str, found: Callable[[SparkSession, str], DataFrame], least: float, exact: Callable[[SparkSession, str], DataFrame] | None = None, k: int = K) -> None:
+    """A query that tells whether a search finds at least this share of the exact k."""
+
+    def run(s, d):
+        truth = (exact or (lambda s, d: knn.knn(_asked(s, d), _base(s, d), k)))(s, d)
+        share = evaluate.intersection_at(found(s, d), truth, k)
+        return share.select((F.element_at(F.array(*share.columns), 1) >= least).alias("reached"), F.lit(least).alias("floor"))
+
+    query(name, f"SELECT true AS reached, {least}::DOUBLE AS floor")(run)
+
+
+_floor("recall_hnsw", lambda s, d: _QUERIES["hnsw_search"](s, d), 0.9)
+_floor("recall_nsg", lambda s, d: _QUERIES["nsg_search"](s, d), 0.9)
+_floor("recall_nn_descent", lambda s, d: _QUERIES["nn_descent_graph"](s, d), 0.9, lambda s, d: knn.knn_graph(_base(s, d), 8), 8)
+for _name, _text, _least, _args in (
+    ("sq8", "SQ8", 0.95, {}),
+    ("ivf_sq8", "IVF16,SQ8", 0.95, {"nprobe": 16}),
+    ("pq_refined", "PQ8x4,RFlat", 0.9, {"k_factor": 30.0}),
+    ("ivf_pq_refined", "IVF16,PQ16x4,RFlat", 0.9, {"nprobe": 16, "k_factor": 20.0}),
+    ("opq_refined", "OPQ8_32,IVF16,PQ8x4,RFlat", 0.9, {"nprobe": 16, "k_factor": 40.0}),
+    ("pq_fast_refined", "PQ16x4fs,RFlat", 0.9, {"k_factor": 20.0}),
+    ("polysemous_refined", "PQ16x4,RFlat", 0.9, {"k_factor": 30.0, "ht": 40}),
+    ("residual_refined", "RQ4x4,RFlat", 0.9, {"k_factor": 40.0}),
+    ("local_search_refined", "LSQ4x4,RFlat", 0.9, {"k_factor": 40.0}),
+    ("lattice_refined", "ZnLattice8x10_6,RFlat", 0.9, {"k_factor": 10.0}),
+    ("two_codes", "IVF16,PQ16+16", 0.6, {"nprobe": 16}),
+    ("coarse_hnsw", "IVF16_HNSW8,Flat", 0.95, {"nprobe": 16}),
+    ("coarse_nsg", "IVF16_NSG8,Flat", 0.95, {"nprobe": 16}),
+    ("coarse_index", "IVF16(IVF4,Flat),Flat", 0.95, {"nprobe": 16}),
+    ("multi_index", "IMI2x3,Flat", 0.95, {"nprobe": 64}),
+    ("spectral_refined", "IVF16,ITQ32,SH-1.5g,RFlat", 0.6, {"nprobe": 16, "k_factor": 20.0}),
+    ("hnsw_sq8", "HNSW16,SQ8", 0.85, {"ef": 80}),
+):
+    _floor(f"recall_{_name}", lambda s, d, t=_text, a=_args: spec.build(t, _base(s, d), niter=6).add(_base(s, d)).search(_asked(s, d), K, **a), _least)
+
+
+# --- generators -------------------------------------------------------------------------
+
+
 @query("synthetic_vectors")
 def _(s, d):
     return _digest(vecs.synthetic(s, 1000, 16))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -30,7 +31,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir, which executors share; a temporary one of
-    this machine only where the session has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ridgeline-")
+    """A new folder under spark.checkpoint.dir, which executors share; a temporary one only
+    where the session has none and all of it runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -7,7 +7,6 @@ of rows and reads it in blocks.  Files on stores that only Spark reads go throug
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.kernels import matrix
+from ..operators import knn
+
 _ITEMS = {"fvecs": ("<f4", "array<float>"), "ivecs": ("<i4", "array<int>"), "bvecs": ("u1", "array<int>")}
 #: Bytes of a task's slice.
 SLICE = 64 << 20
@@ -92,30 +94,41 @@ def read_fbin(spark: SparkSession, path: str) -> DataFrame:
     return _rows(spark, path, n, 8, 4 * d, 0, "<f4", "array<float>")
 
 
+def _folder(path: str):
+    """(file system, path inside it) of a folder that executors share."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+    return fs.FileSystem.from_uri(path)
+
+
 def write_vecs(df: DataFrame, path: str, kind: str | None = None) -> None:
-    """One part file per partition in the order of id, then their concatenation is the
-    table; ``path`` is a folder on a shared file system, read with ``read_vecs`` by part."""
+    """One part file per partition in the order of id, whose concatenation is the table;
+    ``path`` is a folder on a shared file system, read with ``read_vecs`` by part.  A part
+    appears under its name at once, so a task that is run again leaves the same files."""
     kind = kind or "fvecs"
     item, _ = _ITEMS[kind]
-    folder = path[5:] if path.startswith("file:") else path
-    folder = "/" + folder.lstrip("/") if path.startswith("file:") else folder
-    os.makedirs(folder, exist_ok=True)
 
     def run(batches):
         from pyspark import TaskContext
 
+        store, folder = _folder(path)
+        store.create_dir(folder, recursive=True)
         part = TaskContext.get().partitionId()
         temp, n = f"{folder}/.{part:05d}-{uuid.uuid4().hex}", 0
-        with open(temp, "wb") as f:
+        with store.open_output_stream(temp) as f:
             for b in batches:
-                for v in b.column("vec").to_pylist():
-                    x = np.asarray(v, item)
-                    f.write(np.int32(len(x)).tobytes() + x.tobytes())
-                    n += 1
+                if not b.num_rows:
+                    continue
+                x = matrix(b.column("vec")).astype(item)
+                heads = np.full((len(x), 1), x.shape[1], "<i4").view(np.uint8)
+                f.write(np.concatenate((heads, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)), 1).tobytes())
+                n += len(x)
         if n:
-            os.replace(temp, f"{folder}/part-{part:05d}.{kind}")
+            store.move(temp, f"{folder}/part-{part:05d}.{kind}")
         else:
-            os.remove(temp)
+            store.delete_file(temp)
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n])], ["part", "n"])
 
     df.select("id", "vec").repartitionByRange("id").sortWithinPartitions("id").mapInArrow(run, "part long, n long").collect()
@@ -123,16 +136,37 @@ def write_vecs(df: DataFrame, path: str, kind: str | None = None) -> None:
 
 def read_vecs_folder(spark: SparkSession, path: str, kind: str = "fvecs") -> DataFrame:
     """All parts written by ``write_vecs``; ids run on from part to part."""
-    folder = "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+    from pyarrow.fs import FileSelector
+
+    store, folder = _folder(path)
+    names = sorted(f.base_name for f in store.get_file_info(FileSelector(folder)) if f.base_name.endswith(kind) and not f.base_name.startswith("."))
     out, at = None, 0
-    for name in sorted(n for n in os.listdir(folder) if n.endswith(kind) and not n.startswith(".")):
-        part = read_vecs(spark, f"file://{folder}/{name}", kind)
+    for name in names:
+        part = read_vecs(spark, f"{path.rstrip('/')}/{name}", kind)
         n = part.count()
         part = part.withColumn("id", F.col("id") + F.lit(at))
         out, at = part if out is None else out.unionByName(part), at + n
     return out
 
 
+class VectorSet:
+    """Queries, training rows and a database with their ground truth.  ``blocks`` gives the
+    database in ``parts`` pieces, or every piece of one worker (``rank`` of ``of``)."""
+
+    def __init__(self, database: DataFrame, queries: DataFrame, train: DataFrame | None = None, metric: str = "l2"):
+        self.database, self.queries, self.metric = database, queries, metric
+        self.train = database if train is None else train
+
+    def blocks(self, parts: int, rank: int = 0, of: int = 1) -> Iterator[DataFrame]:
+        for i in range(rank, parts, of):
+            yield self.database.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == i)
+
+    def ground_truth(self, k: int, parts: int = 1) -> DataFrame:
+        """Exact neighbours, block by block, merged."""
+        found = [knn.knn(self.queries, block, k, self.metric) for block in self.blocks(parts)]
+        return knn.merge_results(found, k, self.metric)
+
+
 def synthetic(spark: SparkSession, n: int, d: int, seed: int = 1338, first: int = 0) -> DataFrame:
     """(id, vec): 10 Gaussian dimensions projected to d, scaled and put through a sine;
     each row depends on its id and the seed alone."""

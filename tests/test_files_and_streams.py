@@ -38,12 +38,15 @@ def test_vector_files_round_trip(spark, tmp_path):
 def test_index_folder_round_trip(spark, tmp_path):
     df = vecs.synthetic(spark, 120, 8)
     q = df.filter("id < 4").select(F.col("id").alias("qid"), "vec")
-    for text in ("Flat", "IVF4,SQ8", "PCA4,Flat"):
+    for text in ("Flat", "IVF4,SQ8", "PCA4,Flat", "OPQ2_4,IVF4,PQ2x4", "HNSW8,SQ8", "IVF4,FlatDedup", "IVF4,ITQ4,SH3c", "IVF4,PQ2+2"):
         index = spec.build(text, df, niter=2).add(df)
         path = f"file://{tmp_path}/{text.replace(',', '_')}"
         store.save(index, path)
         a, b = (sorted(map(tuple, i.search(q, 3, nprobe=4).select("qid", "rank", "id").collect())) for i in (index, store.load(spark, path)))
         assert a == b
+        assert b"pickle" not in store.index_to_bytes(index)
+        c = store.index_from_bytes(spark, store.index_to_bytes(index)).search(q, 3, nprobe=4).select("qid", "rank", "id")
+        assert sorted(map(tuple, c.collect())) == a
     tables = store.from_bytes(spark, store.to_bytes({"rows": df}))
     assert tables["rows"].count() == 120
     parts = []
