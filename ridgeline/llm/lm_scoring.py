@@ -1,30 +1,35 @@
-"""Language-model scoring with an interpolated modified Kneser-Ney bigram model.
+"""Language-model scoring with an interpolated modified Kneser-Ney model of any order.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, then one end
-token per text; the first token's context is a begin mark, which is never scored.
-
-Counting runs in Spark over all training texts.  Each task counts its pairs of 64-bit
-word hashes in NumPy and sends them, combined, to ``cells``: hash ranges of the context
-word, or of the second word for the few very common context words, so that no cell has to
-hold all pairs of one hot word (which words are treated so is found on a bounded sample
-and affects the layout alone, never a count).  A cell is merged in one task and stored as
-a sorted array of pair hashes with counts.  From the merged pairs follow, by word: its
-count, the number of different words before it, and how many words followed it once,
-twice, or more often; they are merged by word range and stored as sorted arrays too.
-The files lie in the shared folder, written under a temporary name and renamed, so a
-repeated task leaves the same file.
+token per text; contexts are padded with a begin mark, which is never scored.
+
+Counting runs in Spark over all training texts.  Each task counts its n-grams of 64-bit
+word hashes in NumPy and sends them, combined, to ``cells``: hash ranges of the context,
+or of the last word for the few very common contexts, so that no cell has to hold all
+n-grams of one hot context (which they are is found on a bounded sample of documents and
+affects the layout alone, never a count).  A cell is merged in one task and stored as
+sorted arrays: n-gram hashes with counts, and context hashes with their total and how many
+words followed once, twice or more often.  The n-grams of the next lower order are counted
+from the different ones of the higher (continuation counts), cell by cell in the same way,
+down to single words.  The number of cells follows the size of the text, so a cell, and
+with it the memory of a task, does not grow.  The files lie in the shared folder, written
+under a temporary name and renamed, so a repeated task leaves the same file.
 
 Scoring maps over all texts; workers memory-map the files and look up sorted hashes.
-    p(w|v) = max(c(vw) - D(c(vw)), 0) / c(v) + (D1 n1(v) + D2 n2(v) + D3 n3(v)) / c(v) * p(w)
-    p(w)   = the same over the numbers of different preceding words, interpolated with
-             1 / (V + 1), which is what an unseen word gets.
-The discounts D1, D2, D3+ come from the counts of counts at each level.
-
-The order is two: three words per key need more than the disk allowed beside the input.
-
-Defined results: null text counts as empty; an empty text has one token, its end; with
-nothing to learn from, N = V = 0 and every token has probability 1; repeated rows count
-and score each time; result names replace input columns of the same name.
+    p_n(w | h) = (c - D(c)) / C + (D1 n1 + D2 n2 + D3 n3) / C * p_{n-1}(w | h')
+with c the count of the n-gram, C and n1 to n3 those of its context h, and h' the context
+without its first word; lower orders use continuation counts, and below single words is
+1 / (V + 1), which is what an unseen word gets.  The discounts D1, D2, D3+ come from the
+counts of counts at each order.
+
+The order is a parameter, two in the registered query: see the README for what three costs.
+
+Defined results: null text counts as empty; an empty text has one token, its end; texts of
+any length count whole; with nothing to learn from, N = V = 0 and every token has
+probability 1; repeated rows count and score each time; a null identifier is an empty one
+where identifiers choose the training texts; nothing depends on ties or on the order of
+rows; an empty table gives an empty result; result names replace input columns of the same
+name, whatever their case.
 """
 
 from __future__ import annotations
@@ -46,9 +51,10 @@ from .common import documents, new_dir, other_fields, remainder
 from .textkernel import LOWER, NOT_SPACE, loads, mix, pieces, span_hashes, utf8, word_spans
 
 BEGIN, END = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
-FLUSH = 3_000_000
-#: Layout only: one document in so many is looked at for words above HOT_SHARE of tokens.
-SAMPLE, HOT_SHARE = 1009, 0.004
+ORDER, FLUSH = 2, 3_000_000
+#: Layout only: documents of the sample at most; contexts above HOT_SHARE of its tokens are
+#: split; a cell is made for about so many tokens, and a task merges so many cells.
+SAMPLE_DOCS, HOT_SHARE, CELL_TOKENS, TASK_CELLS = 20_000, 0.004, 1 << 19, 4
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,10 +72,17 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Counts in four bytes where they fit, else in eight."""
+    return a.astype("<u4" if not len(a) or int(a.max()) < 1 << 32 else "<u8")
+
+
 def _save(path: str, arrays: list[np.ndarray]) -> None:
-    """The length and the arrays, one after the other, under a name that appears at once."""
+    """Length, item sizes and the arrays, one after the other, under a name that appears at
+    once."""
     fs, local = _store(path)
-    data = struct.pack("<q", len(arrays[0])) + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    head = struct.pack(f"<{len(arrays) + 2}q", len(arrays[0]), len(arrays), *(a.itemsize for a in arrays))
+    data = head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
     temp = f"{local}.{uuid.uuid4().hex}"
     if fs is None:
         os.makedirs(os.path.dirname(local), exist_ok=True)
@@ -83,19 +96,19 @@ def _save(path: str, arrays: list[np.ndarray]) -> None:
         fs.move(temp, local)
 
 
-def _map(path: str, kinds: list[str]) -> list[np.ndarray]:
-    """The arrays of a file, memory-mapped; empty ones if there is no such file.  A file
-    in a store that cannot be mapped is first copied to an unnamed local file."""
+def _map(path: str) -> list[np.ndarray]:
+    """The arrays of a file, memory-mapped; none if there is no such file.  A file in a
+    store that cannot be mapped is first copied to an unnamed local file."""
     fs, local = _store(path)
     if fs is None:
         if not os.path.exists(local):
-            return [np.zeros(0, k) for k in kinds]
+            return []
         f = open(local, "rb")  # noqa: SIM115 - closed below
     else:
         from pyarrow.fs import FileType
 
         if fs.get_file_info(local).type == FileType.NotFound:
-            return [np.zeros(0, k) for k in kinds]
+            return []
         f = tempfile.TemporaryFile()  # noqa: SIM115 - closed below
         with fs.open_input_stream(local) as s:
             while block := s.read(1 << 22):
@@ -103,21 +116,17 @@ def _map(path: str, kinds: list[str]) -> list[np.ndarray]:
         f.flush()
         f.seek(0)
     with f:
-        (n,) = struct.unpack("<q", f.read(8))
+        n, k = struct.unpack("<2q", f.read(16))
+        sizes = struct.unpack(f"<{k}q", f.read(8 * k))
         if not n:
-            return [np.zeros(0, k) for k in kinds]
-        whole, out, at = np.memmap(f, np.uint8, "r"), [], 8
-    for k in kinds:
-        size = n * np.dtype(k).itemsize
-        out.append(whole[at : at + size].view(k))
-        at += size
+            return []
+        whole, out, at = np.memmap(f, np.uint8, "r"), [], 16 + 8 * k
+    for size in sizes:
+        out.append(whole[at : at + n * size].view(f"<u{size}"))
+        at += n * size
     return out
 
 
-_PAIR = ["<u8", "<u4"]  # pair hash, count
-_WORD = ["<u8", "<u8", "<u4", "<u4", "<u4", "<u4"]  # word, count, words before it, words after it once, twice, more
-
-
 # --- counting -------------------------------------------------------------------------
 
 
@@ -131,89 +140,156 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, word_at + np.arange(n + 1)
 
 
+def grams(toks: np.ndarray, at: np.ndarray, order: int, begin) -> list[np.ndarray]:
+    """Columns of the n-gram that ends at each token, first word first; ``begin`` before a
+    text's first token."""
+    place = np.arange(len(toks)) - np.repeat(at[:-1], np.diff(at))
+    out = []
+    for back in range(order - 1, 0, -1):
+        column = np.empty_like(toks)
+        column[back:] = toks[: len(toks) - back]
+        column[place < back] = begin
+        out.append(column)
+    return [*out, toks]
+
+
+def context_hash(columns: list[np.ndarray]) -> np.ndarray:
+    """One hash of the words of a context; of a single word, its own."""
+    h = columns[0]
+    for c in columns[1:]:
+        h = mix(h * _P + c)
+    return h
+
+
+def gram_hash(context: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(context * _P + w)
+
+
 @dataclass(frozen=True)
 class Layout:
-    """Cells of pairs and ranges of words, both powers of two, and the split context words."""
+    """Cells and word ranges, both powers of two, and the split contexts of each order."""
 
     path: str
+    order: int
     cell_bits: int
     word_bits: int
-    hot: tuple[int, ...]
-
-    def is_hot(self, words: np.ndarray) -> np.ndarray:
-        return np.isin(words, np.array(self.hot, np.uint64))
-
-    def cells(self, v: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
-        return (np.where(hot, w, v) >> np.uint64(64 - self.cell_bits)).astype(np.int32)
-
-    def cell_file(self, cell: int) -> str:
-        return f"{self.path}/pairs/{cell:08d}"
-
-    def word_file(self, part: int) -> str:
-        return f"{self.path}/words/{part:08d}"
-
-
-def _pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(v * _P + w)
-
-
-def _combine(tok: list[np.ndarray], first: list[np.ndarray], layout: Layout):
-    """(cell, blob) rows of the different pairs of the given tokens; ``first``: places of
-    the texts' first tokens, whose context is BEGIN."""
-    words, ids = np.unique(np.concatenate([*tok, [BEGIN]]), return_inverse=True)
-    wi = ids[:-1].astype(np.uint64)
-    codes = np.empty_like(wi)
-    codes[1:] = wi[:-1] << np.uint64(32)
-    codes[np.concatenate(first)] = np.uint64(int(ids[-1]) << 32)
-    codes |= wi
-    del ids, wi
-    codes.sort()
-    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-    count = np.diff(np.append(first, len(codes))).astype(np.uint32)
-    codes = codes[first]
-    vi, wi = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    cell = layout.cells(words[vi], words[wi], layout.is_hot(words)[vi])
-    order = np.argsort(cell, kind="stable")
-    cell, vi, wi, count = cell[order], vi[order], wi[order], count[order]
+    hot: dict[int, tuple[int, ...]]
+
+    def is_hot(self, order: int, context: np.ndarray) -> np.ndarray:
+        hot = np.array(self.hot.get(order, ()), np.uint64)  # sorted
+        if not len(hot):
+            return np.zeros(len(context), bool)
+        return hot[np.minimum(np.searchsorted(hot, context), len(hot) - 1)] == context
+
+    def cells(self, order: int, context: np.ndarray, w: np.ndarray) -> np.ndarray:
+        if order == 1:
+            return (w >> np.uint64(64 - self.word_bits)).astype(np.int32)
+        return (np.where(self.is_hot(order, context), w, context) >> np.uint64(64 - self.cell_bits)).astype(np.int32)
+
+    def file(self, kind: str, order: int, cell: int) -> str:
+        return f"{self.path}/{kind}{order}/{cell:08d}"
+
+
+def _blobs(columns: list[np.ndarray], values: list[np.ndarray], layout: Layout) -> Iterator[tuple[int, bytes]]:
+    """(cell, blob) of different n-grams with their values, rows of one context together."""
+    order = len(columns)
+    if not len(columns[-1]):
+        return
+    context = context_hash(columns[:-1]) if order > 1 else columns[0]
+    cell = layout.cells(order, context, columns[-1])
+    by = np.argsort(cell, kind="stable")
+    cell, columns, values = cell[by], [c[by] for c in columns], [v[by] for v in values]
     cuts = np.append(np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), len(cell))
     for a, b in zip(cuts, cuts[1:], strict=False):
-        run = np.flatnonzero(np.concatenate(([True], vi[a + 1 : b] != vi[a : b - 1])))
-        runs = np.diff(np.append(run, b - a)).astype(np.uint32)
-        blob = struct.pack("<qq", len(run), b - a)
-        yield int(cell[a]), b"".join((blob, words[vi[a:b][run]].tobytes(), words[wi[a:b]].tobytes(), runs.tobytes(), count[a:b].tobytes()))
-
-
-def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["k", "blob"])
+        new = np.zeros(b - a, bool)
+        new[0] = True
+        for c in columns[:-1]:
+            new[1:] |= c[a + 1 : b] != c[a : b - 1]
+        run = np.flatnonzero(new) if order > 1 else np.zeros(0, np.int64)
+        runs = np.diff(np.append(run, b - a)).astype(np.uint32) if order > 1 else np.zeros(0, np.uint32)
+        narrow = [_narrow(v[a:b]) for v in values]
+        head = struct.pack(f"<{2 + len(values)}q", len(run), b - a, *(v.itemsize for v in narrow))
+        parts = [c[a:b][run].tobytes() for c in columns[:-1]] + [columns[-1][a:b].tobytes(), runs.tobytes()] + [v.tobytes() for v in narrow]
+        yield int(cell[a]), head + b"".join(parts)
+
+
+def _open_blob(blob: bytes, order: int, n_values: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Columns and values of a blob."""
+    nv, n, *sizes = struct.unpack_from(f"<{2 + n_values}q", blob)
+    at, columns = 8 * (2 + n_values), []
+    for _ in range(order - 1):
+        columns.append(np.frombuffer(blob, np.uint64, nv, at))
+        at += 8 * nv
+    last = np.frombuffer(blob, np.uint64, n, at)
+    at += 8 * n
+    runs = np.frombuffer(blob, np.uint32, nv, at)
+    at += 4 * nv
+    values = []
+    for size in sizes:
+        values.append(np.frombuffer(blob[at : at + n * size], f"<u{size}").astype(np.int64))
+        at += n * size
+    return [np.repeat(c, runs) for c in columns] + [last], values
+
+
+def _combine(tok: list[np.ndarray], at: list[np.ndarray], layout: Layout) -> Iterator[tuple[int, bytes]]:
+    """Blobs of the different n-grams of texts: token hashes and offsets by piece."""
+    toks = np.concatenate(tok)
+    starts, size = [], 0
+    for a in at:
+        starts.append(a[:-1] + size)
+        size += int(a[-1])
+    offsets = np.append(np.concatenate(starts), size)
+    words, ids = np.unique(np.append(toks, BEGIN), return_inverse=True)
+    ids = ids.astype(np.int64)
+    columns = grams(ids[:-1], offsets, layout.order, ids[-1])
+    code, prefix = columns[0], []  # numbers of the prefixes so far, and what each stands for
+    for c in columns[1:-1]:
+        pairs, number = np.unique(code * len(words) + c, return_inverse=True)
+        prefix.append(pairs)
+        code = number.astype(np.int64)
+    code = code * len(words) + columns[-1]
+    code.sort()
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    count = np.diff(np.append(first, len(code)))
+    lead, last = np.divmod(code[first], len(words))
+    out = [last]
+    for pairs in reversed(prefix):
+        lead, c = np.divmod(pairs[lead], len(words))
+        out.append(c)
+    out.append(lead)
+    yield from _blobs([words[c] for c in reversed(out)], [count], layout)
 
 
 def _in_batches(rows: Iterator[tuple[int, bytes]], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    def batch(held):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int32()), pa.array([r[1] for r in held], pa.binary())], ["k", "blob"])
+
     held, size = [], 0
     for row in rows:
         held.append(row)
         size += len(row[1])
         if size > most:
-            yield _batch(held)
+            yield batch(held)
             held, size = [], 0
     if held:
-        yield _batch(held)
+        yield batch(held)
 
 
-def _count(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], layout: Layout, flush: int) -> Iterator[pa.RecordBatch]:
     def rows():
-        tok, first, size = [], [], 0
+        tok, ats, size = [], [], 0
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
             for _, _, data, at in pieces(raw, offsets):
                 toks, tok_at = tokens(LOWER[data], at)
                 tok.append(toks)
-                first.append(tok_at[:-1] + size)
+                ats.append(tok_at)
                 size += len(toks)
-                if size >= FLUSH:
-                    yield from _combine(tok, first, layout)
-                    tok, first, size = [], [], 0
+                if size >= flush:
+                    yield from _combine(tok, ats, layout)
+                    tok, ats, size = [], [], 0
         if size:
-            yield from _combine(tok, first, layout)
+            yield from _combine(tok, ats, layout)
 
     yield from _in_batches(rows())
 
@@ -242,77 +318,87 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [keys[first], *(np.add.reduceat(v[order], first) for v in values)]
 
 
-def _merge_cells(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
-    """Write each cell's file; give (range of words, blob of sums by word) rows."""
-    after, before, counts_of_counts = [], [], np.zeros(4, np.int64)
-    for cell, blobs in _groups(batches):
-        vs, ws, cs = [], [], []
-        for blob in blobs:
-            nv, n = struct.unpack_from("<qq", blob)
-            ctx = np.frombuffer(blob, np.uint64, nv, 16)
-            ws.append(np.frombuffer(blob, np.uint64, n, 16 + 8 * nv))
-            runs = np.frombuffer(blob, np.uint32, nv, 16 + 8 * (nv + n))
-            cs.append(np.frombuffer(blob, np.uint32, n, 16 + 8 * (nv + n) + 4 * nv))
-            vs.append(np.repeat(ctx, runs))
-        v, w, c = np.concatenate(vs), np.concatenate(ws), np.concatenate(cs).astype(np.int64)
-        del vs, ws, cs
-        key = _pair_hash(v, w)
-        order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        c = np.add.reduceat(c[order], first)
-        v, w = v[order][first], w[order][first]
-        _save(layout.cell_file(cell), [key[first], np.minimum(c, 0xFFFFFFFF).astype(np.uint32)])
-        counts_of_counts += np.bincount(np.minimum(c, 5), minlength=6)[1:5]
-        after.append(_sums(v, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)))
-        before.append(_sums(w, c, np.ones(len(c), np.int64)))
+# Rows with a negative key -order carry what the driver needs of an order: counts of counts
+# and the sums of split contexts.  They pass through the lower orders.
+
+
+def _summary(of_counts: np.ndarray, sums: list[np.ndarray]) -> bytes:
+    return struct.pack("<q", len(sums[0])) + of_counts.astype(np.int64).tobytes() + b"".join(np.ascontiguousarray(x).astype("<u8").tobytes() for x in sums)
+
+
+def _add_summaries(blobs: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    of_counts, parts = np.zeros(4, np.int64), []
+    for blob in blobs:
+        (n,) = struct.unpack_from("<q", blob)
+        of_counts = of_counts + np.frombuffer(blob, np.int64, 4, 8)
+        parts.append([np.frombuffer(blob, np.uint64, n, 40 + 8 * n * k) for k in range(5)])
+    sums = _sums(np.concatenate([p[0] for p in parts]), *(np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(1, 5)))
+    return of_counts, sums
+
+
+def _merge_cells(batches: Iterator[pa.RecordBatch], layout: Layout, order: int) -> Iterator[pa.RecordBatch]:
+    """Write each cell's files; give the n-grams of the next lower order, counted by cell.
+    Values: the count at this order, and of the top order (which gives word counts)."""
+    top = order == layout.order
 
     def rows():
-        if not after:
-            return
-        a = _sums(*(np.concatenate([x[i] for x in after]) for i in range(4)))
-        b = _sums(*(np.concatenate([x[i] for x in before]) for i in range(3)))
-        shift = np.uint64(64 - layout.word_bits)
-        for part in range(1 << layout.word_bits):
-            i, j = np.searchsorted(a[0] >> shift, [part, part + 1])
-            k, m = np.searchsorted(b[0] >> shift, [part, part + 1])
-            extra = counts_of_counts if part == 0 else np.zeros(4, np.int64)
-            if j > i or m > k or extra.any():
-                blob = struct.pack("<qq", j - i, m - k) + extra.tobytes() + a[0][i:j].tobytes() + b[0][k:m].tobytes()
-                blob += b"".join(x[i:j].astype(np.uint32).tobytes() for x in a[1:]) + b[2][k:m].astype(np.uint32).tobytes()
-                yield part, blob + b[1][k:m].tobytes()
+        of_counts, hot = np.zeros(4, np.int64), []
+        for cell, blobs in _groups(batches):
+            if cell < 0:
+                yield cell, _summary(*_add_summaries(blobs))
+                continue
+            opened = [_open_blob(b, order, 1 if top else 2) for b in blobs]
+            columns = [np.concatenate([c[i] for c, _ in opened]) for i in range(order)]
+            values = [np.concatenate([v[i] for _, v in opened]) for i in range(1 if top else 2)]
+            del opened
+            context = context_hash(columns[:-1])
+            key = gram_hash(context, columns[-1])
+            by = np.argsort(key)
+            key = key[by]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            values = [np.add.reduceat(v[by], first) for v in values]
+            by, key = by[first], key[first]
+            columns, context, c = [x[by] for x in columns], context[by], values[0]
+            _save(layout.file("grams", order, cell), [key, _narrow(c)])
+            of_counts += np.bincount(np.minimum(c, 5), minlength=6)[1:5]
+            sums = _sums(context, c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64))
+            split = layout.is_hot(order, sums[0])
+            _save(layout.file("contexts", order, cell), [sums[0][~split], *(_narrow(x[~split]) for x in sums[1:])])
+            if split.any():
+                hot.append([x[split] for x in sums])
+            # the next lower order: different n-grams here, and their top counts
+            low = columns[1:]
+            code = context_hash(low)
+            by = np.argsort(code, kind="stable")
+            code = code[by]
+            first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            low = [x[by][first] for x in low]
+            more, times = np.add.reduceat(values[-1][by], first), np.diff(np.append(first, len(code)))
+            if order > 2:  # rows of one context together
+                by = np.argsort(context_hash(low[:-1]), kind="stable")
+                low, times, more = [x[by] for x in low], times[by], more[by]
+            yield from _blobs(low, [times, more], layout)
+        sums = [np.concatenate([h[k] for h in hot]) for k in range(5)] if hot else [np.zeros(0, np.uint64)] * 5
+        yield -order, _summary(of_counts, sums)
 
     yield from _in_batches(rows())
 
 
-_TOTALS = "tokens long, words long, pairs long, a array<long>, b array<long>"
+def _merge_words(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
+    """Write each word range's file; give summaries and one row of totals per range."""
 
+    def rows():
+        for part, blobs in _groups(batches):
+            if part < 0:
+                yield part, _summary(*_add_summaries(blobs))
+                continue
+            opened = [_open_blob(b, 1, 2) for b in blobs]
+            words, before, count = _sums(np.concatenate([c[0] for c, _ in opened]), *(np.concatenate([v[i] for _, v in opened]) for i in range(2)))
+            _save(layout.file("words", 1, part), [words, _narrow(count), _narrow(before)])
+            of = np.bincount(np.minimum(before, 5), minlength=6)[1:5]
+            yield part, struct.pack("<7q", int(count.sum()), len(words), int(before.sum()), *of.tolist())
 
-def _merge_words(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
-    """Write each word range's file; give one row of totals per range."""
-    for part, blobs in _groups(batches):
-        a, b, pairs = [], [], np.zeros(4, np.int64)
-        for blob in blobs:
-            n, m = struct.unpack_from("<qq", blob)
-            pairs = pairs + np.frombuffer(blob, np.int64, 4, 16)
-            at = 48 + 8 * (n + m)
-            ones, twos, more, distinct = (np.frombuffer(blob, np.uint32, k, at + 4 * o).astype(np.int64) for k, o in ((n, 0), (n, n), (n, 2 * n), (m, 3 * n)))
-            a.append((np.frombuffer(blob, np.uint64, n, 48), ones, twos, more))
-            b.append((np.frombuffer(blob, np.uint64, m, 48 + 8 * n), np.frombuffer(blob[at + 12 * n + 4 * m :], np.int64, m), distinct))
-        a = [np.concatenate([x[i] for x in a]) for i in range(4)]
-        b = [np.concatenate([x[i] for x in b]) for i in range(3)]
-        zero_a, zero_b = np.zeros(len(a[0]), np.int64), np.zeros(len(b[0]), np.int64)
-        words, count, distinct, ones, twos, more = _sums(
-            np.concatenate((b[0], a[0])),
-            np.concatenate((b[1], zero_a)),
-            np.concatenate((b[2], zero_a)),
-            *(np.concatenate((zero_b, x)) for x in a[1:]),
-        )
-        _save(layout.word_file(part), [words, count.astype(np.uint64), *(x.astype(np.uint32) for x in (distinct, ones, twos, more))])
-        of = np.bincount(np.minimum(distinct, 5), minlength=6)[1:5]
-        row = [[int(count.sum())], [int((count > 0).sum())], [int(distinct.sum())], [pairs.tolist()], [of.tolist()]]
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["tokens", "words", "pairs", "a", "b"])
+    yield from _in_batches(rows())
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -330,46 +416,67 @@ class Model:
     tokens: int
     words: int
     pairs: int
-    pair_discounts: tuple[float, float, float]
-    word_discounts: tuple[float, float, float]
+    discounts: dict[int, tuple[float, float, float]]  # by order
     ones: tuple[int, int, int]  # words with 1, 2, more different words before them
+    hot: dict[int, list[np.ndarray]]  # by order: split contexts, total, followed once, twice, more
 
 
-def _hot_words(train: DataFrame, id_col: str, text_col: str) -> tuple[int, ...]:
-    """Words above HOT_SHARE of the tokens of a bounded sample: a matter of layout."""
+def _sampled_layout(train: DataFrame, id_col: str, text_col: str, path: str, order: int) -> Layout:
+    """Cells for the size of the text and contexts to be split, by a sample of at most about
+    SAMPLE_DOCS documents: a matter of layout."""
+    n = train.count()
+    step = max(1, n // SAMPLE_DOCS)
+    share = HOT_SHARE
 
     def run(batches):
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
             for _, _, data, at in pieces(raw, offsets):
-                w, n = np.unique(tokens(LOWER[data], at)[0], return_counts=True)
-                top = n >= max(2, HOT_SHARE * n.sum() / 4)
-                yield pa.RecordBatch.from_arrays([pa.array(w[top].view(np.int64)), pa.array(n[top])], ["w", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([int(n.sum())])], ["w", "n"])
-
-    sample = train.filter(F.crc32(F.concat(F.lit("s"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).cast("binary")) % SAMPLE == 0)
-    counts = sample.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    total = counts.filter("w = 0").first()
-    if total is None:
-        return (int(BEGIN),)
-    rows = counts.filter((F.col("w") != 0) & (F.col("n") >= F.lit(HOT_SHARE * total.n))).collect()  # at most 1 / HOT_SHARE rows
-    return (int(BEGIN), *sorted(r.w % (1 << 64) for r in rows))
-
-
-def fit(train: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None) -> Model:
+                toks, tok_at = tokens(LOWER[data], at)
+                columns = grams(toks, tok_at, order, BEGIN)
+                for k in range(2, order + 1):
+                    h, times = np.unique(context_hash(columns[order - k : order - 1]), return_counts=True)
+                    top = times >= max(2, share * len(toks) / 4)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(top.sum(), k)), pa.array(h[top].view(np.int64)), pa.array(times[top])], ["k", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([len(toks)])], ["k", "h", "n"])
+
+    key = F.concat(F.lit("s"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+    sample = train.filter(F.crc32(key.cast("binary")) % step == 0).select(F.col(f"`{text_col}`").alias("text"))
+    counts = sample.mapInArrow(run, "k long, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
+    total = counts.groupBy().agg(F.max(F.when(F.col("k") == 0, F.col("n")))).first()[0] or 0
+    rows = counts.filter((F.col("k") > 0) & (F.col("n") >= F.lit(share * total))).collect()  # at most 1 / HOT_SHARE rows by order
+    begins = [np.full(1, BEGIN)] * (order - 1)
+    hot = {k: {int(context_hash(begins[: k - 1])[0])} | {r.h % (1 << 64) for r in rows if r.k == k} for k in range(2, order + 1)}
+    cells = max(4, int(total * step / CELL_TOKENS).bit_length())
+    return Layout(path, order, cells, max(3, cells - 3), {k: tuple(sorted(v)) for k, v in hot.items()})
+
+
+def fit(train: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, order: int = ORDER) -> Model:
     """Count and store the model of all texts of ``train``."""
+    if order < 2:
+        raise ValueError("the order is two at least")
     spark = train.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cell_bits = max(4, (4 * parts - 1).bit_length())
-    word_bits = max(3, (parts - 1).bit_length() - 1)
-    layout = Layout(path or new_dir(spark, "bigrams"), cell_bits, word_bits, _hot_words(train, id_col, text_col))
-    rows = train.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(lambda it: _count(it, layout), "k int, blob binary")
-    rows = rows.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(lambda it: _merge_cells(it, layout), "k int, blob binary")
-    rows = rows.repartition(1 << word_bits, "k").sortWithinPartitions("k").mapInArrow(lambda it: _merge_words(it, layout), _TOTALS)
-    totals = rows.collect()  # one row per range of words
-    a, b = ([sum(getattr(r, k)[i] for r in totals) for i in range(4)] for k in "ab")
-    n, v, pairs = (sum(getattr(r, k) for r in totals) for k in ("tokens", "words", "pairs"))
-    return Model(layout, n, v, pairs, discounts(a), discounts(b), (b[0], b[1], v - b[0] - b[1]))
+    layout = _sampled_layout(train, id_col, text_col, path or new_dir(spark, "ngrams"), order)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << layout.cell_bits) // TASK_CELLS)
+    flush = FLUSH
+    rows = train.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(lambda it: _count(it, layout, flush), "k int, blob binary")
+    for k in range(order, 1, -1):
+        rows = rows.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(lambda it, k=k: _merge_cells(it, layout, k), "k int, blob binary")
+    rows = rows.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(lambda it: _merge_words(it, layout), "k int, blob binary")
+    found = rows.collect()  # one small row per range of words and per order
+    of_words, totals = np.zeros(4, np.int64), np.zeros(3, np.int64)
+    for r in found:
+        if r.k >= 0:
+            values = struct.unpack("<7q", r.blob)
+            totals += np.array(values[:3])
+            of_words += np.array(values[3:])
+    by_order = {k: _add_summaries([bytes(r.blob) for r in found if r.k == -k]) for k in range(2, order + 1) if any(r.k == -k for r in found)}
+    empty = [np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))]
+    found_discounts = {k: discounts((by_order[k][0] if k in by_order else np.zeros(4, int)).tolist()) for k in range(2, order + 1)}
+    n, v, pairs = (int(x) for x in totals)
+    ones = (int(of_words[0]), int(of_words[1]), v - int(of_words[0]) - int(of_words[1]))
+    hot = {k: by_order[k][1] if k in by_order else empty for k in range(2, order + 1)}
+    return Model(layout, n, v, pairs, {1: discounts(of_words.tolist()), **found_discounts}, ones, hot)
 
 
 # --- scoring --------------------------------------------------------------------------
@@ -381,78 +488,63 @@ class Scorer:
     def __init__(self, model: Model):
         self.m, self.files = model, {}
 
-    def _file(self, path: str, kinds: list[str]) -> list[np.ndarray]:
-        if path not in self.files:
-            self.files[path] = _map(path, kinds)
-        return self.files[path]
-
-    def _find(self, path: str, kinds: list[str], keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Positions of keys in a file (clipped), whether they are there, and the arrays."""
-        arrays = self._file(path, kinds)
-        if not len(arrays[0]):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), arrays
-        at = np.minimum(np.searchsorted(arrays[0], keys), len(arrays[0]) - 1)
-        return arrays[0][at] == keys, at, arrays
-
-    def words(self, words: np.ndarray) -> np.ndarray:
-        """(5, n): count, words before, words after once, twice, more; of sorted words."""
-        out = np.zeros((5, len(words)))
-        part = words >> np.uint64(64 - self.m.layout.word_bits)
-        cuts = np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), len(words))
+    def _look_up(self, kind: str, order: int, cell: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+        """(n, keys) values of sorted files; 0 where a key is in none."""
+        out = np.zeros((n, len(keys)))
+        by = np.argsort(cell, kind="stable")
+        cell = cell[by]
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), len(cell)) if len(cell) else []
         for a, b in zip(cuts, cuts[1:], strict=False):
-            there, at, arrays = self._find(self.m.layout.word_file(int(part[a])), _WORD, words[a:b])
+            path = self.m.layout.file(kind, order, int(cell[a]))
+            if path not in self.files:
+                self.files[path] = _map(path)
+            arrays = self.files[path]
+            if not arrays:
+                continue
+            mine = keys[by[a:b]]
+            at = np.minimum(np.searchsorted(arrays[0], mine), len(arrays[0]) - 1)
+            there = arrays[0][at] == mine
             if there.any():
-                for k in range(5):
-                    out[k, a:b] = np.where(there, arrays[k + 1][at], 0)
+                for k in range(n):
+                    out[k, by[a:b]] = np.where(there, arrays[k + 1][at], 0)
         return out
 
-    def pairs(self, words: np.ndarray, vi: np.ndarray, wi: np.ndarray) -> np.ndarray:
-        v, w = words[vi], words[wi]
-        layout = self.m.layout
-        cell = layout.cells(v, w, layout.is_hot(words)[vi])
-        key = _pair_hash(v, w)
-        out = np.zeros(len(key))
-        order = np.argsort(cell, kind="stable")
-        cell = cell[order]
-        cuts = np.append(np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), len(cell))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            there, at, arrays = self._find(layout.cell_file(int(cell[a])), _PAIR, key[order[a:b]])
-            if there.any():
-                out[order[a:b]] = np.where(there, arrays[1][at], 0)
-        return out
+    def _contexts(self, order: int, context: np.ndarray) -> np.ndarray:
+        """(4, n): total, followed once, twice, more."""
+        layout, hot = self.m.layout, self.m.hot[order]
+        different, back = np.unique(context, return_inverse=True)
+        out = self._look_up("contexts", order, (different >> np.uint64(64 - layout.cell_bits)).astype(np.int32), different, 4)
+        if len(hot[0]):
+            at = np.minimum(np.searchsorted(hot[0], different), len(hot[0]) - 1)
+            there = hot[0][at] == different
+            for k in range(4):
+                out[k] = np.where(there, hot[k + 1][at], out[k])
+        return out[:, back]
 
     def score(self, toks: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By text: known tokens, base score and model score."""
-        m = self.m
-        n = len(toks)
-        words, ids = np.unique(np.append(toks, BEGIN), return_inverse=True)
-        wi = ids[:n]
-        vi = np.empty(n, np.int64)
-        vi[1:] = wi[:-1]
-        vi[at[:-1]] = ids[n]
-        count, before, one, two, more = self.words(words)
-        d1, d2, d3 = m.word_discounts
+        m, layout = self.m, self.m.layout
+        words, wi = np.unique(toks, return_inverse=True)
+        count, before = self._look_up("words", 1, layout.cells(1, words, words), words, 2)
+        p = np.full(len(words), 1.0 / (m.words + 1))
         if m.pairs:
+            d1, d2, d3 = m.discounts[1]
             off = np.select([before >= 3, before == 2, before == 1], [d3, d2, d1], 0.0)
-            spare = (d1 * m.ones[0] + d2 * m.ones[1] + d3 * m.ones[2]) / m.pairs
-            p1 = (before - off) / m.pairs + spare / (m.words + 1)
-        else:
-            p1 = np.full(len(words), 1.0 / (m.words + 1))
-        follow = count.copy()  # how often the word was a context
-        follow[ids[n]] = self._begins()
-        d1, d2, d3 = m.pair_discounts
-        spare = np.where(follow > 0, (d1 * one + d2 * two + d3 * more) / np.maximum(follow, 1), 1.0)
-        c = self.pairs(words, vi, wi)
-        off = np.select([c >= 3, c == 2, c == 1], [d3, d2, d1], 0.0)
-        p = (c - off) / np.maximum(follow[vi], 1) + spare[vi] * p1[wi]
+            p = (before - off) / m.pairs + (d1 * m.ones[0] + d2 * m.ones[1] + d3 * m.ones[2]) / m.pairs * p
+        p = p[wi]
+        columns = grams(toks, at, layout.order, BEGIN)
+        for k in range(2, layout.order + 1):
+            context = context_hash(columns[layout.order - k : -1])
+            total, one, two, more = self._contexts(k, context)
+            (c,) = self._look_up("grams", k, layout.cells(k, context, toks), gram_hash(context, toks), 1)
+            d1, d2, d3 = m.discounts[k]
+            off = np.select([c >= 3, c == 2, c == 1], [d3, d2, d1], 0.0)
+            seen = np.maximum(total, 1)
+            p = np.where(total > 0, (c - off) / seen + (d1 * one + d2 * two + d3 * more) / seen * p, p)
         base = np.log10((count + 1) / (m.tokens + m.words + 1))
         first = at[:-1]
         return np.add.reduceat((count[wi] > 0).astype(np.int64), first), np.add.reduceat(base[wi], first), np.add.reduceat(np.log10(p), first)
 
-    def _begins(self) -> float:
-        """Training texts: as many as end tokens."""
-        return float(self.words(np.array([END]))[0, 0])
-
 
 RESULT = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 

@@ -15,61 +15,68 @@ def tokens(t):
     return [*WORD.findall(lower(t)), "\n"]
 
 
-def brute_lm(rows):
+def brute_lm(rows, order=2):
     """Scores of all rows by the model of those whose remainder is not 2."""
-    c1, c2, ctx = Counter(), Counter(), Counter()
+    c1, by = Counter(), {order: Counter()}
     for i, t in rows:
         if crc(i, 7) != 2:
-            p = "\t"
-            for w in tokens(t):
-                c1[w] += 1
-                c2[p, w] += 1
-                ctx[p] += 1
-                p = w
-    n, v, pairs = sum(c1.values()), len(c1), len(c2)
-    before = Counter(w for _, w in c2)
-    after = defaultdict(lambda: [0, 0, 0])
-    for (a, _), c in c2.items():
-        after[a][min(c, 3) - 1] += 1
-    d2 = lm_scoring.discounts([sum(c == k for c in c2.values()) for k in (1, 2, 3, 4)])
-    d1 = lm_scoring.discounts([sum(c == k for c in before.values()) for k in (1, 2, 3, 4)])
-    ones = [sum(min(c, 3) == k for c in before.values()) for k in (1, 2, 3)]
-
-    def p1(w):
-        if not pairs:
+            s = ["\t"] * (order - 1) + tokens(t)
+            for k in range(order - 1, len(s)):
+                c1[s[k]] += 1
+                by[order][tuple(s[k - order + 1 : k + 1])] += 1
+    for k in range(order - 1, 0, -1):
+        by[k] = Counter(g[1:] for g in by[k + 1])
+    after = {k: defaultdict(lambda: [0, 0, 0, 0]) for k in range(1, order + 1)}
+    for k, counts in by.items():
+        for g, c in counts.items():
+            after[k][g[:-1]][0] += c
+            after[k][g[:-1]][min(c, 3)] += 1
+    d = {k: lm_scoring.discounts([sum(c == x for c in by[k].values()) for x in (1, 2, 3, 4)]) for k in by}
+    n, v = sum(c1.values()), len(c1)
+
+    def p(g):
+        if not g:
             return 1 / (v + 1)
-        c = before[w]
-        return (c - (d1[min(c, 3) - 1] if c else 0)) / pairs + sum(a * b for a, b in zip(d1, ones, strict=True)) / pairs / (v + 1)
-
-    def p2(a, w):
-        if not ctx[a]:
-            return p1(w)
-        c = c2[a, w]
-        return (c - (d2[min(c, 3) - 1] if c else 0)) / ctx[a] + sum(x * y for x, y in zip(d2, after[a], strict=True)) / ctx[a] * p1(w)
+        total, *ns = after[len(g)][g[:-1]]
+        if not total:
+            return p(g[1:])
+        c, k = by[len(g)][g], len(g)
+        return (c - (d[k][min(c, 3) - 1] if c else 0)) / total + sum(x * y for x, y in zip(d[k], ns, strict=True)) / total * p(g[1:])
 
     out = []
     for i, t in rows:
-        s = tokens(t)
-        out.append((i, len(s), sum(c1[w] > 0 for w in s), n, sum(math.log10((c1[w] + 1) / (n + v + 1)) for w in s), sum(math.log10(p2(a, w)) for a, w in zip(["\t", *s], s, strict=False))))
+        s = ["\t"] * (order - 1) + tokens(t)
+        score = sum(math.log10(p(tuple(s[k - order + 1 : k + 1]))) for k in range(order - 1, len(s)))
+        s = s[order - 1 :]
+        out.append((i, len(s), sum(c1[w] > 0 for w in s), n, sum(math.log10((c1[w] + 1) / (n + v + 1)) for w in s), score))
     return out
 
 
-@pytest.mark.parametrize("hot", [0.004, 0.0])
-def test_lm_scores(spark, docs, odd, empty, monkeypatch, hot):
+@pytest.mark.parametrize("hot,order,flush", [(0.004, 2, 3_000_000), (0.0, 2, 5000), (0.004, 3, 5000), (0.0, 3, 3_000_000), (0.01, 4, 5000)])
+def test_lm_scores(spark, docs, odd, empty, monkeypatch, hot, order, flush):
     monkeypatch.setattr(lm_scoring, "HOT_SHARE", hot)
-    monkeypatch.setattr(lm_scoring, "SAMPLE", 3)
+    monkeypatch.setattr(lm_scoring, "SAMPLE_DOCS", 60)
+    monkeypatch.setattr(lm_scoring, "CELL_TOKENS", 1000)
+    monkeypatch.setattr(lm_scoring, "FLUSH", flush)
     for df, rows in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (odd, odd_rows())):
-        model = lm_scoring.fit(df.filter(remainder(F.col("doc_id"), 7) != 2))
+        model = lm_scoring.fit(df.filter(remainder(F.col("doc_id"), 7) != 2), order=order)
         out = lm_scoring.score_texts(df.withColumn("SCORE", F.lit("x")), model).collect()
         key = lambda r: (r[0] is None, r[0] or 0, r[1])
         got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in out), key=key)
-        for a, b in zip(got, sorted(brute_lm(rows), key=key), strict=True):
+        for a, b in zip(got, sorted(brute_lm(rows, order), key=key), strict=True):
             assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9, abs=1e-9) and a[5] == pytest.approx(b[5], rel=1e-9, abs=1e-9)
-    nothing = lm_scoring.fit(empty)
+    nothing = lm_scoring.fit(empty, order=order)
     assert {r.score for r in lm_scoring.score_texts(odd, nothing).collect()} == {0.0}
     assert lm_scoring.score_texts(empty, nothing).count() == 0
 
 
+def test_lm_counts_beyond_32_bits(tmp_path):
+    path = f"file://{tmp_path}/x/1"
+    lm_scoring._save(path, [np.array([1, 2], np.uint64), lm_scoring._narrow(np.array([3, 1 << 40])), lm_scoring._narrow(np.array([1, 2]))])
+    keys, a, b = lm_scoring._map(path)
+    assert keys.tolist() == [1, 2] and a.tolist() == [3, 1 << 40] and b.tolist() == [1, 2] and (a.itemsize, b.itemsize) == (8, 4)
+
+
 def test_lm_beats_the_base_on_held_out_text(spark, docs):
     held = remainder(F.col("doc_id"), 7) == 2
     model = lm_scoring.fit(docs.filter(~held))
