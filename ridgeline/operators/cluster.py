@@ -227,15 +227,34 @@ def centroid_means(assigned: DataFrame) -> DataFrame:
     return assigned.select("list_no", F.posexplode("vec").alias("dim", "x")).groupBy("list_no", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-def kmeans_1d(values: np.ndarray, k: int) -> tuple[np.ndarray, float]:
-    """Optimal centroids of scalars (dynamic programming over the sorted values, divide
-    and conquer on the monotone split) and the sum of squares.  For bounded samples."""
-    x = np.sort(np.asarray(values, float))
+#: Different values that go to the driver at most; beyond, values are binned.
+MOST_VALUES = 200_000
+
+
+def weighted_values(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Different values of a column with their counts; of more than MOST_VALUES, the means
+    and counts of as many equal bins, so that what the driver holds is bounded."""
+    rows = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
+    counted = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    if counted.count() > MOST_VALUES:
+        lo, hi = rows.agg(F.min("x"), F.max("x")).first()
+        place = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(hi - lo) * F.lit(MOST_VALUES)), F.lit(MOST_VALUES - 1))
+        counted = rows.groupBy(place.alias("b")).agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    got = counted.select("x", "n").toArrow()  # at most MOST_VALUES rows
+    return np.asarray(got.column("x").combine_chunks()), np.asarray(got.column("n").combine_chunks())
+
+
+def kmeans_1d(values: np.ndarray, weights: np.ndarray | None, k: int) -> tuple[np.ndarray, float]:
+    """Optimal centroids of weighted scalars (dynamic programming over the sorted values,
+    divide and conquer on the monotone split) and the sum of squares."""
+    order = np.argsort(np.asarray(values, float), kind="stable")
+    x = np.asarray(values, float)[order]
+    w = np.ones(len(x)) if weights is None else np.asarray(weights, float)[order]
     n = len(x)
-    s1, s2 = np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(x * x)))
+    s0, s1, s2 = (np.concatenate(([0.0], np.cumsum(v))) for v in (w, w * x, w * x * x))
 
     def cost(i, j):  # of x[i:j]
-        return s2[j] - s2[i] - (s1[j] - s1[i]) ** 2 / np.maximum(j - i, 1)
+        return s2[j] - s2[i] - (s1[j] - s1[i]) ** 2 / np.maximum(s0[j] - s0[i], 1e-300)
 
     best = cost(np.zeros(n + 1, int), np.arange(n + 1))
     splits = []
@@ -258,4 +277,5 @@ def kmeans_1d(values: np.ndarray, k: int) -> tuple[np.ndarray, float]:
     for split in reversed(splits):
         ends.append(int(split[ends[-1]]))
     ends = sorted({0, *ends})
-    return np.array([x[a:b].mean() for a, b in zip(ends, ends[1:], strict=False)]), float(max(best[n], 0.0))
+    means = [float((w[a:b] * x[a:b]).sum() / w[a:b].sum()) for a, b in zip(ends, ends[1:], strict=False)]
+    return np.array(means), float(max(best[n], 0.0))

@@ -458,7 +458,7 @@ class ResidualQuantizer(Codec):
         """Squared norms as codes of a 1-d k-means: (codes, centroids)."""
         from .cluster import kmeans_1d
 
-        c, _ = kmeans_1d(norms, 1 << bits)
+        c, _ = kmeans_1d(norms, None, 1 << bits)
         return np.abs(norms[:, None] - c[None, :]).argmin(1), c
 
 

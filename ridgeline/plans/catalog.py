@@ -292,8 +292,7 @@ def _(s, d):
 
 @query("kmeans_1d")
 def _(s, d):
-    x = s.read.parquet(f"{d}/part.parquet").select("p_retailprice").toPandas()["p_retailprice"].to_numpy()
-    c, _ = cluster.kmeans_1d(x, 8)
+    c, _ = cluster.kmeans_1d(*cluster.weighted_values(s.read.parquet(f"{d}/part.parquet"), "p_retailprice"), 8)
     return s.createDataFrame([(i, float(v)) for i, v in enumerate(c)], "list_no int, centre double")
 
 
@@ -458,9 +457,8 @@ SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), id)
 )
 def _(s, d):
     pq, base = _pq(s, d), _base(s, d)
-    # equal codes tie: ranks by the distance at nine digits, then id
-    wide = pq.search(_asked(s, d), pq.encode(base), 10**9)
-    return _r(knn.rank_pairs(wide.select("qid", "id", F.round("distance", 9).alias("distance")), K, "l2"))
+    # equal codes have the same sums of table entries, and tie by id
+    return _r(pq.search(_asked(s, d), pq.encode(base), K))
 
 
 @query(
@@ -1061,7 +1059,7 @@ def _(s, d):
     return _r(knn.knn(_asked(s, d), _base(s, d).withColumn("vec", F.transform("vec", hole)), K))
 
 
-@query("ivf_standalone_codes", f"WITH {_ASSIGN} SELECT id, list_no, 1 AS prefix, 0.0 AS error FROM l")
+@query("ivf_standalone_codes", f"WITH {_ASSIGN} SELECT id, list_no, 1 AS prefix, 0.0::DOUBLE AS error FROM l")
 def _(s, d):
     """Codes that begin with their list number, packed, unpacked and decoded: the inner
     code keeps all bits, so nothing is lost."""

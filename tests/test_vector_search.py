@@ -123,8 +123,11 @@ def test_kmeans_1d_is_optimal():
 
     x = np.sort(np.random.default_rng(4).random(9))
     best = min(sum(((p - p.mean()) ** 2).sum() for p in np.split(x, cuts)) for cuts in combinations(range(1, 9), 2))
-    c, cost = cluster.kmeans_1d(x, 3)
+    c, cost = cluster.kmeans_1d(x, None, 3)
     assert len(c) == 3 and np.isclose(cost, best)
+    again, same = cluster.kmeans_1d(np.concatenate((x, x[:4])), None, 3)
+    by_weight, cost = cluster.kmeans_1d(x, np.where(np.arange(9) < 4, 2, 1), 3)
+    assert np.allclose(again, by_weight) and np.isclose(same, cost)
 
 
 def test_ivf_is_exact_on_all_lists_and_monotone(sets):
