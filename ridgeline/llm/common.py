@@ -84,8 +84,8 @@ def meet(rows: DataFrame, sums: DataFrame, keys: list[str], size: str, how: str)
     if heavy.isEmpty():
         return rows.join(sums, keys, how)
     first = rows.join(F.broadcast(heavy), keys, "left")
-    rest = first.filter(F.col(size).isNull()).select(*rows.columns).join(sums.filter(F.col(size) <= limit), keys, how)
-    return first.filter(F.col(size).isNotNull()).select(*rest.columns).unionByName(rest)
+    rest = first.filter(F.col(size).isNull()).select(*[f"`{c}`" for c in rows.columns]).join(sums.filter(F.col(size) <= limit), keys, how)
+    return first.filter(F.col(size).isNotNull()).select(*[f"`{c}`" for c in rest.columns]).unionByName(rest)
 
 
 #: Bits of a filter at most (16 MB), and bits for each key below that.

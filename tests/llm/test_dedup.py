@@ -29,7 +29,7 @@ def as_dict(out):
 
 
 def test_exact_dedup(odd, empty):
-    out = exact_dedup.exact_dedup(odd.withColumn("keep", F.lit("x")).withColumn("norm", F.lit(1)).withColumn("salts", F.lit(2)).withColumn("_RL_raw", F.lit(3)))
+    out = exact_dedup.exact_dedup(odd.withColumn("keep", F.lit("x")).withColumn("norm", F.lit(1)).withColumn("salts", F.lit(2)).withColumn("_RL_raw", F.lit(3)).withColumn("a.b", F.lit(4)))
     assert out.count() == len(odd_rows()) and "lang" in out.columns
     assert as_dict(out) == brute_exact(odd_rows())
     assert all(r.kept == (r.doc_id == r.keep_id) for r in out.collect())
@@ -329,3 +329,16 @@ def test_near_dedup_catches_similarity_of_four_fifths(spark, odd, empty, monkeyp
     left = corpus_pipeline.near_dedup(spark, odd, "").collect()
     assert sorted(str(r.doc_id) for r in left) == sorted(["1", "4", "7", "9", "10", "None"])
     assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0
+
+
+def test_set_links_are_a_spanning_forest():
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.choice(40, 30)) if i % 3 else np.unique(rng.integers(0, 1000, 20)) for i in range(120)]
+    near = np.array([[9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b)) for b in sets] for a in sets])
+    sizes, flat, label = np.array([len(x) for x in sets]), np.concatenate(sets), np.arange(120) // 2
+    block = np.arange(120) % 2
+    for b, mask in ((None, near), (block, near & (block[:, None] != block[None, :]))):
+        start = [(i, j) for i in range(120) for j in range(i) if label[i] == label[j]]
+        got = simhash_near.set_links(sizes, flat, label, b)
+        assert all(mask[v, u] for v, u in got) and len(got) < 120
+        assert groups(120, start + got) == groups(120, start + list(zip(*np.nonzero(mask), strict=True)))
