@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions import vector as V
 from ..operators import binary, cluster, codecs, evaluate, graph, ivf, knn, maintain, refine, spec, transforms
 from ..operators.ordering import global_rank
@@ -1071,6 +1072,105 @@ def _(s, d):
     return numbers.select("id", number.cast("int").alias("list_no"), F.lit(codec.prefix).alias("prefix"), (F.round(V.l2(F.col("vec"), F.col("back")), 6) + 0.0).alias("error"))
 
 
+@query("rotated_knn", _knn_sql("l2"))
+def _(s, d):
+    """A random rotation keeps distances."""
+    return _spec("RR64,Flat")(s, d)
+
+
+@query("pca_all_dimensions_knn", _knn_sql("l2"))
+def _(s, d):
+    return _spec("PCA64,Flat")(s, d)
+
+
+@query("id_map_search", f"WITH {_Q}, b AS (SELECT vec_id * 3 + 7 AS id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT qid, id, {_DIST['l2']} AS distance FROM q, b) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY distance, id)::INT AS rank, id, round(distance, 6) + 0.0 AS distance FROM p QUALIFY rank <= {K}")
+def _(s, d):
+    rows = _base(s, d).withColumn("id", F.col("id") * 3 + 7)
+    return _r(spec.build("IDMap,Flat", rows).add(rows).search(_asked(s, d), K))
+
+
+@query("reconstruct_rotated", f"SELECT vec_id AS id, {_SUM} AS s FROM embeddings WHERE vec_id IN (1, 5, 9, 400)")
+def _(s, d):
+    """Stored vectors by id, transformed back."""
+    return _digest(spec.build("RR64,Flat", _base(s, d)).add(_base(s, d)).reconstruct([1, 5, 9, 400]))
+
+
+@query("merged_shards_search", _knn_sql("l2"))
+def _(s, d):
+    """Two saved shards of one trained index in one folder."""
+    trained, paths = spec.build("IVF16,Flat", _base(s, d), niter=3), []
+    for i in range(2):
+        paths.append(scratch(s, "shard"))
+        store.save(trained.add(_base(s, d).filter(F.col("id") % 2 == i)), paths[-1])
+    return _r(store.merge_on_disk(s, trained, paths, scratch(s, "merged")).search(_asked(s, d), K, nprobe=16))
+
+
+@query("bvecs_round_trip", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, list_sum([floor((x::DOUBLE + 1.0) * 100) for x in embedding])::BIGINT AS s FROM embeddings")
+def _(s, d):
+    path = scratch(s, "bvecs")
+    bytes_of = F.transform("vec", lambda x: F.floor((x.cast("double") + 1.0) * 100).cast("int"))
+    vecs.write_vecs(_base(s, d).withColumn("vec", bytes_of), path, "bvecs")
+    return vecs.read_vecs_folder(s, path, "bvecs").select("id", F.aggregate("vec", F.lit(0).cast("long"), lambda a, b: a + b).alias("s"))
+
+
+@query("l2_from_products", f"WITH {_Q}, {_B} SELECT qid, id, round({_DIST['l2']}, 6) + 0.0 AS distance FROM q JOIN b ON b.id = q.qid + 1")
+def _(s, d):
+    pairs = _asked(s, d).withColumnRenamed("vec", "qv").join(_base(s, d).withColumnRenamed("vec", "v"), F.col("id") == F.col("qid") + 1)
+    norm = lambda c: V.ip(F.col(c), F.col(c))
+    return _r(pairs.select("qid", "id", V.l2_from_ip(V.ip(F.col("qv"), F.col("v")), norm("qv"), norm("v")).alias("distance")))
+
+
+@query("binary_ivf_all_lists", _HAMKNN)
+def _(s, d):
+    return binary.binary_ivf_search(*_codes(s, d), D, 8, 8, K)
+
+
+@query("binary_multihash_all_flips", _HAMKNN.replace(f"rank <= {K}", "rank <= 1"))
+def _(s, d):
+    """Every query's own code is found by any of its hash groups."""
+    q, rows = _codes(s, d)
+    return spec.build_binary("BHash4x16", rows, D).search(q, 1, nflip=0)
+
+
+@query("code_sizes", "SELECT * FROM (VALUES ('SQ8', 64), ('SQ6', 48), ('SQ4', 32), ('SQfp16', 128), ('PQ8x4', 4), ('PQ16x8', 16), ('RQ3x4', 2), ('LSHr', 8)) t(spec, bytes)")
+def _(s, d):
+    base = _base(s, d).filter("id < 300")
+    rows = [(t, int(spec.build(t, base, niter=1).codec.code_size)) for t in ("SQ8", "SQ6", "SQ4", "SQfp16", "PQ8x4", "PQ16x8", "RQ3x4", "LSHr")]
+    return s.createDataFrame(rows, "spec string, bytes int")
+
+
+def _told(name: str, test: Callable[[SparkSession, str], bool]) -> None:
+    """A query that tells whether a property holds on the whole table."""
+    query(name, "SELECT true AS holds")(lambda s, d: s.createDataFrame([(bool(test(s, d)),)], "holds boolean"))
+
+
+_told("results_agree_up_to_ties", lambda s, d: evaluate.same_results(knn.knn(_asked(s, d), _base(s, d), K), knn.knn_expression(_asked(s, d), _base(s, d), K), K))
+_told("kmeans_objective_falls", lambda s, d: (lambda o: all(a >= b - 1e-9 for a, b in zip(o, o[1:], strict=False)))([x["objective"] for x in cluster.kmeans(_base(s, d), 8, niter=6).stats]))
+_told("kmeans_spherical_is_unit", lambda s, d: np.allclose((cluster.kmeans(_base(s, d), 8, niter=3, metric="ip", spherical=True).centroids ** 2).sum(1), 1.0))
+_told("kmeans_frozen_stays", lambda s, d: (lambda c: np.allclose(cluster.kmeans(_base(s, d), 12, niter=3, init=c, frozen=True).centroids[: len(c)], c))(_means(s, d)[0]))
+_told("kmeans_progressive_is_close", lambda s, d: cluster.progressive_kmeans(_base(s, d), 8, niter=4).objective <= 1.1 * cluster.kmeans(_base(s, d), 8, niter=8).objective)
+_told("rotation_is_orthonormal", lambda s, d: transforms.random_rotation(D, D).orthonormal)
+_told("opq_is_orthonormal", lambda s, d: transforms.opq(_base(s, d), 8, bits=4, niter=2).orthonormal)
+_told("subsample_is_bounded_and_repeats", lambda s, d: (lambda a, b: a == b and len(a) == 100)(*[sorted(r.id for r in cluster.hash_sample(_base(s, d).repartition(n), 100).collect()) for n in (2, 5)]))
+_told("packed_codes_unpack", lambda s, d: (lambda c: bool((kernels.unpack_codes(kernels.pack_codes(c, 4), c.shape[1], 4) == c).all()))(_pq4(s, d)))
+_told("quantised_tables_are_close", lambda s, d: _tables_close(s, d))
+
+
+def _pq4(s, d) -> np.ndarray:
+    """Codes of a bounded sample."""
+    x = codecs.sample_matrix(_base(s, d), 1000)
+    return codecs.ProductQuantizer.fit(x, 8, 4, 4).encode_matrix(x)
+
+
+def _tables_close(s, d) -> bool:
+    x = codecs.sample_matrix(_base(s, d), 1000)
+    pq = codecs.ProductQuantizer.fit(x, 8, 4, 4)
+    codes, q = pq.encode_matrix(x), x[:20]
+    steps, scale, low = kernels.quantize_tables(pq.tables(q))
+    off = np.abs(kernels.lookup_sum(steps.astype(np.int64), codes) * scale[:, None] + low[:, None] - kernels.lookup_sum(pq.tables(q), codes))
+    return bool((off <= pq.m / 2 * scale[:, None] + 1e-9).all())
+
+
 # --- recall floors of what SQL cannot compute --------------------------------------------
 
 
