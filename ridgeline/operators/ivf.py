@@ -127,20 +127,22 @@ def page_size(sizes: list[int], start: int | None = None, step: int = 256, most_
     return size
 
 
-def _probed(postings: DataFrame, probes: DataFrame) -> DataFrame:
+def _probed(postings: DataFrame, wanted: DataFrame, lists: list[int] | None) -> DataFrame:
     """Postings of probed lists only.  Few lists become a literal filter, which prunes the
     folders of postings stored by list; many are a join on their numbers."""
-    lists = probes.filter("list_no >= 0").select("list_no").distinct()
-    some = [r[0] for r in lists.limit(LITERAL_LISTS + 1).collect()]  # at most LITERAL_LISTS + 1 numbers
-    if len(some) <= LITERAL_LISTS:
-        return postings.filter(F.col("list_no").isin(some)) if some else postings.limit(0)
-    return postings.join(lists, "list_no", "left_semi")
+    if lists is None or len(lists) > LITERAL_LISTS:
+        return postings.join(wanted.select("list_no").distinct(), "list_no", "left_semi")
+    return postings.filter(F.col("list_no").isin(lists)) if lists else postings.limit(0)
 
 
-def _fits(queries: DataFrame, probes: DataFrame) -> bool:
-    """Whether queries and probes are together at most BROADCAST_BYTES; counted, not guessed."""
-    n, d = queries.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    return (n * ((d or 0) + 1) + 2 * probes.count()) * 8 <= knn_module.BROADCAST_BYTES
+def _few_probes(queries: DataFrame, wanted: DataFrame) -> pa.Table | None:
+    """The (qid, list_no) rows, if queries and probes are each at most BROADCAST_BYTES;
+    counted, not guessed."""
+    if not knn_module.fits_broadcast(queries):
+        return None
+    most = knn_module.BROADCAST_BYTES // 16
+    got = wanted.limit(most + 1).toArrow()
+    return got if got.num_rows <= most else None
 
 
 def _scan(q: np.ndarray, x: np.ndarray, table: pa.Table, ids: np.ndarray, number: int, k, metric: str, p, radius, scorer):
@@ -179,11 +181,10 @@ _FOUND = ["qid", "id", "distance", "list_no"]
 _FOUND_TYPES = "qid long, id long, distance double, list_no int"
 
 
-def _stream(queries: DataFrame, postings: DataFrame, probes: DataFrame, k, metric, p, radius, scorer, columns) -> DataFrame:
+def _stream(queries: DataFrame, postings: DataFrame, pairs: pa.Table, k, metric, p, radius, scorer, columns) -> DataFrame:
     """Few queries: they are broadcast by list, and rows of probed lists stream past them."""
     asked = queries.select("qid", "vec").toArrow()
     at = {int(q): i for i, q in enumerate(asked.column("qid").to_pylist())}
-    pairs = probes.filter("list_no >= 0").select("qid", "list_no").toArrow()
     by_list: dict[int, list[int]] = {}
     for q, n in zip(pairs.column("qid").to_pylist(), pairs.column("list_no").to_pylist(), strict=True):
         if q in at:
@@ -219,9 +220,9 @@ def _stream(queries: DataFrame, postings: DataFrame, probes: DataFrame, k, metri
     return postings.select("id", "list_no", *columns).mapInArrow(run, _FOUND_TYPES)
 
 
-def _meet(queries: DataFrame, postings: DataFrame, probes: DataFrame, k, metric, p, radius, scorer, columns, page_rows: int) -> DataFrame:
+def _meet(queries: DataFrame, postings: DataFrame, wanted: DataFrame, k, metric, p, radius, scorer, columns, page_rows: int) -> DataFrame:
     """Many queries: pages of a list's rows meet blocks of its queries, each pair a task."""
-    asked = probes.filter("list_no >= 0").select("qid", "list_no").groupBy("list_no").agg(F.count(F.lit(1)).alias("asks"))
+    asked = wanted.groupBy("list_no").agg(F.count(F.lit(1)).alias("asks"))
     shape = list_sizes(postings).join(asked, "list_no").select(
         "list_no",
         F.greatest(F.ceil(F.col("size") / page_rows), F.lit(1)).cast("int").alias("pages"),
@@ -231,7 +232,7 @@ def _meet(queries: DataFrame, postings: DataFrame, probes: DataFrame, k, metric,
     rows = postings.select("id", "list_no", *columns).join(shape, "list_no")
     rows = rows.withColumn("page", F.pmod(F.xxhash64("id"), F.col("pages")).cast("int")).withColumn("block", number("blocks")).drop("pages", "blocks")
     # other names than the postings': both sides come from one table
-    wanted = probes.filter("list_no >= 0").select("qid", "list_no").join(shape, "list_no")
+    wanted = wanted.join(shape, "list_no")
     wanted = wanted.withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")).withColumn("page", number("pages"))
     wanted = wanted.select("qid", F.col("list_no").alias("q_list"), F.col("page").alias("q_page"), F.col("block").alias("q_block"))
     wanted = wanted.join(queries.select("qid", F.col("vec").alias("qv")), "qid")
@@ -267,11 +268,13 @@ def search(
     ``scorer(query matrix, table of rows, list number) -> distances`` replaces the exact
     distance for coded postings, whose columns are ``payload``."""
     columns = payload or ["vec"]
-    rows = _probed(postings, probes)
-    if _fits(queries, probes):
-        pairs = _stream(queries, rows, probes, k, metric, p, radius, scorer, columns)
+    wanted = probes.filter("list_no >= 0").select("qid", "list_no")
+    few = _few_probes(queries, wanted)
+    if few is not None:
+        rows = _probed(postings, wanted, sorted(set(few.column("list_no").to_pylist())))
+        pairs = _stream(queries, rows, few, k, metric, p, radius, scorer, columns)
     else:
-        pairs = _meet(queries, rows, probes, k, metric, p, radius, scorer, columns, page_rows)
+        pairs = _meet(queries, _probed(postings, wanted, None), wanted, k, metric, p, radius, scorer, columns, page_rows)
     if radius is not None:
         return pairs if with_list else pairs.drop("list_no")
     w = W.partitionBy("qid").orderBy(V.best_first(metric, F.col("distance")), "id")

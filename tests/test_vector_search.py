@@ -159,22 +159,22 @@ def test_ivf_reads_probed_lists_only(sets, spark, tmp_path):
     found = ivf.search(queries.filter("qid < 2"), rows, probes, 3)
     plan = found._jdf.queryExecution().toString()
     assert "PartitionFilters: [" in plan and "Exchange hashpartitioning(list_no" not in plan and len(lists) < 8
-    read = ivf._probed(rows, probes).select("list_no").distinct().collect()
+    read = ivf._probed(rows, probes, lists).select("list_no").distinct().collect()
     assert sorted(r.list_no for r in read) == lists
 
 
-@pytest.mark.parametrize("literal,page", [(2048, 30), (0, 7)])
-def test_ivf_of_many_queries(sets, monkeypatch, literal, page):
+@pytest.mark.parametrize("literal,page,few", [(2048, 30, 0), (0, 7, 0), (0, 7, 1 << 20)])
+def test_ivf_of_many_queries(sets, monkeypatch, literal, page, few):
     base, queries, _, _ = sets
     c = ivf.train(base, 8, niter=4)
     rows = ivf.add(base, c).persist()
     probes = ivf.probe(queries, c, 3).persist()
-    few = sorted(map(tuple, ivf.search(queries, rows, probes, 5, with_list=True).collect()))
+    plain = sorted(map(tuple, ivf.search(queries, rows, probes, 5, with_list=True).collect()))
     within = sorted(map(tuple, ivf.search(queries, rows, probes, None, radius=20.0).collect()))
-    monkeypatch.setattr(knn, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", few)
     monkeypatch.setattr(ivf, "LITERAL_LISTS", literal)
-    assert few and within
-    assert [r[:3] for r in few] == [r[:3] for r in sorted(map(tuple, ivf.search(queries, rows, probes, 5, page_rows=page, with_list=True).collect()))]
+    assert plain and within
+    assert [r[:3] for r in plain] == [r[:3] for r in sorted(map(tuple, ivf.search(queries, rows, probes, 5, page_rows=page, with_list=True).collect()))]
     assert [r[:2] for r in within] == [r[:2] for r in sorted(map(tuple, ivf.search(queries, rows, probes, None, radius=20.0, page_rows=page).collect()))]
 
 
