@@ -52,7 +52,7 @@ def brute_lm(rows, order=2):
     return out
 
 
-@pytest.mark.parametrize("hot,order,flush", [(0.004, 2, 3_000_000), (0.0, 2, 5000), (0.004, 3, 5000), (0.0, 3, 3_000_000), (0.01, 4, 5000)])
+@pytest.mark.parametrize("hot,order,flush", [(0.004, 2, 5000), (0.0, 3, 5000), (0.01, 4, 3_000_000)])
 def test_lm_scores(spark, docs, odd, empty, monkeypatch, hot, order, flush):
     monkeypatch.setattr(lm_scoring, "HOT_SHARE", hot)
     monkeypatch.setattr(lm_scoring, "SAMPLE_DOCS", 60)
