@@ -52,6 +52,12 @@ def _emb(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet")
 
 
+def _emb_stream(spark, d) -> DataFrame:
+    """The rows of embeddings as a stream, whether the table is one file or a folder of them."""
+    # a pattern: a stream takes a path without one for a folder
+    return spark.readStream.schema(_emb(spark, d).schema).parquet(f"{d}/embeddings.parque[t]")
+
+
 def _base(spark, d) -> DataFrame:
     return knn.vectors(_emb(spark, d), "vec_id", "embedding")
 
@@ -936,11 +942,9 @@ def _(s, d):
 
 @query("stream_ingest", f"WITH {_ASSIGN} SELECT id, list_no FROM l")
 def _(s, d):
-    c, _ = _means(s, d)
-    schema = _emb(s, d).schema
-    stream = s.readStream.schema(schema).option("pathGlobFilter", "embeddings*.parquet").parquet(d)
+    c, labels = _means(s, d)
     path = scratch(s, "postings")
-    ingest.ingest(knn.vectors(stream, "vec_id", "embedding"), c, path, scratch(s, "stream")).awaitTermination()
+    ingest.ingest(knn.vectors(_emb_stream(s, d), "vec_id", "embedding"), c, path, scratch(s, "stream"), numbers=labels).awaitTermination()
     return ingest.postings(s, path).select("id", "list_no")
 
 

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from ..operators import ivf
 
 
-def ingest(stream: DataFrame, centroids: np.ndarray, path: str, checkpoint: str, metric: str = "l2", trigger: dict | None = None):
+def ingest(stream: DataFrame, centroids: np.ndarray, path: str, checkpoint: str, metric: str = "l2", trigger: dict | None = None, numbers: np.ndarray | None = None):
     """Assign each micro-batch of (id, vec, ...) to its lists and append it to a postings
-    folder partitioned by list.  A batch that is retried replaces its own folder."""
+    folder partitioned by list.  A batch that is retried replaces its own folder.
+    ``numbers``: of the lists, if not the places of their centroids."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = ivf.add(batch, centroids, metric)
+        rows = ivf.add(batch, centroids, metric, numbers)
         rows.write.mode("overwrite").partitionBy("list_no").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

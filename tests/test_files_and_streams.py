@@ -1,9 +1,12 @@
 import struct
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.operators import ivf, knn, spec
+from ridgeline.plans import catalog
 from ridgeline.sources import store, vecs
 from ridgeline.streaming import ingest
 
@@ -80,3 +83,15 @@ def test_streams(spark, tmp_path):
 
 def asked_batch(df):
     return df.select(F.col("id").alias("qid"), "vec")
+
+
+@pytest.mark.parametrize("name", ["stream_ingest"])
+def test_stream_queries_of_a_table_in_a_folder(spark, data, tmp_path, name):
+    """A table may be a folder of files, and its labels need not count from 0."""
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").withColumn("label", (F.col("label") * 3 + 5).cast("int"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = db.sql(catalog.oracle_sql()[name])
+    got = catalog.queries()[name](spark, str(tmp_path)).select(*want.columns).collect()
+    assert got and sorted(map(tuple, got)) == sorted(want.fetchall())
