@@ -994,8 +994,7 @@ def _(s, d):
     base = _base(s, d)
     c = ivf.train(base, 16, niter=3)
     lists, out = ivf.store(ivf.add(base, c), scratch(s, "lists")), scratch(s, "answers")
-    stream = s.readStream.schema(_emb(s, d).schema).option("pathGlobFilter", "embeddings*.parquet").parquet(d)
-    asked = knn.vectors(stream.filter("vec_id % 20 = 0"), "vec_id", "embedding", "qid")
+    asked = knn.vectors(_emb_stream(s, d).filter("vec_id % 20 = 0"), "vec_id", "embedding", "qid")
     sink = lambda found, number: found.write.mode("overwrite").parquet(f"{out}/batch={number}")
     ingest.query_stream(asked, lists, c, K, 16, sink, scratch(s, "queries-checkpoint")).awaitTermination()
     return _r(s.read.option("basePath", out).parquet(out).select("qid", "rank", "id", "distance"))
