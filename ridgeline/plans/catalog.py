@@ -979,13 +979,14 @@ def _(s, d):
 def _(s, d):
     """List sizes by event-time windows of a stream; every vector is a second of event time."""
     c, labels = _means(s, d)
-    stream = s.readStream.schema(_emb(s, d).schema).option("pathGlobFilter", "embeddings*.parquet").parquet(d)
-    rows = knn.vectors(stream, "vec_id", "embedding").withColumn("at", F.timestamp_seconds("id"))
+    rows = knn.vectors(_emb_stream(s, d), "vec_id", "embedding").withColumn("at", F.timestamp_seconds("id"))
     counts = ingest.windowed_counts(rows, c, "at", "100 seconds", "1 day")
-    path, name = scratch(s, "window-checkpoint"), "t" + scratch(s, "w").rsplit("-", 1)[1]
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", path).start().awaitTermination()
+    path, out = scratch(s, "window-checkpoint"), scratch(s, "windows")
+    # complete mode: every batch gives all counts so far, and the last one stands
+    sink = lambda found, number: found.write.mode("overwrite").parquet(out)
+    counts.writeStream.foreachBatch(sink).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", path).start().awaitTermination()
     number = F.element_at(F.lit([int(v) for v in labels]), F.col("list_no") + 1)
-    return s.table(name).select(number.cast("int").alias("list_no"), F.floor(F.unix_timestamp("window.start") / 100).alias("window_no"), "n")
+    return s.read.parquet(out).select(number.cast("int").alias("list_no"), F.floor(F.unix_timestamp("window.start") / 100).alias("window_no"), "n")
 
 
 @query("stream_queries", _knn_sql("l2"))

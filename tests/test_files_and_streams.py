@@ -85,7 +85,7 @@ def asked_batch(df):
     return df.select(F.col("id").alias("qid"), "vec")
 
 
-@pytest.mark.parametrize("name", ["stream_ingest", "stream_queries"])
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_queries", "stream_window_counts"])
 def test_stream_queries_of_a_table_in_a_folder(spark, data, tmp_path, name):
     """A table may be a folder of files, and its labels need not count from 0."""
     rows = spark.read.parquet(f"{data}/embeddings.parquet").withColumn("label", (F.col("label") * 3 + 5).cast("int"))
