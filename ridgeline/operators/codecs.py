@@ -30,12 +30,20 @@ def sample_matrix(df: DataFrame, rows: int = TRAIN_ROWS, seed: int = 5) -> np.nd
     return matrix(hash_sample(df.select("id", "vec"), rows, seed).select("vec").toArrow().column("vec"))
 
 
+def nearest_rows(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The row of c nearest to each row of x, in blocks of bounded size."""
+    out = np.empty(len(x), np.int64)
+    for s in _chunks(x, max(1, BLOCK // len(c))):
+        out[s] = pairwise(x[s], c).argmin(1)
+    return out
+
+
 def lloyd(x: np.ndarray, k: int, niter: int = 25, seed: int = 1234) -> np.ndarray:
     """k-means of a sample in memory; fewer different rows than k repeat centroids."""
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[np.arange(k) % len(x)]].astype(float)
     for _ in range(niter):
-        at = pairwise(x, c).argmin(1)
+        at = nearest_rows(x, c)
         n = np.bincount(at, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, at, x)
@@ -271,7 +279,7 @@ class ProductQuantizer(Codec):
         return np.stack([pairwise(part, book, metric) for part, book in zip(np.split(x, self.m, axis=1), self.books, strict=True)], axis=1)
 
     def encode_matrix(self, x):
-        return self.tables(x).argmin(2)
+        return np.stack([nearest_rows(part, book) for part, book in zip(np.split(x, self.m, axis=1), self.books, strict=True)], axis=1)
 
     def decode_matrix(self, codes):
         return np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], axis=1)

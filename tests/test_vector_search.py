@@ -429,3 +429,19 @@ def test_batch_planner():
     best = min(seconds([i + 1 for i, c in enumerate(bits) if c] + [5]) for bits in product((0, 1), repeat=4))
     assert np.isclose(seconds(batch.group_pages(rows, work, cost, cost)), best)
     assert ivf.page_size([1000, 1000, 1000]) <= 1000
+
+
+def test_product_codes_of_a_large_sample_take_bounded_memory():
+    import tracemalloc
+
+    x = np.random.default_rng(1).normal(size=(16384, 64))
+    pq = codecs.ProductQuantizer(np.stack(np.split(x[:256], 16, axis=1)))
+    want = pq.tables(x[:500]).argmin(2)
+    tracemalloc.start()
+    try:
+        codes = pq.encode_matrix(x)
+        codecs.lloyd(x[:, :4], 256, 1)
+        assert tracemalloc.get_traced_memory()[1] < 300e6
+    finally:
+        tracemalloc.stop()
+    assert (codes[:500] == want).all()
