@@ -330,6 +330,16 @@ def test_near_dedup_catches_similarity_of_four_fifths(spark, odd, empty, monkeyp
     assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0
 
 
+def test_near_tables_are_the_same_at_every_size(spark, monkeypatch):
+    seen, keyed = [], simhash_near._keyed
+    monkeypatch.setattr(simhash_near, "THREE_FROM", 1, raising=False)  # a table of a few rows is large
+    monkeypatch.setattr(simhash_near, "_keyed", lambda *a: seen.append(keyed(*a)) or seen[-1])
+    docs = frame(spark, [(1, "a b c d e f g"), (2, "h i j k l m n")])
+    simhash_near.near_groups(docs.select("doc_id", "text", F.xxhash64("text").alias("h")))
+    assert {r["count"] for r in seen[-1].groupBy("node").count().collect()} == {64}
+    assert simhash_near.tables().shape == (64, 2)
+
+
 def test_set_links_are_a_spanning_forest():
     rng = np.random.default_rng(11)
     sets = [np.unique(rng.choice(40, 30)) if i % 3 else np.unique(rng.integers(0, 1000, 20)) for i in range(120)]
