@@ -6,6 +6,8 @@ filter, and writes the run's own filter beside it: a bitmap over hashed digests,
 of 32 768 bits.  ``lookup`` finds the rows of older runs whose digests a batch meets; only
 digests that pass a run's filter reach its rows.  ``compact`` merges runs and keeps, by
 digest, the smallest keeper and the number of rows; it runs when ``FANOUT`` runs are held.
+``exact_dedup`` may deal the rows of a call into several batches by a hash of the identifier;
+groups come from what each flush found in its batch and, by lookup, in the runs before.
 
 Hits (digests met more than once) are verified byte by byte: the texts of a digest's rows,
 of the batch and of older keepers, must have equal least and greatest.  A filter over the
@@ -35,6 +37,9 @@ from .common import documents, durable, few, filter_bits, fresh, make_filter, me
 
 #: Runs that are held before they are merged.
 FANOUT = 8
+#: Batches that the query deals its rows into, and its runs before they are merged: the
+#: last batch looks into a merged run.
+BATCHES, BATCH_FANOUT = 4, 3
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -56,8 +61,8 @@ class DigestIndex:
     loses executors sees whole runs only.  A run has one row (digest, keep, group_size)
     per digest.  ``sources`` are the batches, from which texts of keepers are read again."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or new_dir(spark, "digests")
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int | None = None):
+        self.spark, self.path, self.fanout = spark, path or new_dir(spark, "digests"), fanout or FANOUT
         self.runs: list[tuple[str, int]] = []  # folder number and bits of its filter
         self.sources: list[DataFrame] = []
         self.unequal: DataFrame | None = None
@@ -103,7 +108,7 @@ class DigestIndex:
             return run
         merged = run.unionByName(older).groupBy("digest").agg(F.min("keep").alias("keep"), F.sum("group_size").alias("group_size"))
         merged = durable(merged, "merged")
-        if len(self.runs) >= FANOUT:
+        if len(self.runs) >= self.fanout:
             self.compact()
         return merged
 
@@ -123,26 +128,34 @@ def exact_dedup(
     normalise: Callable[[Column], Column] = squeeze,
     digest: Callable[[Column], Column] = sha256,
     index: DigestIndex | None = None,
+    batches: int = 1,
 ) -> DataFrame:
     """All rows of ``docs`` without the text, with keep_id, group_size, kept and digest.
     Of equal normalised texts the row of the longest original text in code points stays,
     then the smallest identifier.  With an ``index``, rows are also compared with those of
-    the batches before, whose frames must still be readable."""
+    the batches before, whose frames must still be readable.  ``batches``: in how many
+    batches the rows are flushed; the result does not depend on it."""
     spark = docs.sparkSession
     index = index or DigestIndex(spark)
     docs = without(docs, "keep_id", "group_size", "kept", "digest")
     names = [c for c in docs.columns if c != text_col]
-    raw, keep, rep, size = fresh(docs, "raw", "keep", "rep", "size")
+    raw, keep, rep, size, part = fresh(docs, "raw", "keep", "rep", "size", "part")
     text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     order = F.struct(
         (-F.char_length(F.coalesce(text, F.lit("")))).alias("o"), ident.isNull().alias("n"), ident.alias("id")
     )
     # texts are normalised and hashed once; what follows reads digests
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], digest(normalise(text)).alias("digest"), F.xxhash64(text).alias(raw), order.alias(keep))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], digest(normalise(text)).alias("digest"), F.xxhash64(text).alias(raw), order.alias(keep), F.pmod(F.xxhash64(ident), F.lit(batches)).alias(part))
     rows = durable(rows, "digests")
-    merged = index.flush(rows.select("digest", F.col(keep).alias("keep")))
+    merged = None
+    for b in range(batches):
+        found = index.flush(rows.filter(F.col(part) == b).select("digest", F.col(keep).alias("keep"))).filter("group_size > 1")
+        merged = found if merged is None else merged.unionByName(found)
+    if batches > 1:  # the last batch that has a digest knows all of its rows
+        merged = merged.groupBy("digest").agg(F.min("keep").alias("keep"), F.max("group_size").alias("group_size"))
+    rows = rows.drop(part)
     index.sources.append(docs.select(text.alias("text"), order.alias("keep")))
-    hits = durable(merged.filter("group_size > 1").select("digest", F.col("keep").alias(rep), F.col("group_size").alias(size)), "hits")
+    hits = durable(merged.select("digest", F.col("keep").alias(rep), F.col("group_size").alias(size)), "hits")
     marked = meet(rows, hits, ["digest"], size, "left")
 
     # byte verification
@@ -183,7 +196,8 @@ def exact_dedup(
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir).select("doc_id", "text")).select(
+    index = DigestIndex(spark, fanout=BATCH_FANOUT)
+    return exact_dedup(documents(spark, sf_dir).select("doc_id", "text"), index=index, batches=BATCHES).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
 

@@ -71,6 +71,20 @@ def test_batches_with_one_digest_are_told_apart(spark):
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out) == [(3, 3, 1, True), (4, 4, 1, True)]
 
 
+def test_exact_dedup_query_consults_its_runs(spark, data, odd, monkeypatch):
+    """The query flushes batches, looks hits up in older runs and merges runs; batches do
+    not change what is found."""
+    found, merged, lookup, compact = [], [], exact_dedup.DigestIndex.lookup, exact_dedup.DigestIndex.compact
+    monkeypatch.setattr(exact_dedup.DigestIndex, "lookup", lambda self, digests: found.append((len(self.runs), lookup(self, digests))) or found[-1][1])
+    monkeypatch.setattr(exact_dedup.DigestIndex, "compact", lambda self: merged.append(compact(self)) or merged[-1])
+    out = exact_dedup.op8_exact_dedup(spark, data)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    assert {(r.doc_id, r.text_sha256): (r.keep_id, r.group_size) for r in out.collect()} == brute_exact(docs)
+    assert [n for n, _ in found] == [0, 1, 2, 1] and len(merged) == 1
+    assert sum(rows.count() for n, rows in found if n) > 0
+    assert as_dict(exact_dedup.exact_dedup(odd, index=exact_dedup.DigestIndex(spark, fanout=2), batches=3)) == brute_exact(odd_rows())
+
+
 def test_filters_pass_what_they_hold(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
     bits = exact_dedup.filter_bits(3000)
