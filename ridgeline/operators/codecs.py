@@ -30,10 +30,14 @@ def sample_matrix(df: DataFrame, rows: int = TRAIN_ROWS, seed: int = 5) -> np.nd
     return matrix(hash_sample(df.select("id", "vec"), rows, seed).select("vec").toArrow().column("vec"))
 
 
+#: Distances that are held at once in training and coding: few, so that they stay in cache.
+NEAR_BLOCK = 1 << 15
+
+
 def nearest_rows(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """The row of c nearest to each row of x, in blocks of bounded size."""
     out = np.empty(len(x), np.int64)
-    for s in _chunks(x, max(1, BLOCK // len(c))):
+    for s in _chunks(x, max(1, NEAR_BLOCK // len(c))):
         out[s] = pairwise(x[s], c).argmin(1)
     return out
 
